@@ -389,7 +389,7 @@ def test_op10_odd_rows(odd, none):
 
 
 def test_op10_boundaries_resist_shifts(spark):
-    body = [f"line {i} of a shared passage" for i in range(40)]
+    body = [f"line {i} of a shared passage" for i in range(400)]  # what is lost is the chunk at either end and single lines
     docs = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(["something new", *body, "other end"]))], "doc_id long, text string")
     by = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
-    assert by[1]["n_removed"] == 0 and by[2]["n_removed"] >= 30 and by[2]["text"].startswith("something new")
+    assert by[1]["n_removed"] == 0 and by[2]["n_removed"] >= 340 and by[2]["text"].startswith("something new")
