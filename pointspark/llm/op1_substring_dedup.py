@@ -2,8 +2,8 @@
 
 A text is cut into sentences that together are the whole text: each runs to and with its end marks (. ! ? or a
 line feed) and the white space after them. Every run of ``span`` consecutive sentences is hashed over their
-normalised words (A-Z lower-cased, white space collapsed). Runs whose 128-bit hash occurs elsewhere are
-repeated; the first in (doc_id, place) order stays and the sentences under all others are removed.
+normalised words (A-Z lower-cased, white space collapsed); runs of fewer than ``min_words`` words, which meet by
+chance where a text has sentences of a word each, are passed over. Runs whose 128-bit hash occurs elsewhere are repeated; the first in (doc_id, place) order stays and the sentences under all others are removed.
 
 The first shuffle counts one 64-bit hash, pre-aggregated in each task; the second moves only identifiers of
 runs; texts move once, to be cut. No pair of documents is ever made.
@@ -28,11 +28,12 @@ def sentences(text: str = "text"):
     return F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
 
 
-def _windows(span: int) -> str:
-    return f"if(size(_h) < {span}, array(), transform(sequence(1, size(_h) - {span - 1}), i -> struct(i as i, xxhash64(1, slice(_h, i, {span})) as h, xxhash64(2, slice(_g, i, {span})) as g)))"
+def _windows(span: int, min_words: int) -> str:
+    starts = f"filter(sequence(1, size(_h) - {span - 1}), i -> aggregate(slice(_w, i, {span}), 0, (a, w) -> a + w) >= {min_words})"
+    return f"if(size(_h) < {span}, array(), transform({starts}, i -> struct(i as i, xxhash64(1, slice(_h, i, {span})) as h, xxhash64(2, slice(_g, i, {span})) as g)))"
 
 
-def remove_repeats(docs: DataFrame, span: int = 3, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 3, min_words: int = 10, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; adds ``n_sentences``, ``n_removed`` and ``removed``.
 
     ``removed`` lists the 0-based, half-open runs of sentences taken out.
@@ -40,8 +41,8 @@ def remove_repeats(docs: DataFrame, span: int = 3, text: str = "text") -> DataFr
     k1, k2 = row_keys("doc_id", text)
     keyed = docs.filter(F.col(text).isNotNull()).select("doc_id", k1, k2, F.translate(F.regexp_replace(F.col(text), r"[\x20\x09\x0B-\x0D]+", " "), UPPER, LOWER).alias("_n"))
     sents = keyed.withColumn("_s", F.transform(F.regexp_extract_all("_n", F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(F.translate(x, "\n", " "))))
-    hashed = sents.select("doc_id", "_k1", "_k2", F.transform("_s", lambda x: F.xxhash64(F.lit(1), x)).alias("_h"), F.transform("_s", lambda x: F.xxhash64(F.lit(2), x)).alias("_g"))
-    runs = hashed.select("doc_id", "_k1", "_k2", F.explode(F.expr(_windows(span))).alias("w")).select("doc_id", "_k1", "_k2", F.col("w.i").alias("i"), F.col("w.h").alias("h"), F.col("w.g").alias("g"))
+    hashed = sents.select("doc_id", "_k1", "_k2", F.transform("_s", lambda x: F.xxhash64(F.lit(1), x)).alias("_h"), F.transform("_s", lambda x: F.xxhash64(F.lit(2), x)).alias("_g"), F.transform("_s", lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + F.when(x == "", 0).otherwise(1)).alias("_w"))
+    runs = hashed.select("doc_id", "_k1", "_k2", F.explode(F.expr(_windows(span, min_words))).alias("w")).select("doc_id", "_k1", "_k2", F.col("w.i").alias("i"), F.col("w.h").alias("h"), F.col("w.g").alias("g"))
     runs = materialize(runs, "runs")
     often = runs.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("h").alias("_h"))
     often = materialize(often, "often")

@@ -12,8 +12,8 @@ OP1 = rf"""
 WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+') AS s FROM documents),
 sent AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM cut),
 norm AS (SELECT doc_id, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n FROM sent),
-runs AS (SELECT doc_id, i, n || chr(1) || lead(n, 1) OVER w || chr(1) || lead(n, 2) OVER w AS run FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM runs WHERE run IS NOT NULL) WHERE k > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN n = '' THEN 0 ELSE length(n) - length(replace(n, ' ', '')) + 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS words, n || chr(1) || lead(n, 1) OVER w || chr(1) || lead(n, 2) OVER w AS run FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM runs WHERE run IS NOT NULL AND words >= 10) WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, range(3) t(j)),
 islands AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
 removed AS (SELECT doc_id, '[' || string_agg('{{"start":' || a || ',"end":' || b || '}}', ',' ORDER BY a) || ']' AS removed, CAST(sum(b - a) AS BIGINT) AS n FROM islands GROUP BY doc_id),
