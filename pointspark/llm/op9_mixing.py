@@ -107,7 +107,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, all columns kept, others dropped."""
     text = options.get("text", "text")
-    copies = mix(docs, **options).filter("taken > 0").groupBy("_k1", "_k2").agg(F.sum(F.expr("taken div size")).alias("_all"), F.count("*").alias("_rows"))
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
+    copies = mix(docs, **options).groupBy("_k1", "_k2").agg(F.sum(times).alias("_all"), F.count("*").alias("_rows")).filter("_all > 0")
     k1, k2 = row_keys("doc_id", "source", text)
     rows = docs.withColumns({"_r1": k1, "_r2": k2}).join(copies.hint("shuffle_hash"), (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")))
     # rows alike in doc_id, source and text share what was taken of them; the first of them carries all
