@@ -2,16 +2,17 @@
 
 Texts of Jaccard similarity of at least ``percent`` / 100 over their sets of ``k``-word shingles are linked.
 Two such sets share, under any global order of shingles, one of the first |x| - ceil(t |x|) + 1. The first
-order puts frequent shingles last (by their counted frequency, then by a hash); its prefixes are indexed.
-Further orders are hashes alone: a candidate must share a prefix shingle under each of them, too, before the
-whole sets are compared.
+order goes by frequency (shingles of one document, then by count where it is known, then by a hash); its
+prefixes are indexed. Further orders are hashes alone: a candidate must share a prefix shingle under each of
+them, too, before the whole sets are compared.
 
-Frequent shingles are found in one pass with bounded memory: each task keeps what it saw at least a share of
-its rows, so every shingle in over one of ``1 / heavy_share`` places is found, and at most 2 / heavy_share are.
-Texts with equal sets are one class from the start. In a posting list only pairs with a pivot are made at
-first, for several pivots; linked texts are merged, and afterwards only pairs across components are left, of
-which each has a member outside of the list's largest component. So a group of thousands of near copies costs
-pairs in proportion to its size, and no link is lost.
+Frequencies are kept in tables of fixed size (``bits``, ``entries``) that are broadcast. An order may be any
+function of the shingle, so a table too small for a corpus costs candidates, never links.
+
+Texts with equal sets are one class from the start. In a posting list only pairs with a few pivots are made at
+first; linked texts are merged, and once little is left, the remaining pairs across components are compared, of
+which each has a member outside of the list's largest component and signatures that differ in few enough bits.
+So a group of thousands of near copies that link costs pairs in proportion to its size, and no link is lost.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; a text of fewer than ``k``
 words is one shingle; repeated rows share a class; rows with one doc_id count as one document in links; rows
@@ -25,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.llm.common import mix, shingle_set
@@ -45,6 +47,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1 if n else 0
 
 
+def signature(s: np.ndarray, longs: int = 32) -> np.ndarray:
+    """Which of 64 * longs slots hold a shingle. Two sets differ in at least as many shingles as signatures in bits."""
+    bits = np.zeros(64 * longs, np.uint8)
+    bits[(mix(s, 41) % np.uint64(64 * longs)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int, orders: tuple[int, ...] = ORDERS) -> bool:
     """Whether two sorted sets are linked: sizes, then a shared prefix shingle in every order, then the sets."""
     n, m = len(x), len(y)
@@ -61,65 +70,98 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int, orders: tuple[int, ...] =
     return 100 * inter >= percent * (n + m - inter)
 
 
-def _heavy(docs: DataFrame, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their counts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, wait, waiting, total = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0
-
-        def merge() -> None:
-            nonlocal codes, counts, wait, waiting
-            all_, at = np.unique(np.concatenate([codes, *wait]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([counts, np.ones(waiting, np.int64)]), len(all_)).astype(np.int64)
-            codes, counts, wait, waiting = all_, n, [], 0
+def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the first order knows of frequencies, of fixed size: a bitmap of 2^bits slots in which every shingle
+    of two documents or more is marked, and the most frequent shingles' 40-bit prefixes, sorted, with counts.
+
+    Each task sends its distinct shingles, as 40-bit prefixes sorted and delta-coded, to the task of their range
+    (about 2.5 bytes each); a prefix that is met twice is marked. Prefixes that collide only mark too much.
+    """
+    spark = docs.sparkSession
+    ranges = 1 << min(bits - 3, max(6, (2 * docs.rdd.getNumPartitions()).bit_length()))
+    shift = 64 - (ranges.bit_length() - 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=1)
+        wait, waiting, seen = [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            u = np.concatenate(wait)
+            u.sort()
+            edges = np.searchsorted(u, np.arange(ranges, dtype=np.uint64) << np.uint64(shift))
+            out = []
+            for r, own in enumerate(np.split(u >> np.uint64(24), edges[1:])):
+                if len(own):
+                    # three of a kind say no more here than two
+                    own = own[np.concatenate(([True, True], own[2:] != own[:-2]))[: len(own)]]
+                    gaps = np.diff(own, prepend=np.uint64(0))
+                    out.append((r, zstd.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())))
+            return pa.RecordBatch.from_pydict({"r": pa.array([r for r, _ in out], pa.int32()), "b": pa.array([b for _, b in out], pa.binary())})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, k)
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                if digest in seen:  # equal sets are one class
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(digest)
                 wait.append(s)
                 waiting += len(s)
-                total += len(s)
-                if waiting > 2_000_000:
-                    merge()
-                    if len(codes) > 4_000_000:  # lossy counting: what is rare so far cannot matter
-                        keep = counts > max(1, int(share / 2 * total))
-                        codes, counts = codes[keep], counts[keep]
-        merge()
-        keep = counts >= max(2, int(share / 2 * total))
-        yield pa.RecordBatch.from_pydict({"token": pa.array(np.append(codes[keep].view(np.int64), 0)), "n": pa.array(np.append(counts[keep], total)), "total": pa.array(np.append(np.zeros(int(keep.sum()), bool), True))})
-
-    local = docs.select("_text").mapInArrow(count, "token long, n long, total boolean")
-    sums = materialize(local.groupBy("token", "total").agg(F.sum("n").alias("n")), "heavy")
-    total = sums.filter("total").agg(F.sum("n")).first()[0] or 0
-    least = max(8, int(share / 2 * total))
-    found = sums.filter(~F.col("total") & (F.col("n") >= least)).select("token", "n").toPandas()  # at most 2 / share rows
-    codes, counts = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(codes)
-    return codes[order], counts[order]
-
-
-def _features(docs: DataFrame, k: int, percent: int, share: float) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, light, heavy``: size, digest of the set, prefix of the first order in two lists."""
-    table = docs.sparkSession.sparkContext.broadcast(_heavy(docs, k, share))  # at most 2 / share entries
+            if waiting > 8_000_000:
+                yield flush()
+                wait, waiting = [], 0
+        if waiting:
+            yield flush()
+
+    def meet(group: pa.Table) -> pa.Table:
+        zstd = zstandard.ZstdDecompressor()
+        parts = [np.cumsum(np.frombuffer(zstd.decompress(b), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64) for b in group.column("b").to_pylist()]
+        code, n = np.unique(np.concatenate(parts), return_counts=True)
+        code, n = code[n > 1], n[n > 1]
+        r, slots = group.column("r")[0].as_py(), (1 << bits) // ranges
+        marks = np.zeros(slots, np.uint8)
+        marks[(code >> np.uint64(40 - bits)).astype(np.int64) - r * slots] = 1
+        top = np.argsort(-n, kind="stable")[: entries // ranges]
+        top = np.sort(top[n[top] > 2])
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pa.table({"r": pa.array([r], pa.int32()), "marks": pa.array([pack(np.packbits(marks).tobytes())], pa.binary()), "code": pa.array([code[top].tobytes()], pa.binary()), "n": pa.array([n[top].astype(np.uint32).tobytes()], pa.binary())})
+
+    sent = docs.select("_text").mapInArrow(send, "r int, b binary")
+    rows = sorted(sent.groupBy("r").applyInArrow(meet, "r int, marks binary, code binary, n binary").collect(), key=lambda x: x["r"])  # of fixed size in all
+    bitmap, unpack = np.zeros((1 << bits) // 8, np.uint8), zstandard.ZstdDecompressor().decompress
+    step = len(bitmap) // ranges
+    for x in rows:
+        bitmap[x["r"] * step : (x["r"] + 1) * step] = np.frombuffer(unpack(x["marks"]), np.uint8)
+    code, n = (np.concatenate([np.frombuffer(x[c], kind) for x in rows] or [np.empty(0, kind)]) for c, kind in (("code", np.uint64), ("n", np.uint32)))
+    return bitmap, code, n
+
+
+def _features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2, pre, sig``: size, digest of the set, what of its first-order prefix others may
+    have, and the set's signature where there is any."""
+    table = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k, bits, entries))
 
     def one(text: str | None) -> tuple:
-        codes, counts = table.value
+        bitmap, codes, counts = table.value
         s = shingle_set(text, k)
         n, p = len(s), prefix_size(len(s), percent)
-        digest = xxhash.xxh3_128_digest(s.tobytes())
-        d1, d2 = np.frombuffer(digest, np.int64)
         if not n:
             return 0, 0, 0, s, s
-        at = np.minimum(np.searchsorted(codes, s), max(0, len(codes) - 1))
-        often = codes[at] == s if len(codes) else np.zeros(n, bool)
-        light, heavy = s[~often], s[often]
-        if len(light) >= p:
-            scrambled = mix(light, 5)
-            light, heavy = light[np.argpartition(scrambled, p - 1)[:p]] if p < len(light) else light, heavy[:0]
-        else:
-            order = np.lexsort((mix(heavy, 5), counts[at[often]]))
-            heavy = heavy[order[: p - len(light)]]
-        return n, int(d1), int(d2), light, heavy
+        d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+        slot = s >> np.uint64(64 - bits)
+        shared = s[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1]
+        p -= n - len(shared)  # shingles of one document come first and meet nothing
+        if p <= 0:
+            return n, int(d1), int(d2), shared[:0], shared[:0]
+        if p < len(shared):
+            freq = np.zeros(len(shared), np.int64)
+            if len(codes):
+                own = shared >> np.uint64(24)
+                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                freq = np.where(codes[at] == own, counts[at], 0)
+            shared = shared[np.lexsort((mix(shared, 5), freq))[:p]]
+        return n, int(d1), int(d2), shared, signature(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +171,9 @@ def _features(docs: DataFrame, k: int, percent: int, share: float) -> DataFrame:
                 flat = np.concatenate([r[i] for r in rows] or [np.empty(0, np.uint64)]).view(np.int64)
                 ends = np.cumsum([0, *(len(r[i]) for r in rows)]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", "light", "heavy"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", "pre", "sig"])
 
-    return docs.select("doc_id", "_text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, light array<long>, heavy array<long>")
+    return docs.select("doc_id", "_text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, pre array<long>, sig array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -157,66 +199,79 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(check, "a long, b long, ok boolean")
 
 
-def _classes(docs: DataFrame, k: int, percent: int, share: float, rounds: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """Features of every row, and ``rep, component`` for every class representative that is linked."""
+def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rounds: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Features of every row, and ``id, component`` for every class representative that is linked."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    rows = materialize(_features(docs, k, percent, share), "features")
-    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "light", "heavy")).alias("r"))
-    classes = classes.select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.light").alias("light"), F.col("r.heavy").alias("heavy"))
-
-    # posting lists with two texts at least; those of light shingles are short, heavy ones are counted first
-    light = classes.select(F.explode("light").alias("token"), "rep", "n")
-    by = Window.partitionBy("token")
-    light = light.withColumn("_c", F.count("*").over(by)).filter("_c > 1").drop("_c")
-    heavy = materialize(classes.select(F.explode("heavy").alias("token"), "rep", "n"), "heavy-postings")
-    often = materialize(heavy.groupBy("token").agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col("token").alias("_t")), "heavy-often")
-    posts = light.unionByName(heavy.join(often, F.col("token") == F.col("_t")).drop("_t"))
-    posts = materialize(posts, "postings")
+    rows = materialize(_features(docs, k, percent, bits, entries), "features")
+    classes = rows.filter("size(pre) > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "pre", "sig")).alias("r"))
+    classes = materialize(classes.select("r.*"), "classes")
+    every = classes.select(F.explode("pre").alias("token"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    often = materialize(every.groupBy("token").agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col("token").alias("_t")), "often")
+    posts = materialize(every.join(often, F.col("token") == F.col("_t")).drop("_t"), "postings")
+    size = posts.count()
     members = posts.select(F.col("rep").alias("_m")).distinct()
     texts = materialize(docs.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("_m"), "left_semi"), "candidates")
 
-    empty = docs.sparkSession.createDataFrame([], "a long, b long, ok boolean")
-    done, components = empty, docs.sparkSession.createDataFrame([], "id long, component long")
+    done, components = None, spark.createDataFrame([], "id long, component long")
 
-    def extend(pairs: DataFrame) -> DataFrame:
+    def extend(pairs: DataFrame) -> bool:
+        """Compare new pairs; whether there was a new link."""
         nonlocal done, components
-        new = pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        new = pairs.distinct()
+        if done is not None:
+            new = new.join(done.select("a", "b"), ["a", "b"], "left_anti")
         checked = materialize(_verify(new, texts, k, percent), "checked")
-        done = materialize(done.unionByName(checked), "done")
-        components = materialize(connected_components(done.filter("ok"), "a", "b"), "components")
-        return checked
+        done = checked if done is None else done.unionByName(checked)
+        if checked.filter("ok").isEmpty():
+            return False
+        components = connected_components(done.filter("ok"), "a", "b")
+        return True
 
-    def across(posts: DataFrame) -> DataFrame:
+    def across() -> DataFrame:
         """Postings with their component, of lists that hold more than one."""
         named = posts.join(components, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         named = materialize(named, "named")
         mixed = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
-        return materialize(named.join(materialize(mixed, "mixed"), F.col("token") == F.col("_t")).drop("_t"), "across")
+        return named.join(materialize(mixed, "mixed"), F.col("token") == F.col("_t")).drop("_t")
+
+    def pair(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     near = f"100 * least(n, _pn) >= {percent} * greatest(n, _pn)"
-    named = posts.withColumn("comp", F.col("rep"))
+    named, before = posts.withColumn("comp", F.col("rep")), float("inf")
     for turn in range(rounds):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "comp"))
-        pivots = named.groupBy("token").agg(pivot.alias("p")).select(F.col("token").alias("_t"), F.col("p.rep").alias("_pr"), F.col("p.n").alias("_pn"), F.col("p.comp").alias("_pc"))
-        pivots = materialize(pivots, "pivots")
-        pairs = named.join(pivots, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and {near}"))
-        new = extend(pairs.select(F.least("rep", "_pr").alias("a"), F.greatest("rep", "_pr").alias("b")))
-        named = across(posts)
-        if turn and new.filter("ok").isEmpty():
+        # three pivots of each list, chosen by hashes, and every member's pair with each
+        pivots = named.groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(3 * turn + i), "rep").alias("h"), "rep", "n", "comp")) for i in range(3)]).alias("p"))
+        pivots = materialize(pivots.select(F.col("token").alias("_t"), F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x.rep.alias("_pr"), x.n.alias("_pn"), x.comp.alias("_pc"))))).alias("x")).select("_t", "x.*"), "pivots")
+        linked_more = extend(named.join(pivots, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and {near}")).select(*pair("rep", "_pr")))
+        if linked_more or not turn:
+            named = materialize(across(), "across")
+        sizes = named.groupBy("token", "comp").agg(F.count("*").alias("_c"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("m"), F.sum("_c").alias("_all"))
+        main = materialize(main.select(F.col("token").alias("_t"), F.col("m.comp").alias("_main"), F.col("_all"), (F.col("_all") - F.col("m._c")).alias("_few")), "main")
+        # more pivots while the pairs that would be left are many beside the postings and grow fewer
+        left = main.agg(F.sum(F.col("_all") * F.col("_few"))).first()[0] or 0
+        if left <= 2 * size or left > before / 2:
             break
-
-    # what is left: pairs across components, one side outside of the list's largest component
-    sizes = named.groupBy("token", "comp").agg(F.count("*").alias("_c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("m")).select(F.col("token").alias("_t"), F.col("m.comp").alias("_main"))
-    few = materialize(named.join(main, F.col("token") == F.col("_t")).filter("comp <> _main").select(F.col("token").alias("_t"), F.col("rep").alias("_pr"), F.col("n").alias("_pn"), F.col("comp").alias("_pc"), "_main"), "few")
-    pairs = named.join(few, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and (comp = _main or rep < _pr) and {near}"))
-    extend(pairs.select(F.least("rep", "_pr").alias("a"), F.greatest("rep", "_pr").alias("b")))
+        before = left
+
+    # what is left: pairs across components, one side outside of the list's largest component. A pair is made at
+    # the first list that both are in, as far as 64 of each one's lists tell, and only if the signatures allow it
+    marks = classes.select(F.col("doc_id").alias("_id"), F.col("sig").alias("s"), F.slice(F.array_sort("pre"), 1, 64).alias("t"))
+    named = materialize(named.join(marks, F.col("rep") == F.col("_id")).drop("_id"), "marked")
+    few = named.join(main, F.col("token") == F.col("_t")).filter("comp <> _main")
+    few = few.select(F.col("token").alias("_t"), F.col("rep").alias("_pr"), F.col("n").alias("_pn"), F.col("comp").alias("_pc"), "_main", F.col("s").alias("_ps"), F.col("t").alias("_pt"))
+    differ = f"{100 + percent} * aggregate(zip_with(s, _ps, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b) <= {100 - percent} * (n + _pn)"
+    first = "coalesce(array_min(array_intersect(t, _pt)) >= token, true)"
+    rest = named.join(materialize(few, "few"), (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and (comp = _main or rep < _pr) and {near} and {differ} and {first}"))
+    extend(rest.select(*pair("rep", "_pr")))
     return rows, components
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, heavy_share: float = 1e-6, rounds: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, bits: int = 28, entries: int = 1 << 21, rounds: int = 6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    rows, components = _classes(docs, k, percent, heavy_share, rounds, text, doc_id)
+    rows, components = _classes(docs, k, percent, bits, entries, rounds, text, doc_id)
     reps = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = reps.join(components, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("_c"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0), "left")

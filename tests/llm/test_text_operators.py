@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pointspark.llm import queries as q
 from pointspark.llm.op1_substring_dedup import SENTENCE, remove_repeats
-from pointspark.llm.op2_ngram_join import keep_one_each, linked, ngram_components
+from pointspark.llm.op2_ngram_join import keep_one_each, linked, ngram_components, signature
 from pointspark.llm.op3_sstable import ShardReader, ShardWriter, key_of, open_shard, token_shards, write_shards
 from pointspark.llm.op5_langid import UND, Ranker, grams, identify, learn
 from pointspark.llm.op6_packing import best_two_fit, plan, segments
@@ -25,17 +25,18 @@ def texts_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-def sentence_spans(docs, span=3):
+def sentence_spans(docs, span=3, least=10):
     """Texts without repeated runs of sentences, by dictionaries."""
     cut = {d: re.findall(SENTENCE, t) for d, t in docs if t is not None}
     norm = {d: [" ".join(re.split(r"[\x20\x09-\x0D]+", s)).strip(" ").lower() for s in ss] for d, ss in cut.items()}
-    first = {}
+    first, long_ = {}, lambda d, i: sum(len(s.split(" ")) if s else 0 for s in norm[d][i : i + span]) >= least
     for d in sorted(norm):
         for i in range(len(norm[d]) - span + 1):
-            first.setdefault(tuple(norm[d][i : i + span]), (d, i))
+            if long_(d, i):
+                first.setdefault(tuple(norm[d][i : i + span]), (d, i))
     out = {}
     for d, ss in cut.items():
-        gone = {j for i in range(len(ss) - span + 1) if first[tuple(norm[d][i : i + span])] != (d, i) for j in range(i, i + span)}
+        gone = {j for i in range(len(ss) - span + 1) if long_(d, i) and first[tuple(norm[d][i : i + span])] != (d, i) for j in range(i, i + span)}
         out[d] = "".join(s for j, s in enumerate(ss) if j not in gone)
     return out
 
@@ -98,6 +99,8 @@ def test_op2_filters_lose_no_link(a, b, percent):
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
     want = bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
     assert linked(x, y, percent) == want
+    bits = sum(int(v).bit_count() for v in signature(x, 2) ^ signature(y, 2))
+    assert bits <= len(a ^ b)
 
 
 ODD_TEXTS = ["", " ", "\n", "a  b", " a", "a ", "a\n\nb", "a \n b", "tab\tx y", "x\r\ny z", "don't we'll I'M", "é x", "x ́y", "a b 　c", "<|endoftext|> hi", "日本語 テスト", "İstanbul ΣΑΣ Σ", "a\x1cb \x1c", "9 99 $$ !! ..", "foo 's bar", "foo\n's 'll", "Ünïcode, wörds."]
