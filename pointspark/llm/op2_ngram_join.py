@@ -47,7 +47,7 @@ def prefix_size(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1 if n else 0
 
 
-def signature(s: np.ndarray, longs: int = 32) -> np.ndarray:
+def signature(s: np.ndarray, longs: int = 24) -> np.ndarray:
     """Which of 64 * longs slots hold a shingle. Two sets differ in at least as many shingles as signatures in bits."""
     bits = np.zeros(64 * longs, np.uint8)
     bits[(mix(s, 41) % np.uint64(64 * longs)).astype(np.int64)] = 1
@@ -257,8 +257,8 @@ def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rou
         before = left
 
     # what is left: pairs across components, one side outside of the list's largest component. A pair is made at
-    # the first list that both are in, as far as 64 of each one's lists tell, and only if the signatures allow it
-    marks = classes.select(F.col("doc_id").alias("_id"), F.col("sig").alias("s"), F.slice(F.array_sort("pre"), 1, 64).alias("t"))
+    # the first list that both are in, as far as the first 8 lists of each tell, and only if the signatures allow it
+    marks = classes.select(F.col("doc_id").alias("_id"), F.col("sig").alias("s"), F.slice(F.array_sort("pre"), 1, 8).alias("t"))
     named = materialize(named.join(marks, F.col("rep") == F.col("_id")).drop("_id"), "marked")
     few = named.join(main, F.col("token") == F.col("_t")).filter("comp <> _main")
     few = few.select(F.col("token").alias("_t"), F.col("rep").alias("_pr"), F.col("n").alias("_pn"), F.col("comp").alias("_pc"), "_main", F.col("s").alias("_ps"), F.col("t").alias("_pt"))
