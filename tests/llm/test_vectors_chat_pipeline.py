@@ -70,13 +70,28 @@ def links_of(rows, least=0.9):
     return {i: (int(n), comp[i], comp[i] == i) for i, n in zip(ids, near.sum(axis=1), strict=True)}
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_rows": 20, "block_rows": 16}, {"threshold": 0.5, "cell_rows": 30, "block_rows": 10}])
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 20, "block_rows": 16}, {"threshold": 0.5, "cell_rows": 30, "block_rows": 10, "spread": 8.0}])
 def test_op8_equals_brute_force(spark, sf, options):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, **options).collect()}
     assert got == links_of(rows_of(spark, sf), options.get("threshold", 0.9))
 
 
+def test_op8_recall_at_the_threshold(spark):
+    """Pairs all near the threshold, in random directions and many cells: the hardest case for visits."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 32))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    e = rng.normal(size=x.shape)
+    e -= (e * x).sum(axis=1, keepdims=True) * x
+    e /= np.sqrt((e * e).sum(axis=1, keepdims=True))
+    y = 0.905 * x + math.sqrt(1 - 0.905**2) * e
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
+    found = sum(r["n_links"] for r in near_duplicates(df, cell_rows=40).collect())
+    assert found >= 0.95 * 800
+    assert sum(r["n_links"] for r in near_duplicates(df, cell_rows=40, spread=6.0).collect()) == 800
+
+
 def test_op8_odd_rows(odd_vectors):
     rows = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(odd_vectors).collect()]
     assert len(rows) == 15
