@@ -229,7 +229,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     # one row per shard: the prefix sum over them is small whatever the corpus
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
-    return placed.repartition("shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    # a stated number of partitions is not coalesced: a task reads a few shards, not all
+    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 0) -> DataFrame:
