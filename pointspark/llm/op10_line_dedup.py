@@ -48,7 +48,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, min_lines: i
     # rows alike in doc_id and text count once, so the occurrences are told apart by content key and place
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_k1", "_k2", "k")
     firsts = chunks.groupBy("_c1", "_c2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first <> _last or (_first.z and not _first <=> _last)")
-    firsts = firsts.select(F.col("_c1").alias("_f1"), F.col("_c2").alias("_f2"), "_first")
+    firsts = materialize(firsts.select(F.col("_c1").alias("_f1"), F.col("_c2").alias("_f2"), "_first"), "firsts")  # a plain join of two shuffles, which AQE can split
     found = chunks.join(firsts, (F.col("_c1") == F.col("_f1")) & (F.col("_c2") == F.col("_f2")))
     is_first = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2")) & (F.col("_first.k") == F.col("k"))
     found = materialize(found.select("_k1", "_k2", "k", "s", "e", "_c1", "_c2", is_first.alias("_is_first")).distinct(), "repeats")
