@@ -3,14 +3,14 @@
 Equal vectors are one class from the start. Centroids are fitted on a bounded sample. A class is at home in
 the cell of its nearest centroid and visits other cells that could hold a vector within the threshold angle. A
 neighbour at home in cell c is nearer to c than to the row's own centroid c_x, so x . (c_x - c) is at most
-|c_x - c| sin(angle) times the share of the way to the neighbour that lies along c_x - c. That share is at most 1
-and, over directions, of the size 1 / sqrt(dimensions): a row visits the cells within ``spread`` times that. With
-``spread`` of sqrt(dimensions) or more the bound is exact and no link is lost; the default of 2 finds all links of
-the test tables (recall is measured against brute force). Cells farther than their radius allow are never visited.
+|c_x - c| sin(angle); cells farther than their radius allows are not visited either. Both bounds are exact, so no
+link is lost whatever the vectors. A finite ``spread`` takes min(1, spread / sqrt(dimensions)) of the first
+bound, which visits fewer cells and loses links of vectors that do not fill all dimensions.
 
-A cell's home rows and all its rows are cut into blocks of bounded size and each block of the first is
-multiplied with each of the second, so no cell is one task. A product gives counts of links and a spanning
-forest, never the pairs themselves.
+Cells are gathered to blocks of about ``bin_rows`` rows, and larger cells are cut to several. Each pair of blocks
+is one product of the rows of either block that visit the other, ``block_rows`` rows at a time, so every pair of
+rows is compared once and no cell is one task. Rows travel as slices, many in one record, in single precision if
+that loses nothing. A product gives counts of links and a spanning forest, never the pairs themselves.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing;
 vectors of different lengths link with nothing; rows with a null identifier take no part and get a null
@@ -66,7 +66,7 @@ def forest(h_ids: np.ndarray, u_ids: np.ndarray, near: np.ndarray) -> tuple[np.n
         hl, ul = h2, u2
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1500, max_cells: int = 1024, sample_rows: int = 20_000, block_rows: int = 1024, spread: float = 2.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1500, max_cells: int = 1024, sample_rows: int = 20_000, block_rows: int = 1024, bin_rows: int = 8192, spread: float = math.inf, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``."""
     spark = vectors.sparkSession
     angle = math.acos(threshold)
@@ -105,79 +105,101 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
             for n, own, u in per_length(batch):
                 sims = u @ table.value[n].T
                 home = sims.argmax(axis=1)
-                yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(u), n, np.int32)), "cell": pa.array(home.astype(np.int32)), "sim": pa.array(sims[np.arange(len(u)), home])})
+                given = {"d": pa.array(np.full(len(u), n, np.int32)), "cell": pa.array(home.astype(np.int32)), "sim": pa.array(sims[np.arange(len(u)), home])}
+                yield pa.RecordBatch.from_pydict(given | {c: own.column(c) for c in ("rep", "mult", "x")})
 
-    cells = classes.mapInArrow(assign, "d int, cell int, sim double").groupBy("d", "cell").agg(F.count("*").alias("n"), F.min("sim").alias("low")).collect()  # a row per cell
+    homes = classes.select("rep", "mult", "x").mapInArrow(assign, "d int, cell int, sim double, rep long, mult long, x array<double>")
+    homes = materialize(homes, "homes")
+    cells = homes.groupBy("d", "cell").agg(F.count("*").alias("n"), F.min("sim").alias("low")).orderBy("d", "cell").collect()  # a row per cell
     radius = {d: np.full(len(c), -1.0) for d, c in centroids.items()}
-    blocks = {}
+    first = {d: np.zeros(len(c), np.int64) for d, c in centroids.items()}  # first block of each cell
+    parts = {d: np.zeros(len(c), np.int64) for d, c in centroids.items()}  # and how many it has
+    filled: dict[int, int] = {}
+    at_block: dict[int, int] = {}
     for r in cells:
-        radius[r["d"]][r["cell"]] = math.acos(max(-1.0, min(1.0, r["low"])))
-        blocks[r["d"], r["cell"]] = -(-r["n"] // block_rows)
-    extra = spark.sparkContext.broadcast((radius, blocks))
+        d, cell, n = r["d"], r["cell"], r["n"]
+        radius[d][cell] = math.acos(max(-1.0, min(1.0, r["low"])))
+        parts[d][cell] = -(-n // bin_rows)
+        if d not in at_block or filled[d] + n > bin_rows:
+            at_block[d], filled[d] = at_block.get(d, -1) + 1, 0
+        first[d][cell] = at_block[d]
+        at_block[d] += int(parts[d][cell]) - 1
+        filled[d] += n if parts[d][cell] == 1 else bin_rows
+    extra = spark.sparkContext.broadcast((radius, first, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row to the blocks it is multiplied in: at home on the left side, and on the right side of each cell it is in."""
-        radius, blocks = extra.value
+        """Each row to the pairs of its own block with each block that holds a cell it visits."""
+        radius, first, parts = extra.value
         for batch in batches:
-            # few rows at a time: each goes to several blocks
-            for n, own, u in (x for at in range(0, batch.num_rows, 256) for x in per_length(batch.slice(at, 256))):
+            for n, own, u in (x for at in range(0, batch.num_rows, 4096) for x in per_length(batch.slice(at, 4096))):
                 c, r = table.value[n], radius[n]
                 sims = u @ c.T
-                home = sims.argmax(axis=1)
+                home = own.column("cell").to_numpy()
                 reach = math.sin(angle) * min(1.0, spread / math.sqrt(n))
                 gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                visit = (sims[np.arange(len(u)), home][:, None] - sims <= gap * reach + 1e-9) & (np.arccos(np.clip(sims, -1, 1)) <= r[None, :] + angle + 1e-9) & (r[None, :] >= 0)
+                visit = (sims[np.arange(len(u)), home][:, None] - sims <= gap * reach + 1e-9) & (np.arccos(np.clip(sims, -1, 1)) <= r[None, :] + angle + 1e-6) & (r[None, :] >= 0)
                 visit[np.arange(len(u)), home] = True
-                ids = own.column("rep").to_numpy()
+                ids, mult = own.column("rep").to_numpy(), own.column("mult").to_numpy()
                 dealt_by = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                row, cell = np.nonzero(visit)
-                count = np.array([blocks.get((n, int(x)), 1) for x in range(len(c))])
-                # right side: once for each left block of the cell
-                times = count[cell]
-                at = np.repeat(np.arange(len(row)), times)
-                left = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                rows_r, cell_r = row[at], cell[at]
-                right = (dealt_by[rows_r] % count[cell_r].astype(np.uint64)).astype(np.int64)
-                # left side: once for each right block of its home cell
-                times = count[home]
-                rows_l = np.repeat(np.arange(len(u)), times)
-                cell_l = home[rows_l]
-                right_l = np.arange(len(rows_l)) - np.repeat(np.cumsum(times) - times, times)
-                left_l = (dealt_by[rows_l] % count[cell_l].astype(np.uint64)).astype(np.int64)
-                pick = np.concatenate((rows_l, rows_r))
-                side = np.repeat([True, False], [len(rows_l), len(rows_r)])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "d": pa.array(np.full(len(pick), n, np.int32)),
-                        "cell": pa.array(np.concatenate((cell_l, cell_r)).astype(np.int32)),
-                        "lb": pa.array(np.concatenate((left_l, left)).astype(np.int32)),
-                        "rb": pa.array(np.concatenate((right_l, right)).astype(np.int32)),
-                        "home": pa.array(side),
-                        "rep": pa.array(ids[pick]),
-                        "mult": pa.array(own.column("mult").to_numpy()[pick]),
-                        "u": pa.array([v.tobytes() for v in u[pick]], pa.binary()),
-                    }
-                )
+                block = first[n][home] + (dealt_by % parts[n][home].astype(np.uint64)).astype(np.int64)
+                x = matrix(own.column("x"))
+                with np.errstate(over="ignore"):
+                    single = x.astype(np.float32)
+                wide = not (single == x).all()
+                x = x if wide else single
+                filled = np.flatnonzero(parts[n])
+                for b in range(int((first[n] + parts[n]).max())):
+                    met = filled[(first[n][filled] <= b) & (b < first[n][filled] + parts[n][filled])]
+                    goes = np.flatnonzero(visit[:, met].any(axis=1) | (block == b))
+                    by = goes[np.argsort(block[goes], kind="stable")]
+                    cuts = np.flatnonzero(np.diff(block[by])) + 1
+                    slices = [i for i in np.split(by, cuts) if len(i)]
+                    own_block = np.array([block[i[0]] for i in slices], np.int64)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "d": pa.array(np.full(len(slices), n, np.int32)),
+                            "lb": pa.array(np.minimum(own_block, b).astype(np.int32)),
+                            "rb": pa.array(np.maximum(own_block, b).astype(np.int32)),
+                            "home": pa.array(own_block <= b),
+                            "wide": pa.array(np.full(len(slices), wide)),
+                            "ids": pa.array([ids[i].tobytes() for i in slices], pa.binary()),
+                            "mults": pa.array([mult[i].tobytes() for i in slices], pa.binary()),
+                            "xs": pa.array([x[i].tobytes() for i in slices], pa.binary()),
+                        }
+                    )
+
+    def side(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = group.column("d")[0].as_py()
+        ids, mult = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("ids", "mults"))
+        xs = [np.frombuffer(x, np.float64 if w else np.float32).reshape(-1, d).astype(np.float64) for x, w in zip(group.column("xs").to_pylist(), group.column("wide").to_pylist(), strict=True)]
+        return ids, mult, unit(np.concatenate(xs))
 
     def multiply(group: pa.Table) -> pa.Table:
-        ids, mult, home = (group.column(c).to_numpy() for c in ("rep", "mult", "home"))
-        u = np.frombuffer(b"".join(group.column("u").to_pylist()), np.float64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(home), np.flatnonzero(~home)
-        near = u[a] @ u[b].T >= threshold
-        near &= ids[a][:, None] != ids[b][None, :]
-        links = near @ mult[b]
-        hl, ul = forest(ids[a], ids[b], near)
-        out_a, out_b = links > 0, (ul != ids[b])
-        return pa.table(
-            {
-                "id": pa.array(np.concatenate((ids[a][out_a], ids[b][out_b]))),
-                "root": pa.array(np.concatenate((hl[out_a], ul[out_b]))),
-                "links": pa.array(np.concatenate((links[out_a], np.zeros(int(out_b.sum()), np.int64)))),
-            }
-        )
-
-    dealt = classes.select("rep", "mult", "x").mapInArrow(deal, "d int, cell int, lb int, rb int, home boolean, rep long, mult long, u binary")
-    found = materialize(dealt.groupBy("d", "cell", "lb", "rb").applyInArrow(multiply, "id long, root long, links long"), "found")
+        empty = np.empty(0, np.int64)
+        found = [(empty, empty, empty)]
+        same = group.column("lb")[0].as_py() == group.column("rb")[0].as_py()
+        is_left = group.column("home").to_numpy(zero_copy_only=False)
+        if is_left.any() and (same or not is_left.all()):
+            left = side(group.filter(pa.array(is_left)))
+            right = left if same else side(group.filter(pa.array(~is_left)))
+            for at in range(0, len(left[0]), block_rows):
+                (ids_a, mult_a, a), (ids_b, mult_b, b) = (v[at : at + block_rows] for v in left), (v[at if same else 0 :] for v in right)
+                near = a @ b.T >= threshold
+                near &= ids_a[:, None] != ids_b[None, :]
+                i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(i):
+                    continue
+                near = near[np.ix_(i, j)]
+                to_a, to_b = near @ mult_b[j], mult_a[i] @ near
+                if same:
+                    to_b[j < len(a)] = 0  # counted as left rows
+                hl, ul = forest(ids_a[i], ids_b[j], near)
+                found += [(ids_a[i], hl, to_a), (ids_b[j], ul, to_b)]
+        ids, roots, links = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.table({"id": pa.array(ids), "root": pa.array(roots), "links": pa.array(links)})
+
+    dealt = homes.select("d", "cell", "rep", "mult", "x").mapInArrow(deal, "d int, lb int, rb int, home boolean, wide boolean, ids binary, mults binary, xs binary")
+    found = materialize(dealt.groupBy("d", "lb", "rb").applyInArrow(multiply, "id long, root long, links long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("_links"))
     comps = connected_components(found, "id", "root").select(F.col("id").alias("_cid"), "component")
     named = classes.select("_h1", "_h2", "rep", "mult").join(links, F.col("rep") == F.col("id"), "left").join(comps, F.col("rep") == F.col("_cid"), "left")

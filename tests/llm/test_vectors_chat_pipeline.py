@@ -92,6 +92,19 @@ def test_op8_recall_at_the_threshold(spark):
     assert sum(r["n_links"] for r in near_duplicates(df, cell_rows=40, spread=6.0).collect()) == 800
 
 
+@pytest.mark.parametrize("options", [{}, {"bin_rows": 90, "block_rows": 32}])
+def test_op8_loses_no_link_of_few_dimensions(spark, options):
+    """Neighbours differ along 3 of 64 dimensions, so their difference may lie along the way to another centroid."""
+    rng = np.random.default_rng(8)
+    x = np.zeros((600, 64))
+    x[:, :3] = rng.normal(size=(600, 3))
+    x[::7] *= 1 / 3  # not all of them exact in single precision
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, threshold=0.98, cell_rows=20, **options).collect()}
+    assert got == links_of(rows, 0.98)
+
+
 def test_op8_odd_rows(odd_vectors):
     rows = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(odd_vectors).collect()]
     assert len(rows) == 15
