@@ -48,6 +48,45 @@ def test_op1_equals_brute_force(documents):
     assert any(want[d] != t for d, t in texts_of(documents))
 
 
+def long_runs(words, span, least):
+    """Runs of sentences, by their counts of words, from each start and back from each end."""
+    n, runs = len(words), set()
+    fits = lambda i, e: e - i >= span and sum(words[i:e]) >= least
+    for at in range(n):
+        runs |= {next(((at, e) for e in range(at + 1, n + 1) if fits(at, e)), None), next(((i, at + 1) for i in range(at, -1, -1) if fits(i, at + 1)), None)}
+    return sorted(runs - {None})
+
+
+def lengthened_spans(docs, span, least=10):
+    """Texts without repeated runs of sentences, each as long as it must be."""
+    cut = {d: re.findall(SENTENCE, t) for d, t in docs if t is not None}
+    norm = {d: [" ".join(re.split(r"[\x20\x09-\x0D]+", s)).strip(" ").lower() for s in ss] for d, ss in cut.items()}
+    runs = {d: long_runs([len(s.split(" ")) if s else 0 for s in ss], span, least) for d, ss in norm.items()}
+    first, out = {}, {}
+    for d in sorted(norm):
+        for i, e in runs[d]:
+            first.setdefault(tuple(norm[d][i:e]), (d, i, e))
+    for d, ss in cut.items():
+        gone = {j for i, e in runs[d] if first[tuple(norm[d][i:e])] != (d, i, e) for j in range(i, e)}
+        out[d] = "".join(s for j, s in enumerate(ss) if j not in gone)
+    return out
+
+
+def test_op1_equals_brute_force_of_lengthened_runs(documents, odd):
+    texts = texts_of(documents) + [(d + 10_000, t) for d, t in dict(texts_of(odd.filter("doc_id is not null"))).items()]
+    docs = documents.sparkSession.createDataFrame(texts, "doc_id long, text string")
+    assert dict(texts_of(remove_repeats(docs, span=3))) == {d: None for d, t in texts if t is None} | lengthened_spans(texts, 3)
+
+
+def test_op1_passage_of_one_word_sentences(spark):
+    passage = " ".join(f"w{i}!" for i in range(60))
+    few = "Long words stand here before it all. One. Two. "
+    docs = spark.createDataFrame([(1, "Own text. " + passage), (2, few + passage + " Three more."), (3, "Not. The. Same. w1! w2! w3! w4! w5! w6!")], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in remove_repeats(docs, span=3).collect()}
+    assert by[1]["n_removed"] == 0 and by[3]["n_removed"] == 0  # six words are met by chance
+    assert by[2]["n_removed"] == 60 and by[2]["text"] == few + "Three more."
+
+
 def test_op1_odd_rows(odd, none):
     out = remove_repeats(odd).collect()
     assert len(out) == 12 and set(odd.columns) <= set(remove_repeats(odd).columns)
