@@ -51,7 +51,7 @@ def _windows(span: int, min_words: int) -> str:
     return f"if({n} < {span}, cast(array() as array<bigint>), {runs})"
 
 
-def remove_repeats(docs: DataFrame, span: int = 3, min_words: int = 10, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 2, min_words: int = 10, text: str = "text") -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; adds ``n_sentences``, ``n_removed`` and ``removed``.
 
     ``removed`` lists the 0-based, half-open runs of sentences taken out.

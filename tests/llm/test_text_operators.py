@@ -87,6 +87,16 @@ def test_op1_passage_of_one_word_sentences(spark):
     assert by[2]["n_removed"] == 60 and by[2]["text"] == few + "Three more."
 
 
+def test_op1_two_sentences_of_fifty_words(documents, spark):
+    """By default two sentences are enough, also where both neighbours are joined to other text."""
+    one, two = " ".join(f"a{i}" for i in range(26)) + ". ", " ".join(f"b{i}" for i in range(26)) + ". "
+    docs = spark.createDataFrame([(1, "Here it begins. " + one + two + "It ends."), (2, "Another start of it and tail one. " + one + two + "Something else follows here.")], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
+    assert by[1]["n_removed"] == 0 and by[2]["text"] == "Another start of it and tail one. Something else follows here."
+    texts = texts_of(documents)
+    assert dict(texts_of(remove_repeats(documents.select("doc_id", "text")))) == lengthened_spans(texts, 2)
+
+
 def test_op1_odd_rows(odd, none):
     out = remove_repeats(odd).collect()
     assert len(out) == 12 and set(odd.columns) <= set(remove_repeats(odd).columns)
