@@ -758,7 +758,7 @@ _add("tube_samples", lambda spark, d: qsm.tube_samples(_skeleton(spark, d), 1.0)
 
 
 def _samples(p: DataFrame) -> DataFrame:
-    return _tree_paths(p).withColumnRenamed("seq", "i").filter("i < 50")
+    return _tree_paths(p).withColumnRenamed("seq", "i")
 
 
 _add("tube_mesh_faces", on_points(lambda p: qsm.tube_mesh(_samples(p), 8)[1].select("path_id", "v1", "v2", "v3", "v4")), f"WITH {SQL_PATHS}, s AS (SELECT path_id, seq AS i, max(seq) OVER (PARTITION BY path_id) AS m FROM paths WHERE seq < 50) SELECT path_id, CAST(i * 8 + j AS INT) AS v1, CAST(i * 8 + (j + 1) % 8 AS INT) AS v2, CAST((i + 1) * 8 + (j + 1) % 8 AS INT) AS v3, CAST((i + 1) * 8 + j AS INT) AS v4 FROM s, range(8) t(j) WHERE i < m")

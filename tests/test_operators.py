@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pointspark.functions import scalar
 from pointspark.operators import aggregates, filters, graph, grid, predict, qsm, ranking, raster, segment, spatial, superpoints
+from pointspark.plans import catalog
 from pointspark.schema import require_columns
 from pointspark.sources import las, mesh, models, text
-from pointspark.sources.points import child_cloud, upsert_field
+from pointspark.sources.points import child_cloud, points, upsert_field
 from pointspark.streaming.tiles import foreach_cloud, running_cell_min
 
 
@@ -315,6 +316,18 @@ def test_tubes(spark, tmp_path):
     assert low == 1 and high == vs.count() == len(at)
 
 
+def test_tube_queries_mesh_every_sample(spark):
+    d = "/root/testdata/sf0.01"
+    n = {r["path_id"]: r["n"] for r in catalog._tree_paths(points(spark, d)).groupBy("path_id").agg(F.count("*").alias("n")).collect()}
+    assert min(n.values()) > 50
+    got = catalog.queries()
+    counted = lambda name: {r["path_id"]: r["count"] for r in got[name](spark, d).groupBy("path_id").count().collect()}
+    assert counted("tube_mesh_vertices") == {k: 8 * v for k, v in n.items()}
+    faces = {(k, i * 8 + j, i * 8 + (j + 1) % 8, i * 8 + 8 + (j + 1) % 8, i * 8 + 8 + j) for k, v in n.items() for i in range(v - 1) for j in range(8)}
+    assert {tuple(r) for r in got["tube_mesh_faces"](spark, d).collect()} == faces
+    assert counted("drop_nan_vertices") == {k: 8 * (v - 1) - 2 for k, v in n.items()}  # but for the two faces at the first vertex
+
+
 def test_xml_nests_branches():
     rows = [dict(path_id=p, seq=s, node_id=n, x=0.0, y=0.0, z=float(n), radius=0.1) for p, s, n in [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 2), (1, 1, 5), (2, 0, 5), (2, 1, 6)]]
     import xml.etree.ElementTree as ET
