@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of ``window`` consecutive lines ends a chunk after a line where it is 0 modulo
 ``divisor`` (and at the end of the text), so an inserted or removed line moves only the boundaries next to it.
-Chunks of at least ``min_lines`` lines whose 128-bit hash occurs more than once are candidates; each is
+A chunk goes on while it has fewer than ``min_lines`` lines, and a shorter rest of the text belongs to the chunk
+before it, so every line of a text of ``min_lines`` lines is compared. Chunks whose 128-bit hash occurs more than once are candidates; each is
 compared byte for byte with the first of its hash in (doc_id, chunk) order and removed if equal. Lines are
 what stands between line feeds; the other bytes of a text stay as they are.
 
@@ -20,10 +21,13 @@ from pointspark.llm.common import row_keys
 from pointspark.shared import materialize
 
 
-def chunk_bounds(window: int, divisor: int, lines: str = "_lines") -> str:
+def chunk_bounds(window: int, divisor: int, min_lines: int, lines: str = "_lines") -> str:
     """SQL for the 1-based last lines of a text's chunks."""
     rolling = f"pmod(aggregate(sequence(i - {window - 1}, i), cast(0 as bigint), (h, j) -> xxhash64(h, {lines}[j - 1])), {divisor}) = 0"
-    return f"filter(sequence(1, size({lines})), i -> i = size({lines}) or (i >= {window} and {rolling}))"
+    found = f"filter(sequence(1, size({lines})), i -> i < size({lines}) and i >= {window} and {rolling})"
+    last = "if(size(a) = 0, 0, element_at(a, -1))"
+    rest = f"concat(if(size(a) > 0 and size({lines}) - {last} < {min_lines}, slice(a, 1, size(a) - 1), a), array(size({lines})))"
+    return f"aggregate({found}, cast(array() as array<int>), (a, i) -> if(i - {last} >= {min_lines}, concat(a, array(i)), a), a -> {rest})"
 
 
 def _texts(rows: str) -> str:
@@ -37,9 +41,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, min_lines: i
     lines = F.split(F.col("_text"), "\n", -1)
     # line hashes once per line; the rolling hash reads them
     hashed = keyed.filter(F.col("_text").isNotNull()).select("doc_id", "_k1", "_k2", lines.alias("_lines")).withColumn("_h", F.expr("transform(_lines, x -> xxhash64(x))"))
-    hashed = hashed.filter(F.size("_lines") >= min_lines).withColumn("_ends", F.expr(chunk_bounds(window, divisor, "_h")))
+    hashed = hashed.filter(F.size("_lines") >= min_lines).withColumn("_ends", F.expr(chunk_bounds(window, divisor, min_lines, "_h")))
     spans = F.expr("transform(_ends, (e, k) -> struct(k as k, if(k = 0, 1, _ends[k - 1] + 1) as s, e as e))")
-    chunks = hashed.select("doc_id", "_k1", "_k2", "_lines", F.explode(F.filter(spans, lambda x: x.e - x.s + 1 >= min_lines)).alias("c"))
+    chunks = hashed.select("doc_id", "_k1", "_k2", "_lines", F.explode(spans).alias("c"))
     body = F.expr(_texts("c"))
     chunks = chunks.select("doc_id", "_k1", "_k2", "c.k", "c.s", "c.e", body.alias("_b"))
     chunks = chunks.select("doc_id", "_k1", "_k2", "k", "s", "e", F.xxhash64(F.lit(1), "_b").alias("_c1"), F.xxhash64(F.lit(2), "_b").alias("_c2"))

@@ -429,6 +429,40 @@ def test_op10_equals_brute_force(spark, documents):
     assert got == want and any(want[d] != t for d, t in docs)
 
 
+def plain_joined_chunks(spark, docs, window=2, divisor=4, least=2):
+    """Chunks by the same rolling hash, short ones joined to a neighbour, the rest by dictionaries."""
+    texts = [(d, t.split("\n")) for d, t in sorted(docs) if t is not None]
+    grams_ = sorted({tuple(ls[i : i + window]) for _, ls in texts for i in range(len(ls) + 1 - window)})
+    df = spark.createDataFrame([(list(g),) for g in grams_], "g array<string>").selectExpr("g", f"pmod(aggregate(g, 0L, (h, x) -> xxhash64(h, xxhash64(x))), {divisor}) = 0 e")
+    ends = {tuple(r["g"]): r["e"] for r in df.collect()}
+    first, out = {}, {}
+    for d, ls in texts:
+        cuts = [0]
+        for i in range(window, len(ls)):
+            if ends[tuple(ls[i - window : i])] and i - cuts[-1] >= least:
+                cuts.append(i)
+        if len(cuts) > 1 and len(ls) - cuts[-1] < least:
+            cuts.pop()
+        cuts.append(len(ls))
+        chunks = [(a, tuple(ls[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert all(len(c) >= least for _, c in chunks) or len(ls) < least
+        out[d] = "\n".join(x for a, c in chunks if len(c) < least or first.setdefault(c, (d, a)) == (d, a) for x in c)
+    return out
+
+
+def test_op10_equals_brute_force_of_joined_chunks(spark, documents):
+    docs = texts_of(documents)
+    got = dict(texts_of(dedup_lines(documents.select("doc_id", "text"))))
+    assert got == plain_joined_chunks(spark, docs) and any(got[d] != t for d, t in docs)
+
+
+def test_op10_copies_leave_no_line(spark):
+    texts = ["\n".join(f"line {i} of text {t}" for i in range(2 + t % 20)) for t in range(200)]
+    docs = spark.createDataFrame([(k * 200 + t, x) for k in range(2) for t, x in enumerate(texts)], "doc_id long, text string")
+    got = dedup_lines(docs).collect()
+    assert all(r["text"] == (texts[r["doc_id"]] if r["doc_id"] < 200 else "") for r in got)
+
+
 def test_op10_odd_rows(odd, none):
     out = dedup_lines(odd)
     assert set(odd.columns) | {"n_removed"} == set(out.columns)
