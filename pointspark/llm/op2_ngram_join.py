@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import mix, shingle_set
+from pointspark.llm.common import mix, row_keys, shingle_set
 from pointspark.operators.components import connected_components
 from pointspark.shared import materialize
 
@@ -279,9 +279,17 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, bits: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose document has a smaller one in its component; one row of each repeated document."""
-    found = ngram_components(docs, **options)
-    lead = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    whole = docs.filter(F.col("doc_id").isNotNull()).join(lead.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    return whole.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep_one_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the rows whose document has a smaller one in its component; one row of each repeated document.
+
+    A document is an identifier with its text, so rows of one identifier and other texts are apart.
+    """
+    keys = row_keys(doc_id, text)
+    own = docs.filter(F.col(doc_id).isNotNull())
+    named = own.select(F.col(doc_id).alias("_doc"), *keys, F.col(text).alias("_text"))
+    found = ngram_components(named.select("_k1", "_text"), text="_text", doc_id="_k1", **options).select(F.col("doc_id").alias("_id"), "component_id")
+    at = named.select("_doc", "_k1", "_k2").distinct().join(found.distinct(), F.col("_k1") == F.col("_id"))
+    lead = at.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").cast("long").alias("d"), "_k1", "_k2")).alias("_l")).select(F.col("_l._k1").alias("_a"), F.col("_l._k2").alias("_b"))
+    keyed = own.withColumns({"_k1": keys[0], "_k2": keys[1]})
+    whole = keyed.join(lead.hint("shuffle_hash"), (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi")
+    return whole.dropDuplicates(["_k1", "_k2"]).select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))

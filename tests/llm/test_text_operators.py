@@ -132,6 +132,13 @@ def test_op2_finds_chains_in_a_large_group(spark):
     assert 1 < len(set(comp.values())) < 150
 
 
+def test_op2_keeps_texts_that_only_share_an_identifier(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (7, b + " more"), (9, c), (9, c), (9, "other words only"), (9, None), (None, c)]
+    out = keep_one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in out) == Counter([(3, a), (5, b), (9, c), (9, "other words only"), (9, None), (None, c)])
+
+
 def test_op2_odd_rows(odd, none):
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(odd).collect()]
     assert Counter(rows)[(1, 16, 1)] == 2 and (2, 16, 1) in rows and (9, 19, 1) in rows
