@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UND = "und"
@@ -63,15 +63,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, sample_rows: int = 4000, profile_size: int = 300, languages: int = 500) -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, sample_rows: int = 4000, profile_size: int = 300) -> dict[str, np.ndarray]:
     """Profiles by language from ``doc_id, text, lang``; n-gram codes in order of rank.
 
-    ``languages`` bounds the number of profiles (the most frequent labels are kept), ``sample_rows`` the
-    expected training rows of each.
+    Every label gets a profile; ``sample_rows`` bounds the expected training rows of each.
     """
     spark = docs.sparkSession
     rows = docs.filter(~held_out()).filter("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("_h"), F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("_text"))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(languages).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # an unsigned hash below rate * 2^63, of its upper 63 bits
@@ -91,11 +90,9 @@ def learn(docs: DataFrame, sample_rows: int = 4000, profile_size: int = 300, lan
 
     per = sample.mapInArrow(count, "_lang string, code long, n long").groupBy("_lang", "code").agg(F.sum("n").alias("n")).persist()
     try:
-        profiles = {}
-        for lang in sorted(counts):
-            best = per.filter(F.col("_lang") == lang).orderBy(F.desc("n"), "code").limit(profile_size).collect()
-            if best:
-                profiles[lang] = np.array([r["code"] for r in best], np.int64).view(np.uint64)
+        place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "code"))
+        best = per.withColumn("_at", place).filter(F.col("_at") <= profile_size).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_at", "code"))).alias("_p"))
+        profiles = {r["_lang"]: np.array([x["code"] for x in r["_p"]], np.int64).view(np.uint64) for r in best.orderBy("_lang").collect()}
         return profiles
     finally:
         per.unpersist()
@@ -124,7 +121,7 @@ class Ranker:
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int = 300, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; a prediction reads the text alone."""
-    table = docs.sparkSession.sparkContext.broadcast(profiles)  # at most languages * profile_size codes
+    table = docs.sparkSession.sparkContext.broadcast(profiles)  # profile_size codes for each label
     at = docs.columns.index(text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,15 @@ def test_op5_distances_equal_brute_force(documents):
         assert name == want[0] and score == pytest.approx(want[1])
 
 
+def test_op5_learns_every_label(spark):
+    rows = [(i, f"text of its own {chr(0x4E00 + i // 4) * 3}", f"l{i // 4}") for i in range(2400)]
+    profiles = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert len(learned) > 550 and set(profiles) == learned
+    ranker = Ranker(profiles)
+    assert all(ranker.predict(t)[0] == lang for _, t, lang in rows[:2400:100] if lang in learned)
+
+
 def test_op5_odd_rows(odd, none):
     got = identify(odd, learn(odd))
     assert got.columns == [*odd.columns, "lang_pred", "score"]
