@@ -1,14 +1,22 @@
-"""Neighbour joins on a grid: equi-joins on cells, then an exact distance test. Ties go to the smaller identifier."""
+"""Neighbour joins on a grid: equi-joins on cells or tiles, then an exact distance test. Ties go to the smaller identifier."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
+
+#: Cells along each side of a tile, and what a tile should hold at most: candidates, and queries in one task.
+TILE, MOST = 4, 100_000
+#: Cells are a little wider than what they must reach, so that rounding never hides a neighbour.
+WIDER = 1 + 1e-9
 
 
 def squared(axes: str, left: str = "l", right: str = "r") -> Column:
@@ -31,56 +39,172 @@ def grid_range_join(left: DataFrame, right: DataFrame, cell: float, axes: str =
     return l.join(r, ["cloud_id", *["c" + a for a in axes]]).withColumn("d2", squared(axes)).drop(*["c" + a for a in axes])
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    if k == 1:  # an aggregation combines in the tasks that made the pairs
-        best = pairs.groupBy("cloud_id", "lid").agg(F.min(F.struct("d2", "rid")).alias("b"))
-        return best.select("cloud_id", F.col("lid").alias("src"), F.col("b.rid").alias("dst"), F.sqrt("b.d2").alias("dist"), F.lit(1).alias("rank"))
-    order = Window.partitionBy("cloud_id", "lid").orderBy("d2", "rid")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("cloud_id", F.col("lid").alias("src"), F.col("rid").alias("dst"), F.sqrt("d2").alias("dist"), "rank")
+def _runs(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... (length[i] of them), one run after the other."""
+    skip = first - np.concatenate(([0], np.cumsum(length)[:-1]))
+    return np.repeat(skip, length) + np.arange(length.sum())
 
 
-def knn_bounded(points: DataFrame, k: int, bound: float, axes: str = "xyz", right: DataFrame | None = None, left_id: str = "pid", right_id: str = "pid") -> DataFrame:
-    """``cloud_id, src, dst, dist, rank``: up to ``k`` nearest strictly within ``bound``; a self join leaves out the row itself."""
-    pairs = grid_range_join(points, right if right is not None else points, bound, axes, left_id, right_id).filter(F.col("d2") < F.lit(float(bound)) * float(bound))
-    if right is None:
-        pairs = pairs.filter("lid <> rid")
-    return _nearest(pairs, k)
+def nearest(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, cell: float, same: bool, bound: float = math.inf, at_once: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``q``, identifier, squared distance and rank of the ``k`` nearest rows of ``c`` among all nearer than ``cell``.
 
+    Rows of ``c`` are sorted by the cells of a grid; a query reads the cells around its own. The grid starts as fine
+    as the rows are dense; a query whose kth distance is beyond a cell goes on with cells twice as wide. What lies
+    farther than ``cell`` is found only in part, and nothing at ``bound`` or beyond.
+    """
+    dims, low = q.shape[1], np.minimum(q.min(axis=0), c.min(axis=0))
+    span = np.maximum(np.maximum(q.max(axis=0), c.max(axis=0)) - low, cell / 1024)
+    side = float(np.clip((span.prod() * (k + 1) / len(c)) ** (1 / dims), cell / 1024, cell))
+    todo, found = np.arange(len(q)), []
+    while len(todo):
+        side = cell if 1.5 * side >= cell else side
+        shape = (span / side).astype(np.int64) + 4
+        steps = np.append(np.cumprod(shape[::-1])[::-1][1:], 1)  # of the last axis: neighbours are next to each other
+        keys = ((c - low) / side + 1).astype(np.int64) @ steps
+        order = np.argsort(keys, kind="stable")
+        keys, cs, ids = keys[order], c[order], c_ids[order]
+        own = ((q[todo] - low) / side + 1).astype(np.int64) @ steps
+        around = own[:, None] + np.array([int(np.dot(o, steps[:-1])) for o in product((-1, 0, 1), repeat=dims - 1)], np.int64)[None, :]
+        first = np.searchsorted(keys, around - 1)
+        length = np.searchsorted(keys, around + 1, "right") - first
+        ends = np.cumsum(length.sum(axis=1))
+        rest, at = [], 0
+        while at < len(todo):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
+            n = length[at:end].sum(axis=1)
+            row = np.repeat(todo[at:end], n)
+            met = _runs(first[at:end].ravel(), length[at:end].ravel())
+            d2 = reduce(np.add, ((q[row, i] - cs[met, i]) ** 2 for i in range(dims)))
+            keep = d2 < bound * bound
+            if same:
+                keep &= ids[met] != q_ids[row]
+            row, d2, dst = row[keep], d2[keep], ids[met[keep]]
+            best = np.lexsort((dst, d2, row))
+            row, d2, dst = row[best], d2[best], dst[best]
+            new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))[: len(row)]
+            rank = np.arange(len(row)) - np.repeat(new, np.diff(np.append(new, len(row))))
+            kept = rank < k
+            row, d2, dst, rank = row[kept], d2[kept], dst[kept], rank[kept]
+            if side < cell:
+                done = row[(rank == k - 1) & (np.sqrt(d2) * WIDER < side)]
+                own_done = np.isin(row, done)
+                row, d2, dst, rank = row[own_done], d2[own_done], dst[own_done], rank[own_done]
+                rest.append(np.setdiff1d(todo[at:end], done))
+            found.append((row, dst, d2, rank))
+            at = end
+        if side == cell:
+            break
+        todo, side = np.concatenate(rest), 2 * side
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, np.empty(0), none)
+
+
+def _in_tiles(todo: DataFrame, other: DataFrame, k: int, cell: float, axes: str, same: bool, bound: float = math.inf) -> DataFrame:
+    """``cloud_id, src, dst, dist, rank``: ``nearest`` by tiles of ``TILE`` cells a side, each with the cells around it.
+
+    ``todo`` and ``other``: cloud_id, id, axes. A tile with more than ``MOST`` queries is dealt to several tasks, all of
+    which get its candidates; tiles without a query get none.
+    """
+    at = [F.floor(F.col(a) / F.lit(cell)).cast("long") for a in axes]
+    home = F.struct(*[F.floor(c / F.lit(TILE)).cast("long").alias(a) for c, a in zip(at, axes, strict=True)])
+    asked = todo.withColumn("_t", home)
+    tiles = asked.groupBy("cloud_id", "_t").agg(F.ceil(F.count("*") / F.lit(MOST)).cast("int").alias("_parts"))
+    asked = asked.join(tiles, ["cloud_id", "_t"]).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    met = other
+    for c, a in zip(at, axes, strict=True):  # the tile, and the one next to it where the cell is at its rim
+        met = met.withColumn(f"_t{a}", F.explode(F.array_distinct(F.array(*[F.floor((c + o) / F.lit(TILE)).cast("long") for o in (-1, 0, 1)]))))
+    met = met.withColumn("_t", F.struct(*[F.col(f"_t{a}").alias(a) for a in axes])).join(tiles, ["cloud_id", "_t"])
+    met = met.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cols = ["cloud_id", "_t", "_part", "id", *axes]
+    both = asked.select(*cols, F.lit(True).alias("_asks")).unionByName(met.select(*cols, F.lit(False).alias("_asks")))
 
-def knn(points: DataFrame, k: int, axes: str = "xyz", right: DataFrame | None = None, left_id: str = "pid", right_id: str = "pid") -> DataFrame:
-    """The ``k`` nearest without a bound, exact.
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("_asks").to_numpy(zero_copy_only=False)
+        ids = group.column("id").to_numpy()
+        x = np.column_stack([group.column(a).to_numpy() for a in axes])
+        src, dst, d2, rank = nearest(x[asks], ids[asks], x[~asks], ids[~asks], k, cell, same, bound) if asks.any() and not asks.all() else (ids[:0], ids[:0], np.empty(0), ids[:0])
+        cloud = pa.array([group.column("cloud_id")[0].as_py()] * len(src), pa.string())
+        return pa.table({"cloud_id": cloud, "src": pa.array(ids[asks][src], pa.int64()), "dst": pa.array(dst, pa.int64()), "dist": pa.array(np.sqrt(d2)), "rank": pa.array(rank + 1, pa.int32())})
 
-    A grid join answers every row whose kth distance is at most the cell side: nothing outside of the adjacent
-    cells can be nearer. The rest is joined again on a grid twice as wide, until the cell spans the cloud.
-    """
-    other = right if right is not None else points
-    spans = [F.max(a) - F.min(a) for a in axes]
-    both = _named(points, left_id, axes, "").drop("id").unionByName(_named(other, right_id, axes, "").drop("id"))
-    width = both.groupBy("cloud_id").agg(*[s.alias("s" + a) for s, a in zip(spans, axes, strict=True)]).agg(*[F.max("s" + a) for a in axes]).first()
-    count = other.groupBy("cloud_id").count().agg(F.max("count")).first()[0] or 0
-    extent = max([w for w in width if w is not None] or [0.0])
-    if not count:
-        return _nearest(grid_range_join(points, other, 1.0, axes, left_id, right_id), k)
-    cell = max(extent, 1e-9) / max(1.0, (count / (k + 1)) ** (1 / len(axes)))
+    return both.groupBy("cloud_id", "_t", "_part").applyInArrow(run, "cloud_id string, src long, dst long, dist double, rank int")
+
+
+def _plain(df: DataFrame, ident: str, axes: str) -> DataFrame:
+    """``cloud_id, id, axes`` of the rows that have a place."""
+    rows = df.select("cloud_id", F.col(ident).cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes])
+    return rows.filter(reduce(lambda p, q: p & q, [F.col("id").isNotNull(), *[F.col(a).isNotNull() & (F.abs(a) < math.inf) for a in axes]]))
+
+
+def _fullest(rows: DataFrame, cell: float, axes: str) -> int:
+    """Rows in the fullest tile, without its rim."""
+    tiles = rows.groupBy("cloud_id", *[F.floor(F.floor(F.col(a) / F.lit(cell)) / F.lit(TILE)).alias("_" + a) for a in axes]).agg(F.count("*").alias("_n"))
+    return tiles.agg(F.max("_n")).first()[0] or 0
+
+
+def _typed(near: DataFrame, left: DataFrame, left_id: str, right: DataFrame, right_id: str) -> DataFrame:
+    return near.select("cloud_id", F.col("src").cast(left.schema[left_id].dataType).alias("src"), F.col("dst").cast(right.schema[right_id].dataType).alias("dst"), "dist", "rank")
+
+
+def _search(points: DataFrame, other: DataFrame, k: int, axes: str, same: bool, cell: float, last: float, bound: float) -> DataFrame:
+    """Levels of cells twice as wide each, up to ``last``; a row whose kth distance is within a cell is done."""
     todo, found = points, None
     while True:
-        pairs = grid_range_join(todo, other, cell, axes, left_id, right_id)
-        if right is None:
-            pairs = pairs.filter("lid <> rid")
-        near = _nearest(pairs, k)
-        if cell > extent:
+        if cell * 1.5 >= last:
+            near = _in_tiles(todo, other, k, last, axes, same, bound)
             return near if found is None else found.unionByName(near)
-        near = materialize(near, "knn")
-        final = near.filter((F.col("rank") == k) & (F.col("dist") <= cell)).select("cloud_id", "src")
-        found = near.join(final, ["cloud_id", "src"], "left_semi") if found is None else found.unionByName(near.join(final, ["cloud_id", "src"], "left_semi"))
-        ids = final.select(F.col("cloud_id"), F.col("src").alias(left_id))
-        todo = materialize(todo.join(ids, ["cloud_id", left_id], "left_anti"), "knn-rest")
+        near = materialize(_in_tiles(todo, other, k, cell, axes, same, bound), "near")
+        done = near.filter((F.col("rank") == k) & (F.col("dist") * WIDER < cell)).select("cloud_id", "src")
+        kept = near.join(done, ["cloud_id", "src"], "left_semi")
+        rest = materialize(todo.join(done.withColumnRenamed("src", "id"), ["cloud_id", "id"], "left_anti"), "rest")
+        found = kept if found is None else found.unionByName(kept)
+        discard(todo)
+        todo = rest
         if todo.isEmpty():
             return found
         cell *= 2
 
 
+def knn_bounded(points: DataFrame, k: int, bound: float, axes: str = "xyz", right: DataFrame | None = None, left_id: str = "pid", right_id: str = "pid") -> DataFrame:
+    """``cloud_id, src, dst, dist, rank``: up to ``k`` nearest strictly within ``bound``; a self join leaves out the row itself.
+
+    Cells are as wide as the bound, or half, a quarter, ... of it where that many rows stand in one tile; then most rows
+    are done before the cells reach the bound.
+    """
+    same, other = right is None, points if right is None else right
+    mine, theirs = _plain(points, left_id, axes), _plain(other, right_id, axes)
+    last = cell = float(bound) * WIDER
+    while _fullest(theirs, cell, axes) > MOST and cell > last / 4096:
+        cell /= 2
+    return _typed(_search(mine, theirs, k, axes, same, cell, last, float(bound)), points, left_id, other, right_id)
+
+
+def knn(points: DataFrame, k: int, axes: str = "xyz", right: DataFrame | None = None, left_id: str = "pid", right_id: str = "pid") -> DataFrame:
+    """The ``k`` nearest without a bound, exact.
+
+    A level answers every row whose kth distance is within a cell: nothing outside of the cells around it can be
+    nearer. The rest is searched again with cells twice as wide, until a cell spans the cloud.
+    """
+    same, other = right is None, points if right is None else right
+    mine, theirs = _plain(points, left_id, axes), _plain(other, right_id, axes)
+    spans = [F.max(a) - F.min(a) for a in axes]
+    width = mine.drop("id").unionByName(theirs.drop("id")).groupBy("cloud_id").agg(*[s.alias("s" + a) for s, a in zip(spans, axes, strict=True)]).agg(*[F.max("s" + a) for a in axes]).first()
+    last = max([w for w in width if w is not None] or [0.0], default=0.0) * WIDER or 1.0
+    count = theirs.groupBy("cloud_id").count().agg(F.max("count")).first()[0] or 0
+    # about a tile's worth of rows in each tile if they were spread evenly, fewer where they are dense
+    cell = min(last, last * (MOST / 8 / max(count, 1)) ** (1 / len(axes)))
+    while _fullest(theirs, cell, axes) > MOST and cell > last / 2**30:
+        cell /= 2
+    return _typed(_search(mine, theirs, k, axes, same, cell, last, math.inf), points, left_id, other, right_id)
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("cloud_id", "lid").orderBy("d2", "rid")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("cloud_id", F.col("lid").alias("src"), F.col("rid").alias("dst"), F.sqrt("d2").alias("dist"), "rank")
+
+
 def nn_xy(points: DataFrame, right: DataFrame, right_id: str = "loc_id") -> DataFrame:
     """Nearest row of ``right`` in the xy plane."""
     return knn(points, 1, "xy", right, right_id=right_id).drop("rank")
@@ -98,11 +222,43 @@ def ball_lowest(peaks: DataFrame, points: DataFrame, radius: float = 0.2, peak_i
     return low.select("cloud_id", F.col("rid").alias(peak_id), "p.x", "p.y", "p.z")
 
 
-def cluster_min_distance(points: DataFrame, pairs: DataFrame, label: str = "label") -> DataFrame:
-    """``cloud_id, src, dst, d3, d2``: for each pair of clusters its closest points in 3-D, with their xy distance."""
-    a = points.select("cloud_id", F.col(label).alias("src"), F.col("pid").alias("lid"), *[F.col(c).alias("l" + c) for c in "xyz"])
-    b = points.select("cloud_id", F.col(label).alias("dst"), F.col("pid").alias("rid"), *[F.col(c).alias("r" + c) for c in "xyz"])
-    every = pairs.select("cloud_id", "src", "dst").join(a, ["cloud_id", "src"]).join(b, ["cloud_id", "dst"])
+def cluster_min_distance(points: DataFrame, pairs: DataFrame, label: str = "label", most: int = 1024) -> DataFrame:
+    """``cloud_id, src, dst, d3, d2``: for each pair of clusters its closest points in 3-D, with their xy distance.
+
+    Each cluster's box is halved along every axis, again and again. Of two clusters' cells only those pairs go on whose
+    boxes are not farther apart than some two points of the clusters are; once no two cells left hold more than
+    ``most`` pairs of points, these are compared. So distances computed grow with the clusters' number, not with the
+    square of their size.
+    """
+    key = ["cloud_id", "label"]
+    rows = points.select("cloud_id", F.col(label).alias("label"), "pid", *"xyz")
+    named = pairs.select("cloud_id", "src", "dst").distinct()
+    wanted = named.select("cloud_id", F.explode(F.array("src", "dst")).alias("label")).distinct()
+    box = rows.groupBy(*key).agg(*[F.min(c).alias("lo" + c) for c in "xyz"], *[(F.max(c) - F.min(c)).alias("w" + c) for c in "xyz"])
+    rows = materialize(rows.join(box, key).join(wanted, key, "left_semi"), "cluster-points")
+    open_, level = named.withColumns({"sc": F.lit(0).cast("long"), "dc": F.lit(0).cast("long")}), 0
+    while True:
+        level += 1
+        # a cell's number: three bits a level, of the way down to it
+        bits = [F.least(F.floor((F.col(c) - F.col("lo" + c)) * (2.0**level) / F.when(F.col("w" + c) > 0, F.col("w" + c)).otherwise(1.0)), F.lit(2**level - 1)).cast("long") for c in "xyz"]
+        here = reduce(lambda a, b: a + b, [F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")), 3 * i + j) for i in range(level) for j, c in enumerate(bits)])
+        up = F.lit(0).cast("long") if level == 1 else reduce(lambda a, b: a + b, [F.shiftleft(F.shiftright(c, i + 1).bitwiseAND(F.lit(1).cast("long")), 3 * i + j) for i in range(level - 1) for j, c in enumerate(bits)])
+        at = rows.withColumns({"cell": here, "up": up})
+        cells = materialize(at.groupBy(*key, "cell", "up").agg(F.count("*").alias("n"), *[F.min(c).alias("a" + c) for c in "xyz"], *[F.max(c).alias("b" + c) for c in "xyz"], F.min(F.struct("pid", *"xyz")).alias("p")), "cluster-cells")
+        one = lambda side: cells.select("cloud_id", F.col("label").alias(side), F.col("up").alias(side[0] + "c"), F.struct("cell", "n", "p", *["a" + c for c in "xyz"], *["b" + c for c in "xyz"]).alias(side[0]))
+        met = open_.join(one("src"), ["cloud_id", "src", "sc"]).join(one("dst"), ["cloud_id", "dst", "dc"])
+        apart = [F.greatest(F.col(f"s.a{c}") - F.col(f"d.b{c}"), F.col(f"d.a{c}") - F.col(f"s.b{c}"), F.lit(0.0)) for c in "xyz"]
+        some = [F.col(f"s.p.{c}") - F.col(f"d.p.{c}") for c in "xyz"]
+        square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+        met = materialize(met.select("cloud_id", "src", "dst", F.col("s.cell").alias("sc"), F.col("d.cell").alias("dc"), (F.col("s.n") * F.col("d.n")).alias("n"), square(apart).alias("least"), square(some).alias("some")), "cell-pairs")
+        reach = met.groupBy("cloud_id", "src", "dst").agg(F.min("some").alias("reach"))
+        last, open_ = open_, materialize(met.join(reach, ["cloud_id", "src", "dst"]).filter("least <= reach").select("cloud_id", "src", "dst", "sc", "dc", "n"), "open")
+        discard(met, cells, last)
+        if level == 20 or (open_.agg(F.max("n")).first()[0] or 0) <= most:
+            break
+        open_ = open_.drop("n")
+    side = lambda s: at.select("cloud_id", F.col("label").alias(s), F.col("cell").alias(s[0] + "c"), F.col("pid").alias({"src": "lid", "dst": "rid"}[s]), *[F.col(c).alias({"src": "l", "dst": "r"}[s] + c) for c in "xyz"])
+    every = open_.join(side("src"), ["cloud_id", "src", "sc"]).join(side("dst"), ["cloud_id", "dst", "dc"])
     every = every.select("cloud_id", "src", "dst", squared("xyz").alias("q3"), squared("xy").alias("q2"), "lid", "rid")
     best = every.groupBy("cloud_id", "src", "dst").agg(F.min(F.struct("q3", "lid", "rid", "q2")).alias("b"))
     return best.select("cloud_id", "src", "dst", F.sqrt("b.q3").alias("d3"), F.sqrt("b.q2").alias("d2"))
