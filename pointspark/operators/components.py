@@ -1,11 +1,15 @@
-"""Connected components by alternating large-star and small-star contraction (Kiveris et al., 2014)."""
+"""Connected components: forests inside of partitions first, then alternating large-star and small-star contraction (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -13,15 +17,45 @@ def _signature(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is not the smallest of its component, and that smallest one: as many edges as join what these edges join."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while (up[a] != up[b]).any():
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        np.minimum.at(up, high, low)
+        while (up != up[up]).any():
+            up = up[up]
+    inner = np.flatnonzero(up != np.arange(len(ids)))
+    return ids[inner], ids[up[inner]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def joined() -> pa.RecordBatch:
+        u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(u) for u, _ in held) >= at_once:
+            yield joined()
+    if held:
+        yield joined()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(id, component)`` for every node of an undirected edge list; component = smallest id reachable.
 
-    Loops and null ends are ignored; nodes without any edge to another node are not returned. Each round
-    is aggregations and equi-joins on the node id; the state is written to the shared folder every round.
+    Loops and null ends are ignored; nodes without any edge to another node are not returned. Each task replaces
+    its edges by a spanning forest of stars, in slices of bounded size; each round after that is aggregations and
+    equi-joins on the node id, and the state is written to the shared folder every round.
     """
     a, b = F.col(src), F.col(dst)
-    e = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialize(e, "cc")
+    e = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    e = materialize(e.mapInArrow(_forests, "u long, v long").distinct(), "cc")
     seen = None
     while seen is None or seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +64,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = materialize(large, "cc-large")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        e = materialize(small.filter("u <> v").distinct(), "cc")
+        last, e = e, materialize(small.filter("u <> v").distinct(), "cc")
+        discard(last, large)
         now = _signature(e)
         if now == seen:
             break
