@@ -16,6 +16,9 @@ from pointspark.sources.points import child_cloud, points, upsert_field
 from pointspark.streaming.tiles import foreach_cloud, running_cell_min
 
 
+PATHS = "cloud_id string, path_id int, seq int, node_id long"
+
+
 def cloud(spark, rows, **fields):
     names = ", ".join(f"{k} {v[0]}" for k, v in fields.items())
     rows = [("c", i, *map(float, r), *(v[1][i] for v in fields.values())) for i, r in enumerate(rows)]
@@ -265,7 +268,7 @@ def test_node_radius_of_an_exact_circle(spark):
             segs.append(s)
     rows, segs = [*rows, (0, 0, 5), (0, 0, 5)], [*segs, 5, 5]
     p = cloud(spark, rows, init_segs=("long", segs), stemcls=("int", [1] * len(rows)))
-    paths = spark.createDataFrame([("c", 0, i, i) for i in range(6)], qsm.PATHS)
+    paths = spark.createDataFrame([("c", 0, i, i) for i in range(6)], PATHS)
     got = values(qsm.node_radius(p, paths, qsm.segments_of(p)), "seq", "radius")
     assert [round(r, 6) for _, r in got[:5]] == [0.5] * 5 and got[5][1] == pytest.approx(0.04)
 
@@ -292,20 +295,50 @@ def test_skeleton_of_a_stem_with_a_branch(spark):
     assert names[:2] == ["Stem", "Branch_1"]
 
 
-def test_clean_tree_and_walk(spark):
+def test_clean_tree_and_path_tree(spark):
     segs = spark.createDataFrame([("c", i, 0.0, 0.0, 0.0, n, 0) for i, n in enumerate([9, 9, 5, 6])], "cloud_id string, segment long, x double, y double, z double, n long, is_stem int")
-    paths = spark.createDataFrame([("c", 0, 0, 0), ("c", 0, 1, 1), ("c", 1, 0, 0), ("c", 1, 1, 2), ("c", 2, 0, 1), ("c", 2, 1, 3)], qsm.PATHS)
+    paths = spark.createDataFrame([("c", 0, 0, 0), ("c", 0, 1, 1), ("c", 1, 0, 0), ("c", 1, 1, 2), ("c", 2, 0, 1), ("c", 2, 1, 3)], PATHS)
     assert {p for p, in values(qsm.clean_tree(paths, segs), "path_id")} == {0, 2}
     e = edges(spark, [(0, 1, 1.0), (1, 2, 1.0), (1, 3, 5.0), (3, 4, 1.0)])
     roots = spark.createDataFrame([("c", 0)], "cloud_id string, node long")
     assert values(qsm.path_tree(e, roots), "path_id", "seq", "node_id") == [(1, 0, 0), (1, 1, 1), (1, 2, 3), (1, 3, 4), (2, 0, 1), (2, 1, 2)]
 
 
+def test_path_tree_of_a_random_tree(spark):
+    """Every node is on the path of the farthest node below it; roots begin paths; ties go to the smaller node."""
+    rng = np.random.default_rng(2)
+    up = {i: int(rng.integers(max(0, i - 6), i)) for i in range(2, 90)}  # 0 and 1 are roots
+    links = [(a, b, float(rng.integers(1, 4))) for b, a in up.items()]
+    dist = {0: 0.0, 1: 0.0}
+    for a, b, w in links:
+        dist[b] = dist[a] + w
+    lead = {i: i for i in up}
+    for i in sorted(up, reverse=True):
+        if up[i] in lead:
+            lead[up[i]] = min(lead[up[i]], lead[i], key=lambda n: (-dist[n], n))
+    want = []
+    for at, leaf in enumerate(sorted(set(lead.values()), key=lambda n: (-dist[n], n))):
+        own = sorted((i for i in up if lead[i] == leaf), key=lambda n: dist[n])
+        want += [(5 + at, seq, n) for seq, n in enumerate([up[own[0]], *own])]
+    known = spark.createDataFrame([("c", 4, 0, 0)], PATHS)
+    roots = spark.createDataFrame([("c", 0), ("c", 1)], "cloud_id string, node long")
+    assert values(qsm.path_tree(edges(spark, links), roots, 1e9, known), "path_id", "seq", "node_id") == want
+
+
 def test_tubes(spark, tmp_path):
-    p, r = qsm.tube_samples_of(np.array([[0, 0, 0], [0, 0, 1.0]]), np.array([0.2, 0.2]), 0.5)
-    assert p[0].tolist() == [0, 0, -0.5] and p[-1].tolist() == [0, 0, 1.5] and len(p) == 4 and set(r) == {0.2}
-    p, _ = qsm.tube_samples_of(np.array([[0, 0, float(i)] for i in range(6)]), np.ones(6), 0.1)
-    assert np.allclose(p[:, :2], 0) and p[-1, 2] == pytest.approx(5.5)
+    schema = "cloud_id string, path_id int, seq int, node_id long, x double, y double, z double, radius double"
+    rows = [("c", 0, i, i, 0.0, 0.0, float(i), 0.2) for i in range(2)] + [("c", 1, i, i, 0.0, 0.0, float(i), 1.0) for i in range(6)] + [("c", 2, i, i, *p) for i, p in enumerate([(0.0, 0.0, 0.0, 1.0), (2.0, 0.0, 0.0, 2.0), (2.0, 2.0, 0.0, 4.0)])]
+    got = {k: [r[1:] for r in values(qsm.tube_samples(spark.createDataFrame([*rows, ("c", 3, 0, 0, 0.0, 0.0, 0.0, 1.0)], schema), 0.5 if k < 2 else 1.0).filter(f"path_id = {k}"), "i", "x", "y", "z", "radius")] for k in range(4)}
+    assert got[3] == [] and [p[2] for p in got[0]] == pytest.approx([-0.5, 0.0, 1.0, 1.5]) and {p[3] for p in got[0]} == {0.2}
+    assert np.allclose([p[:2] for p in got[1]], 0) and got[1][-1][2] == pytest.approx(5.5)
+    assert got[2][0] == (-1.0, 0.0, 0.0, 1.0) and got[2][-1] == (2.0, 3.0, 0.0, 4.0) and len(got[2]) == 6
+    assert got[2][2] == pytest.approx((1.2, 0.0, 0.0, 1.6))  # two fifths of four legs: 0.6 of the second
+    knots = np.array([0.0, 0.2, 0.5, 0.6, 1.0])
+    at = np.column_stack((np.sin(5 * knots), knots**2))
+    fine = np.linspace(0, 1, 2001)
+    curve = qsm.spline(knots, at, fine)
+    bend = np.diff(curve, 2, axis=0) / (fine[1] ** 2)
+    assert np.allclose(qsm.spline(knots, at, knots), at) and np.abs(np.diff(bend, axis=0)).max() < 0.2 and np.abs(bend[[0, -1]]).max() < 0.2
     nodes = spark.createDataFrame([("c", 0, i, i, 0.0, 0.0, float(i), 0.3) for i in range(3)], "cloud_id string, path_id int, seq int, node_id long, x double, y double, z double, radius double")
     v, f = qsm.tube_mesh(qsm.tube_samples(nodes, 1.0), 8)
     at = v.toPandas()
