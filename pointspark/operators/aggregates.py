@@ -103,11 +103,11 @@ def hull_area_of(x: np.ndarray, y: np.ndarray) -> float:
     return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2) if len(x) > 2 else 0.0
 
 
-def hull_area(df: DataFrame, label: str = "itc", least: int = 7, strips: int = 16) -> DataFrame:
+def hull_area(df: DataFrame, label: str = "itc", least: int = 7, part_rows: int = 50_000) -> DataFrame:
     """``cloud_id, label, area`` of the xy convex hull, 0 below ``least`` points.
 
-    Points are dealt to ``strips`` by a hash and each strip is cut to its own hull first: the hull of the hulls'
-    corners is the hull of all points, and no group meets in one task whole.
+    A group's points are dealt to parts of about ``part_rows`` by a hash and each part is cut to its own hull first: the
+    hull of the hulls' corners is the hull of all points, and no group meets in one task whole.
     """
     kind = dict(df.dtypes)[label]
 
@@ -119,7 +119,8 @@ def hull_area(df: DataFrame, label: str = "itc", least: int = 7, strips: int = 1
         got = hull_area_of(pdf["x"].to_numpy(), pdf["y"].to_numpy()) if pdf["n"].sum() >= least else 0.0
         return pd.DataFrame({"cloud_id": [pdf["cloud_id"].iloc[0]], label: [pdf[label].iloc[0]], "area": [got]})
 
-    dealt = df.select("cloud_id", label, "x", "y").withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.lit(strips)))
+    size = df.groupBy("cloud_id", label).agg(F.ceil(F.count("*") / F.lit(part_rows)).alias("_p"))
+    dealt = df.select("cloud_id", label, "x", "y").join(size, ["cloud_id", label]).withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.col("_p"))).drop("_p")
     part = dealt.groupBy("cloud_id", label, "_s").applyInPandas(corners, f"cloud_id string, {label} {kind}, n long, x double, y double")
     return part.groupBy("cloud_id", label).applyInPandas(area, f"cloud_id string, {label} {kind}, area double")
 

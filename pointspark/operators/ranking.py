@@ -38,9 +38,29 @@ def nms(tops: DataFrame, threshold: float = 0.5, by_height: bool = True, ident:
     return tops if gone is None else tops.join(gone.select("cloud_id", F.col("b").alias(ident)).distinct(), ["cloud_id", ident], "left_anti").select(*tops.columns)
 
 
-def order_by_distance_desc(nodes: DataFrame, dist: str = "dist", ident: str = "node_id") -> DataFrame:
-    """Processing order within a cloud: farthest first."""
-    return nodes.withColumn("seq", F.row_number().over(Window.partitionBy("cloud_id").orderBy(F.desc(dist), ident)) - 1)
+def _offsets(parts: DataFrame, by: tuple[str, ...], part: str, n: str) -> DataFrame:
+    """``parts`` (one row for each ``by`` and ``part``) with ``_before``: what the parts before hold, and the key columns renamed to ``_k...``."""
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*[F.col(c).alias("_k" + c) for c in (*by, part)], F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias("_before"))
+
+
+def _beside(rows: DataFrame, offsets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    on = [F.col(c).eqNullSafe(F.col("_k" + c)) for c in keys]
+    return rows.join(offsets, on).drop(*["_k" + c for c in keys])
+
+
+def order_by_distance_desc(nodes: DataFrame, dist: str = "dist", ident: str = "node_id", parts: int = 256) -> DataFrame:
+    """Processing order within a cloud: farthest first, ties by identifier.
+
+    Rows are dealt to ranges of distance by approximate quantiles; a place is the rows of the ranges before plus the
+    place in the own range, so a cloud is spread over tasks.
+    """
+    marks = nodes.groupBy("cloud_id").agg(F.percentile_approx(dist, [i / parts for i in range(1, parts)], 1000).alias("_marks")).withColumnRenamed("cloud_id", "_kcloud_id")
+    dealt = _beside(nodes, marks, ("cloud_id",)).withColumn("_part", F.expr(f"size(filter(_marks, m -> m > {dist}))")).drop("_marks")
+    offsets = _offsets(dealt.groupBy("cloud_id", "_part").agg(F.count("*").alias("_n")), ("cloud_id",), "_part", "_n")
+    placed = _beside(dealt, offsets, ("cloud_id", "_part"))
+    within = Window.partitionBy("cloud_id", "_part").orderBy(F.desc(dist), ident)
+    return placed.withColumn("seq", (F.col("_before") + F.row_number().over(within) - 1).cast("int")).drop("_part", "_before")
 
 
 def argmin_over_targets(distances: DataFrame, by: str = "node", dist: str = "dist", target: str = "target") -> DataFrame:
@@ -56,10 +76,16 @@ def median_filter_3(nodes: DataFrame, value: str = "radius", by=("cloud_id", "pa
     return nodes.withColumn(value, F.when(n > 3, F.element_at(three, 2)).otherwise(F.col(value)))
 
 
-def running_index(rows: DataFrame, valid: str, order: str, by=("cloud_id",)) -> DataFrame:
-    """New 0-based index of valid rows in order (the count of valid rows up to a row, less one)."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("new_index", F.sum(F.col(valid).cast("long")).over(upto) - 1)
+def running_index(rows: DataFrame, valid: str, order: str, by=("cloud_id",), block: int = 4096) -> DataFrame:
+    """New 0-based index of valid rows by an integer order (the count of valid rows up to a row, less one).
+
+    Counted for blocks of ``order`` first, so a group is spread over tasks.
+    """
+    dealt = rows.withColumn("_part", F.floor(F.col(order) / F.lit(block)))
+    offsets = _offsets(dealt.groupBy(*by, "_part").agg(F.sum(F.col(valid).cast("long")).alias("_n")), tuple(by), "_part", "_n")
+    upto = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _beside(dealt, offsets, (*by, "_part"))
+    return placed.withColumn("new_index", F.col("_before") + F.sum(F.col(valid).cast("long")).over(upto) - 1).drop("_part", "_before")
 
 
 def segment_vectors(nodes: DataFrame, by=("cloud_id", "path_id"), order: str = "seq") -> DataFrame:

@@ -85,7 +85,7 @@ def dtm_stats(points: DataFrame, resolution: float = 1.0, fill: str = "none", fr
     """``cloud_id, row, col, x, y, z``: lowest ground z of each cell seen from (xmin, ymax), at cell centres."""
     ground = filter_ground(points, cls)
     keyed = raster_key_upperleft(ground, resolution, frame if frame is not None else ground)
-    corner = keyed.groupBy("cloud_id").agg(F.first("xmin").alias("xmin"), F.first("ymax").alias("ymax"))
+    corner = extent(frame if frame is not None else ground, ("x", "y")).select("cloud_id", F.col("min_x").alias("xmin"), F.col("max_y").alias("ymax"))
     cells = fill_gaps(cell_min(keyed), fill).join(corner, "cloud_id")
     return drop_non_finite(raster_to_points(cells, resolution, centre=True), "z")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.operators.aggregates import mode_positive, multi_base_components
@@ -76,7 +76,7 @@ def tree_inventory(points: DataFrame, resolution: float = 2.0, label: str = "itc
     from pointspark.operators.raster import dtm_stats
     from pointspark.operators.spatial import nn_xy
 
-    cells = materialize(dtm_stats(points, resolution, fill, frame=points).withColumn("cell", F.row_number().over(Window.partitionBy("cloud_id").orderBy("row", "col"))), "ground")
+    cells = materialize(dtm_stats(points, resolution, fill, frame=points).withColumn("cell", F.col("row") * F.lit(1 << 31) + F.col("col")), "ground")
     vegetation = points.filter("treefilter > 1")
     near = nn_xy(vegetation, cells, right_id="cell")
     ground = near.join(cells.select("cloud_id", F.col("cell").alias("dst"), F.col("z").alias("dtm_z")), ["cloud_id", "dst"]).select("cloud_id", F.col("src").alias("pid"), "dtm_z")

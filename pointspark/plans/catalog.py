@@ -134,18 +134,40 @@ INVENTORY = f"""
   veg AS (SELECT p.pid, p.itc, p.x, p.y, p.z, arg_min(c.gz, ((p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy), c.id)) AS gz
     FROM points p JOIN cells c USING (cloud_id) WHERE treefilter > 1 GROUP BY 1, 2, 3, 4, 5),
   trees AS (SELECT itc, avg(x) AS x, avg(y) AS y, max(z) AS z, max(z) - (min(z) + min(gz)) * 0.5::DOUBLE AS height, count(*) AS n FROM veg GROUP BY 1)"""
-_add("tree_inventory", on_points(lambda p: segment.tree_inventory(p).select("itc", *r6("x", "y", "z", "height"), "n")), f"WITH {INVENTORY} SELECT itc, {q6('x', 'y', 'z', 'height')}, n FROM trees")
+
+
+def _sql_hull(table: str, label: str = "itc", least: int = 7) -> str:
+    """CTE ``hull(label, area)``: from the lowest point of each group always to the point least to the left."""
+    turn = f"round(fmod(atan2(b.y - h.y, b.x - h.x) - h.dir + 4 * pi(), 2 * pi()), 9)"
+    return f"""corner AS (SELECT {label} AS label, arg_min(x, (y, x)) AS x, min(y) AS y, count(*) AS n FROM {table} GROUP BY 1),
+    ring(label, k, x0, y0, x, y, dir) AS (SELECT label, 0, x, y, x, y, 0::DOUBLE FROM corner
+      UNION ALL SELECT label, k, x0, y0, nx, ny, atan2(ny - y, nx - x) FROM (SELECT h.label, h.k + 1 AS k, x0, y0, h.x, h.y, arg_min(b.x, (fmod({turn}, round(2 * pi(), 9)), -((b.x - h.x) * (b.x - h.x) + (b.y - h.y) * (b.y - h.y)))) AS nx, arg_min(b.y, (fmod({turn}, round(2 * pi(), 9)), -((b.x - h.x) * (b.x - h.x) + (b.y - h.y) * (b.y - h.y)))) AS ny
+        FROM ring h JOIN {table} b ON b.{label} = h.label AND (b.x <> h.x OR b.y <> h.y) WHERE h.k = 0 OR h.x <> h.x0 OR h.y <> h.y0 GROUP BY h.label, h.k, x0, y0, h.x, h.y, h.dir)),
+    hull AS (SELECT c.label, CASE WHEN any_value(n) >= {least} THEN coalesce(abs(sum(r.x * r.ny - r.nx * r.y)) / 2, 0) ELSE 0 END AS area FROM corner c LEFT JOIN (SELECT label, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM ring WINDOW w AS (PARTITION BY label ORDER BY k)) r ON r.label = c.label AND r.nx IS NOT NULL GROUP BY 1)"""
+
+
+_add(
+    "tree_inventory",
+    on_points(lambda p: segment.tree_inventory(p, area=True).select("itc", *r6("x", "y", "z", "height"), "n", *r6("area"))),
+    f"WITH {INVENTORY}, {_sql_hull('veg')} SELECT itc, {q6('x', 'y', 'z', 'height')}, n, {q6('area')} FROM trees JOIN hull ON label = itc",
+    recursive=True,
+)
 
 
 def _treestat(spark: SparkSession, d: str) -> DataFrame:
-    stats = segment.tree_inventory(points(spark, d)).withColumn("crown_area", F.lit(0.0))
+    stats = segment.tree_inventory(points(spark, d), area=True).withColumnRenamed("area", "crown_area")
     path = shared_path(spark, "treestat")
-    rounded = stats.withColumns({c: F.round(c, 6) for c in ("x", "y", "z", "height")})
+    rounded = stats.withColumns({c: F.round(c, 6) for c in ("x", "y", "z", "height", "crown_area")})
     text.write_treestat(rounded, path)
     return spark.read.csv(path, sep=" ", header=True, schema="itc_id long, x double, y double, z double, height double, crown_area double")
 
 
-_add("write_treestat", _treestat)
+def q3(*names: str) -> str:
+    """As ``%.3f`` writes them, read again."""
+    return ", ".join(f"CAST(round(CAST(round({n}, 6) AS DECIMAL(18, 6)), 3) AS DOUBLE) AS {n}" for n in names)
+
+
+_add("write_treestat", _treestat, f"WITH {INVENTORY}, {_sql_hull('veg')}, t AS (SELECT itc, x, y, z, height, area AS crown_area FROM trees JOIN hull ON label = itc) SELECT itc AS itc_id, {q3('x', 'y', 'z', 'height', 'crown_area')} FROM t", recursive=True)
 
 
 def _skeleton(spark: SparkSession, d: str) -> DataFrame:
@@ -158,8 +180,9 @@ def _skeleton(spark: SparkSession, d: str) -> DataFrame:
 def _obj(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "obj")
     mesh.write_obj(_skeleton(spark, d), path, interval=1.0)
-    _, faces = mesh.read_obj(spark, path)
-    return faces
+    vertices, faces = mesh.read_obj(spark, path)
+    corners = faces.select(F.lit("f").alias("kind"), *[F.col(f"v{i}").cast("double").alias(f"a{i}") for i in range(1, 5)])
+    return vertices.select(F.lit("v").alias("kind"), *r6("x", "y", "z"), F.lit(None).cast("double").alias("a4")).toDF(*corners.columns).unionByName(corners)
 
 
 _add("write_read_obj", _obj)
@@ -498,8 +521,14 @@ _add("overlap_or", on_points(lambda p: agg.overlap_or(_votes(p)).select("pid", "
 _add("overlap_last", on_points(lambda p: agg.overlap_last(p, _votes(p), 8).select("pid", "label")), f"WITH {VOTES} SELECT p.pid, coalesce(v.label, 7) AS label FROM points p LEFT JOIN (SELECT pid, arg_max(label, block_id) AS label FROM votes GROUP BY 1) v USING (pid)")
 _add("seen_mask", on_points(lambda p: agg.seen_mask(p, _votes(p)).select("pid", "label")), f"WITH {VOTES} SELECT p.pid, coalesce(v.label, 2) AS label FROM points p LEFT JOIN (SELECT pid, CAST(bool_or(above) AS INT) + 1 AS label FROM votes GROUP BY 1) v USING (pid)")
 _add("global_extent", on_points(grid.extent), "SELECT cloud_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY 1")
-_add("tree_stats", on_points(lambda p: agg.tree_stats(p.withColumn("dtm_z", F.col("conf")), area=False).select("itc", *r6("x", "y", "z", "height"), "n")), f"SELECT itc, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(max(z), 6) AS z, round(max(z) - (min(z) + min(conf)) * 0.5::DOUBLE, 6) AS height, count(*) AS n FROM points GROUP BY 1")
-_add("hull_area", on_points(lambda p: agg.hull_area(p).select("itc", *r6("area"))))
+_add(
+    "tree_stats",
+    on_points(lambda p: agg.tree_stats(p.withColumn("dtm_z", F.col("conf"))).select("itc", *r6("x", "y", "z", "height"), "n", *r6("area"))),
+    f"""WITH {_sql_hull('points')}, s AS (SELECT itc, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(max(z), 6) AS z, round(max(z) - (min(z) + min(conf)) * 0.5::DOUBLE, 6) AS height, count(*) AS n FROM points GROUP BY 1)
+    SELECT s.*, round(area, 6) AS area FROM s JOIN hull ON label = itc""",
+    recursive=True,
+)
+_add("hull_area", on_points(lambda p: agg.hull_area(p).select("itc", *r6("area"))), f"WITH {_sql_hull('points')} SELECT label AS itc, {q6('area')} FROM hull", recursive=True)
 _add("argmin_row", on_points(lambda p: agg.argmin_row(p, ("cloud_id", "itc")).select("itc", "pid", "x", "y", "z")), "SELECT itc, arg_min(pid, (z, pid)) AS pid, arg_min(x, (z, pid)) AS x, arg_min(y, (z, pid)) AS y, min(z) AS z FROM points GROUP BY 1")
 _add("distinct_rows", on_points(lambda p: agg.distinct_rows(p, "itc", "stemcls", "treefilter")), "SELECT DISTINCT itc, stemcls, treefilter FROM points")
 _add(
@@ -512,7 +541,17 @@ _add("multi_base_components", on_locations(lambda t: agg.multi_base_components(_
 
 # ---------------------------------------------------------------- ordering
 
-_add("nms", on_locations(lambda t: ranking.nms(t).select("loc_id", "x", "y", "z", "radius")))
+
+
+def _sql_nms(table: str) -> str:
+    """CTE ``chosen(loc_id)``: tops of ``table`` in order, each kept unless a kept one beats it."""
+    return f"""beaten AS (SELECT b.loc_id, list(a.loc_id) AS rivals FROM {table} a JOIN {table} b ON a.loc_id <> b.loc_id AND sqrt({D2XY}) <= (a.radius + b.radius) * 0.5::DOUBLE AND (a.z > b.z OR (a.z = b.z AND a.loc_id < b.loc_id)) GROUP BY 1),
+    turns AS (SELECT row_number() OVER (ORDER BY z DESC, t.loc_id) AS k, t.loc_id, coalesce(rivals, []) AS rivals FROM {table} t LEFT JOIN beaten USING (loc_id)),
+    served(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT t.k, CASE WHEN list_has_any(s.kept, t.rivals) THEN s.kept ELSE list_append(s.kept, t.loc_id) END FROM served s JOIN turns t ON t.k = s.k + 1),
+    chosen AS (SELECT unnest(kept) AS loc_id FROM (SELECT kept FROM served ORDER BY k DESC LIMIT 1))"""
+
+
+_add("nms", on_locations(lambda t: ranking.nms(t).select("loc_id", "x", "y", "z", "radius")), f"WITH {_sql_nms('treeloc')} SELECT loc_id, x, y, z, radius FROM treeloc SEMI JOIN chosen USING (loc_id)", recursive=True)
 _add("order_by_distance_desc", on_points(lambda p: ranking.order_by_distance_desc(p, "z", "pid").select("pid", "seq")), "SELECT pid, CAST(row_number() OVER (ORDER BY z DESC, pid) - 1 AS INT) AS seq FROM points")
 _add("argmin_over_targets", on_points(lambda p: ranking.argmin_over_targets(p, "itc", "conf", "pid").select("itc", "pid", "conf")), "SELECT itc, arg_min(pid, (conf, pid)) AS pid, min(conf) AS conf FROM points GROUP BY 1")
 _add(
@@ -531,7 +570,10 @@ _add(
 _add(
     "constrain_radii",
     on_points(lambda p: ranking.constrain_radii(_tree_paths(p).groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "radius"))), lambda s: s.radius).alias("radii"))).select("path_id", F.posexplode("radii").alias("at", "radius")).select("path_id", "at", *r6("radius"))),
-    f"""WITH {SQL_PATHS}, w AS (SELECT path_id, seq, min(ln(radius) - seq * ln(1.1::DOUBLE)) OVER (PARTITION BY path_id ORDER BY seq) + seq * ln(1.1::DOUBLE) AS l FROM paths) SELECT path_id, seq AS at, round(exp(l), 6) AS radius FROM w""",
+    f"""WITH {SQL_PATHS}, w(path_id, seq, radius) AS (SELECT path_id, seq, radius FROM paths WHERE seq = 0
+      UNION ALL SELECT p.path_id, p.seq, least(p.radius, 1.1::DOUBLE * w.radius) FROM w JOIN paths p ON p.path_id = w.path_id AND p.seq = w.seq + 1)
+    SELECT path_id, seq AS at, round(radius, 6) AS radius FROM w""",
+    recursive=True,
 )
 _add("farthest_reachable", on_points(lambda p: ranking.farthest_reachable(p, "z", "pid").select("pid", "z")), "SELECT arg_max(pid, (z, -pid)) AS pid, max(z) AS z FROM points")
 _add(
@@ -586,14 +628,20 @@ _add(
     SELECT key.pid, CASE WHEN n >= 3 THEN n ELSE 0 END AS component FROM key JOIN vx ON vx.x = i AND vx.y = j AND vx.z = k JOIN cc ON cc.id = vx.id JOIN n USING (lab)""",
     recursive=True,
 )
+PEAKS = f"""{_sql_knn('treeloc', 'loc_id', 'treeloc', 'loc_id', 4, D2, True)}, e AS (SELECT src, dst FROM near WHERE dist < 6.0::DOUBLE UNION SELECT dst, src FROM near WHERE dist < 6.0::DOUBLE), {_sql_cc('SELECT loc_id AS id FROM treeloc')},
+    peaks AS (SELECT lab AS loc_id, avg(x) AS x, avg(y) AS y, avg(z) AS z, median(radius) AS radius FROM cc JOIN treeloc ON loc_id = id GROUP BY 1 HAVING median(radius) > 0.2)"""
 _add(
     "peak_components",
     on_locations(lambda t: graph.peak_extract(t.withColumnRenamed("loc_id", "pid"), 5, 6.0, 0.2, 0.0).select("loc_id", *r6("x", "y", "z", "radius"))),
-    f"""WITH {_sql_knn('treeloc', 'loc_id', 'treeloc', 'loc_id', 4, D2, True)}, e AS (SELECT src, dst FROM near WHERE dist < 6.0::DOUBLE UNION SELECT dst, src FROM near WHERE dist < 6.0::DOUBLE), {_sql_cc('SELECT loc_id AS id FROM treeloc')}
-    SELECT lab AS loc_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, round(median(radius), 6) AS radius FROM cc JOIN treeloc ON loc_id = id GROUP BY 1 HAVING median(radius) > 0.2""",
+    f"WITH {PEAKS} SELECT loc_id, {q6('x', 'y', 'z', 'radius')} FROM peaks",
+    recursive=True,
+)
+_add(
+    "peak_extract",
+    on_locations(lambda t: graph.peak_extract(t.withColumnRenamed("loc_id", "pid"), 5, 6.0, 0.2, 0.5).select("loc_id", *r6("x", "y", "z", "radius"))),
+    f"WITH {PEAKS}, {_sql_nms('peaks')} SELECT loc_id, {q6('x', 'y', 'z', 'radius')} FROM peaks SEMI JOIN chosen USING (loc_id)",
     recursive=True,
 )
-_add("peak_extract", on_locations(lambda t: graph.peak_extract(t.withColumnRenamed("loc_id", "pid"), 5, 6.0, 0.2, 0.5).select("loc_id", *r6("x", "y", "z", "radius"))))
 SYMMETRIC = "sym AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, d3 AS w FROM best WHERE {keep} UNION ALL SELECT dst, src, d3 FROM best WHERE {keep}) GROUP BY 1, 2)"
 
 
@@ -645,13 +693,61 @@ def _stem_of(p: DataFrame) -> DataFrame:
     return graph.find_stem(segs, qsm.undirected(_tree_edges(p))).select("seq", "node_id")
 
 
-_add("find_stem", on_points(_stem_of))
+def _sql_tree(first: str) -> str:
+    """CTEs of the tree of shortest paths over the segments from those in ``first``: ``sp(id, d, prev)``."""
+    return f"""{SEGS}, {_sql_knn('seg', 'label', 'seg', 'label', 6, D2, True)}, e AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, round(dist, 6) AS w FROM near UNION ALL SELECT dst, src, round(dist, 6) FROM near) GROUP BY 1, 2),
+    sp(id, d, prev) USING KEY (id) AS (SELECT label, 0::DOUBLE, NULL::BIGINT FROM seg WHERE label IN ({first})
+      UNION SELECT c.dst, min(c.nd), arg_min(c.src, (c.nd, c.src)) FROM (SELECT e.dst, sp.d + e.w AS nd, e.src FROM sp JOIN e ON e.src = sp.id) c LEFT JOIN recurring.sp r ON r.id = c.dst WHERE r.id IS NULL OR c.nd < r.d GROUP BY c.dst)"""
+
+
+_add(
+    "find_stem",
+    on_points(_stem_of),
+    f"""WITH {_sql_tree('SELECT arg_min(label, (z, label)) FROM seg')},
+    back(node, k) AS (SELECT arg_max(id, (d, -id)), 0 FROM sp UNION ALL SELECT sp.prev, k + 1 FROM back JOIN sp ON sp.id = back.node WHERE sp.prev IS NOT NULL)
+    SELECT CAST(max(k) OVER () - k AS INT) AS seq, node AS node_id FROM back""",
+    recursive=True,
+)
 _add(
     "path_tree",
     on_points(lambda p: qsm.path_tree(materialize(qsm.undirected(_tree_edges(p)), "e"), p.filter("itc = 0").select("cloud_id", F.col("itc").alias("node")).distinct(), 1e9).select("path_id", "seq", "node_id")),
+    f"""WITH {_sql_tree('SELECT 0')}, above(id, up) AS (SELECT id, id FROM sp WHERE d > 0 UNION ALL SELECT a.id, sp.prev FROM above a JOIN sp ON sp.id = a.up JOIN sp u ON u.id = sp.prev AND u.d > 0),
+    lead AS (SELECT up AS node, arg_min(a.id, (-d, a.id)) AS lead FROM above a JOIN sp ON sp.id = a.id GROUP BY 1), depth AS (SELECT id AS node, count(*) AS depth FROM above GROUP BY 1),
+    num AS (SELECT id AS lead, row_number() OVER (ORDER BY d DESC, id) AS path_id FROM sp SEMI JOIN lead l ON l.lead = sp.id),
+    placed AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY depth) AS seq, node FROM lead JOIN num USING (lead) JOIN depth USING (node))
+    SELECT CAST(path_id AS INT) AS path_id, CAST(seq AS INT) AS seq, node AS node_id FROM placed UNION ALL SELECT CAST(path_id AS INT), 0, prev FROM placed JOIN sp ON sp.id = node WHERE seq = 1""",
+    recursive=True,
 )
 _add("stem_clusters", on_both(lambda p, t: segment.stem_clusters(p, t, 1.0, 6.0).select("pid", "stemoff")))
-_add("crown_clusters", on_points(lambda p: segment.crown_clusters(_labelled(p).withColumn("init_segs", F.col("label")).withColumn("treeoff", F.col("stemoff")), 1.0, 6.0, 8).select("pid", "itc")))
+
+
+def _sql_nearest_label(edges: str, sources: str) -> str:
+    """CTE ``sp(id, d, tgt)``: the nearest of ``sources`` along ``edges``, the smaller of equals."""
+    return f"""sp(id, d, tgt) USING KEY (id) AS (SELECT id, 0::DOUBLE, id FROM ({sources})
+      UNION SELECT c.dst, min(c.nd), arg_min(c.tgt, (c.nd, c.tgt)) FROM (SELECT e.dst, sp.d + e.w AS nd, sp.tgt FROM sp JOIN {edges} e ON e.src = sp.id) c LEFT JOIN recurring.sp r ON r.id = c.dst WHERE r.id IS NULL OR c.nd < r.d OR (c.nd = r.d AND c.tgt < r.tgt) GROUP BY c.dst)"""
+
+
+REPS = f"reps AS (SELECT *, min(pid) OVER (PARTITION BY {cell('x', 1.0)}, {cell('y', 1.0)}, {cell('z', 1.0)}) AS rep FROM {{table}})"
+_add(
+    "stem_clusters_unsplit",
+    on_both(lambda p, t: segment.stem_clusters(p, t, 1.0, 6.0, split=False).select("pid", "stemoff")),
+    f"""WITH stems AS (SELECT * FROM points WHERE stemcls > 1), {REPS.format(table='stems')}, own AS (SELECT * FROM reps WHERE pid = rep),
+    {_sql_bounded('own', 'pid', 10, 3.0).replace('near AS', 'near0 AS')}, e0 AS (SELECT src, dst FROM near0 UNION SELECT dst, src FROM near0), {_sql_cc('SELECT pid AS id FROM own', 'e0')},
+    lab AS (SELECT own.*, cc.lab AS label FROM own JOIN cc ON cc.id = pid), {CENTRES}, {_sql_knn('cen', 'label', 'cen', 'label', 10, D2XY, True)}, {CLOSEST}, {SYMMETRIC.format(keep='d2 < 6.0::DOUBLE')},
+    base AS (SELECT DISTINCT label FROM (SELECT b.loc_id, arg_min(a.label, ({D2}, a.pid)) AS label FROM treeloc b JOIN lab a USING (cloud_id) GROUP BY 1)), {_sql_nearest_label('sym', 'SELECT label AS id FROM base')},
+    ranks AS (SELECT id, dense_rank() OVER (ORDER BY tgt) AS stem FROM sp)
+    SELECT p.pid, coalesce(ranks.stem, 0) AS stemoff FROM points p LEFT JOIN reps r ON r.pid = p.pid LEFT JOIN lab ON lab.pid = r.rep LEFT JOIN ranks ON ranks.id = lab.label""",
+    recursive=True,
+)
+_add(
+    "crown_clusters",
+    on_points(lambda p: segment.crown_clusters(_labelled(p).withColumn("init_segs", F.col("label")).withColumn("treeoff", F.col("stemoff")), 1.0, 6.0, 8).select("pid", "itc")),
+    f"""WITH {LABELLED.replace('lab AS', 'every AS')}, {REPS.format(table='every')}, lab AS (SELECT * FROM reps WHERE pid = rep), {CENTRES}, {_sql_knn('cen', 'label', 'cen', 'label', 8, D2, True)}, {CLOSEST}, {SYMMETRIC.format(keep='d2 < 6.0::DOUBLE AND d3 < 12.0::DOUBLE')},
+    votes AS (SELECT label, stemoff, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, stemoff) AS k FROM lab WHERE stemoff > 0 GROUP BY 1, 2), modes AS (SELECT label, stemoff AS mode FROM votes WHERE k = 1), {_sql_nearest_label('sym', 'SELECT label AS id FROM modes')},
+    near_mode AS (SELECT sp.id, sp.tgt, own.mode FROM sp LEFT JOIN modes own ON own.label = sp.id), per AS (SELECT tgt, mode, row_number() OVER (PARTITION BY tgt ORDER BY count(*) DESC, mode) AS k FROM near_mode WHERE mode IS NOT NULL GROUP BY 1, 2)
+    SELECT e.pid, CASE WHEN e.stemoff > 0 THEN e.stemoff ELSE coalesce(per.mode, 0) END AS itc FROM every e JOIN reps r ON r.pid = e.pid JOIN lab ON lab.pid = r.rep LEFT JOIN sp ON sp.id = lab.label LEFT JOIN per ON per.tgt = sp.tgt AND per.k = 1""",
+    recursive=True,
+)
 _add(
     "treelabel_chain",
     on_points(lambda p: segment.treelabel_chain(_labelled(p, 10.0).select("cloud_id", "pid", F.col("label").alias("cluster"), F.col("stemoff").alias("treeoff"))).select("pid", "pred")),
@@ -692,7 +788,19 @@ _add(
     f"""WITH {SEGS}, {SHORT}, st AS (SELECT * FROM sp WHERE path_id % 2 = 0 OR seq < 2), ends AS (SELECT path_id, count(*) AS m, arg_max(node_id, seq) AS tip FROM st GROUP BY 1)
     SELECT path_id, seq, node_id FROM st WHERE path_id NOT IN (SELECT path_id FROM ends JOIN seg ON label = tip WHERE m < 3 AND n <= 370)""",
 )
-_add("node_radius", on_points(lambda p: qsm.node_radius(p, _short_paths(p), qsm.segments_of(p, "itc"), segment="itc").select("path_id", "seq", "node_id", *r6("x", "y", "z", "radius"))))
+_add(
+    "node_radius",
+    on_points(lambda p: qsm.node_radius(p, _short_paths(p), qsm.segments_of(p, "itc"), segment="itc").select("path_id", "seq", "node_id", *r6("x", "y", "z", "radius"))),
+    f"""WITH {SEGS}, {SHORT}, v AS (SELECT path_id, seq, node_id, x, y, z, {', '.join(f'{c} - lag({c}) OVER w AS d{c}' for c in 'xyz')} FROM sp JOIN seg ON label = node_id WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+    u AS (SELECT *, {', '.join(f'd{c} / sqrt(dx*dx + dy*dy + dz*dz) AS u{c}' for c in 'xyz')} FROM v WHERE seq > 0), pr AS (SELECT path_id, seq, p.x, p.y, ux, uy, (p.x - u.x) * ux + (p.y - u.y) * uy + (p.z - u.z) * uz AS t FROM u JOIN points p ON p.itc = node_id),
+    fl AS (SELECT path_id, seq, x - t * ux AS px, y - t * uy AS py FROM pr), ce AS (SELECT path_id, seq, px - avg(px) OVER w AS u, py - avg(py) OVER w AS v FROM fl WINDOW w AS (PARTITION BY path_id, seq) QUALIFY count(*) OVER w > 4),
+    mo AS (SELECT path_id, seq, median(sqrt(u*u+v*v)) AS r0, count(*) AS n, sum(u*u) AS suu, sum(v*v) AS svv, sum(u*v) AS suv, sum(u*(u*u+v*v)) AS sa, sum(v*(u*u+v*v)) AS sb FROM ce GROUP BY 1, 2),
+    ft AS (SELECT *, (sa*svv - sb*suv) / (2 * (suu*svv - suv*suv)) AS cu, (sb*suu - sa*suv) / (2 * (suu*svv - suv*suv)) AS cv FROM mo), fr AS (SELECT *, sqrt(cu*cu + cv*cv + (suu + svv) / n) AS r FROM ft),
+    sg AS (SELECT path_id, seq, sqrt(avg(pow(sqrt((u-cu)*(u-cu) + (v-cv)*(v-cv)) - r, 2))) AS sigma FROM ce JOIN fr USING (path_id, seq) GROUP BY 1, 2),
+    rd AS (SELECT u.path_id, u.seq, node_id, x, y, z, coalesce(CASE WHEN sigma / r > 0.3 THEN r0 ELSE least(r, r0 * 1.2::DOUBLE) END, 0.04::DOUBLE) AS radius FROM u LEFT JOIN fr USING (path_id, seq) LEFT JOIN sg USING (path_id, seq)),
+    md AS (SELECT * REPLACE (CASE WHEN count(*) OVER (PARTITION BY path_id) > 3 THEN list_sort([lag(radius, 1, 0::DOUBLE) OVER w, radius, lead(radius, 1, 0::DOUBLE) OVER w])[2] ELSE radius END AS radius) FROM rd WINDOW w AS (PARTITION BY path_id ORDER BY seq))
+    SELECT path_id, seq, node_id, {q6('x', 'y', 'z', 'radius')} FROM md UNION ALL SELECT v.path_id, v.seq, v.node_id, round(v.x, 6), round(v.y, 6), round(v.z, 6), round(coalesce(md.radius, 0.04), 6) FROM v LEFT JOIN md ON md.path_id = v.path_id AND md.seq = 1 WHERE v.seq = 0""",
+)
 
 
 def _qsm(spark: SparkSession, d: str) -> DataFrame:
@@ -706,7 +814,24 @@ _add("qsm", _qsm)
 
 # ---------------------------------------------------------------- rasters and geometry
 
-_add("dtm", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0).select("row", "col", *r6("x", "y", "z"))))
+
+
+def _sql_dtm(fill: bool) -> str:
+    """CTE ``dtm(row, col, x, y, z)``: tiles of 30 m widened by 4 m, cells of 2 m, each step by its definition."""
+    held = {a: f"(({a} - g{a}0) - 4.0::DOUBLE) / 30.0::DOUBLE <= {t} + 1 AND (({a} - g{a}0) + 4.0::DOUBLE) / 30.0::DOUBLE >= {t}" for a, t in (("x", "ti"), ("y", "tj"))}
+    spans = [f"(SELECT t AS {t} FROM range(0, 1000) r(t)) {t}s ON {t} < ceil((g{a}1 - g{a}0) / 30.0::DOUBLE) AND {held[a]}" for a, t in (("x", "ti"), ("y", "tj"))]
+    weights = f"""w AS (SELECT ti, tj, row + a AS row, col + b AS col, sum(value / (a*a+b*b)) / sum(1.0::DOUBLE / (a*a+b*b)) AS value FROM rc, off WHERE a <> 0 OR b <> 0 GROUP BY 1, 2, 3, 4),
+    fl AS (SELECT * FROM rc UNION ALL SELECT w.* FROM w JOIN own USING (ti, tj) ANTI JOIN rc USING (ti, tj, row, col) WHERE row >= 0 AND col >= 0 AND row <= floor((yb - ya) / 2.0::DOUBLE) AND col <= floor((xb - xa) / 2.0::DOUBLE))"""
+    return f"""g0 AS (SELECT x, y, z FROM points WHERE treefilter <= 1), gx AS (SELECT min(x) AS gx0, max(x) AS gx1, min(y) AS gy0, max(y) AS gy1 FROM g0),
+    tl AS (SELECT x, y, z, ti, tj FROM g0 CROSS JOIN gx JOIN {spans[0]} JOIN {spans[1]}), own AS (SELECT ti, tj, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM tl GROUP BY 1, 2),
+    rc AS (SELECT ti, tj, {cell('y - ya', 2.0)} AS row, {cell('x - xa', 2.0)} AS col, min(z) AS value FROM tl JOIN own USING (ti, tj) GROUP BY 1, 2, 3, 4), off AS (SELECT a, b FROM range(-5, 6) t(a), range(-5, 6) u(b) WHERE a*a + b*b <= 25),
+    {weights if fill else 'fl AS (SELECT * FROM rc)'}, sm AS (SELECT r.ti, r.tj, r.row, r.col, median(s.value) AS value FROM fl r JOIN off ON true JOIN fl s ON s.ti = r.ti AND s.tj = r.tj AND s.row = r.row + a AND s.col = r.col + b GROUP BY 1, 2, 3, 4),
+    pl AS (SELECT ti, tj, row AS r, col AS c, xa + col * 2.0::DOUBLE AS x, ya + row * 2.0::DOUBLE AS y, value FROM sm JOIN own USING (ti, tj)),
+    dtm AS (SELECT {cell('y - gy0', 2.0)} AS row, {cell('x - gx0', 2.0)} AS col, arg_min(x, (ti, tj, r, c)) AS x, arg_min(y, (ti, tj, r, c)) AS y, avg(value) AS z FROM pl, gx GROUP BY 1, 2)"""
+
+
+_add("dtm", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0).select("row", "col", *r6("x", "y", "z"))), f"WITH {_sql_dtm(True)} SELECT row, col, {q6('x', 'y', 'z')} FROM dtm")
+_add("dtm_unfilled", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0, fill="none").select("row", "col", *r6("x", "y", "z"))), f"WITH {_sql_dtm(False)} SELECT row, col, {q6('x', 'y', 'z')} FROM dtm")
 _add(
     "dtm_stats",
     on_points(lambda p: raster.dtm_stats(p, 2.0, frame=p).select("row", "col", *r6("x", "y", "z"))),
@@ -753,7 +878,15 @@ def _mask(p: DataFrame) -> DataFrame:
     return keyed.join(low, "cloud_id")
 
 
-_add("treeloc_stem_peaks", on_points(lambda p: raster.treeloc_stem_peaks(_mask(p), p, 2.0, 2.0, 0.95).select("peak_id", "x", "y", "z")))
+_add(
+    "treeloc_stem_peaks",
+    on_points(lambda p: raster.treeloc_stem_peaks(_mask(p), p, 2.0, 2.0, 0.95).select("peak_id", "x", "y", "z")),
+    f"""WITH {EXT}, px AS (SELECT {cell('y - y0', 2.0)} * 16777216 + {cell('x - x0', 2.0)} AS id, {cell('y - y0', 2.0)} AS row, {cell('x - x0', 2.0)} AS col FROM points JOIN ext USING (cloud_id) GROUP BY ALL HAVING max(conf) > 0.95),
+    e AS (SELECT a.id AS src, b.id AS dst FROM px a JOIN (SELECT i, j FROM range(-1, 2) t(i), range(-1, 2) u(j) WHERE i <> 0 OR j <> 0) ON true JOIN px b ON b.row = a.row + i AND b.col = a.col + j), {_sql_cc('SELECT id FROM px')},
+    b AS (SELECT lab AS peak_id, x0 + avg(col) * 2.0::DOUBLE AS x, y0 + avg(row) * 2.0::DOUBLE AS y FROM cc JOIN px USING (id), ext GROUP BY lab, x0, y0)
+    SELECT b.peak_id, arg_min(a.x, (a.z, a.pid)) AS x, arg_min(a.y, (a.z, a.pid)) AS y, min(a.z) AS z FROM points a JOIN b ON {D2XY} <= 4.0::DOUBLE GROUP BY 1""",
+    recursive=True,
+)
 _add("tube_samples", lambda spark, d: qsm.tube_samples(_skeleton(spark, d), 1.0).select("cloud_id", "path_id", "i", *r6("x", "y", "z", "radius")))
 
 
@@ -761,8 +894,15 @@ def _samples(p: DataFrame) -> DataFrame:
     return _tree_paths(p).withColumnRenamed("seq", "i")
 
 
-_add("tube_mesh_faces", on_points(lambda p: qsm.tube_mesh(_samples(p), 8)[1].select("path_id", "v1", "v2", "v3", "v4")), f"WITH {SQL_PATHS}, s AS (SELECT path_id, seq AS i, max(seq) OVER (PARTITION BY path_id) AS m FROM paths WHERE seq < 50) SELECT path_id, CAST(i * 8 + j AS INT) AS v1, CAST(i * 8 + (j + 1) % 8 AS INT) AS v2, CAST((i + 1) * 8 + (j + 1) % 8 AS INT) AS v3, CAST((i + 1) * 8 + j AS INT) AS v4 FROM s, range(8) t(j) WHERE i < m")
-_add("tube_mesh_vertices", on_points(lambda p: qsm.tube_mesh(_samples(p), 8)[0].select("path_id", "vid", *r6("x", "y", "z"))))
+_add("tube_mesh_faces", on_points(lambda p: qsm.tube_mesh(_samples(p), 8)[1].select("path_id", "v1", "v2", "v3", "v4")), f"WITH {SQL_PATHS}, s AS (SELECT path_id, seq AS i, max(seq) OVER (PARTITION BY path_id) AS m FROM paths) SELECT path_id, CAST(i * 8 + j AS INT) AS v1, CAST(i * 8 + (j + 1) % 8 AS INT) AS v2, CAST((i + 1) * 8 + (j + 1) % 8 AS INT) AS v3, CAST((i + 1) * 8 + j AS INT) AS v4 FROM s, range(8) t(j) WHERE i < m")
+_add(
+    "tube_mesh_vertices",
+    on_points(lambda p: qsm.tube_mesh(_samples(p), 8)[0].select("path_id", "vid", *r6("x", "y", "z"))),
+    f"""WITH {SQL_PATHS}, d AS (SELECT *, {', '.join(f'coalesce(lead({c}) OVER v - {c}, {c} - lag({c}) OVER v) AS d{c}' for c in 'xyz')} FROM paths WINDOW v AS (PARTITION BY path_id ORDER BY seq)),
+    u AS (SELECT *, {', '.join(f'd{c} / sqrt(dx*dx + dy*dy + dz*dz) AS z{c}' for c in 'xyz')} FROM d), a AS (SELECT *, CASE WHEN abs(zx - 1) <= 1.001e-5 AND abs(zy) <= 1e-8 AND abs(zz) <= 1e-8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ay FROM u),
+    y AS (SELECT *, -zz * ay AS yx, zz * (1 - ay) AS yy, zx * ay - zy * (1 - ay) AS yz FROM a), f AS (SELECT *, yy * zz - yz * zy AS xx, yz * zx - yx * zz AS xy, yx * zy - yy * zx AS xz FROM y), ring AS (SELECT *, j * (2 * pi() / 8) AS t FROM f, range(8) r(j))
+    SELECT path_id, CAST(seq * 8 + j AS INT) AS vid, {', '.join(f'round({c} + radius * cos(t) * x{c} / sqrt(xx*xx + xy*xy + xz*xz) + radius * sin(t) * y{c} / sqrt(yx*yx + yy*yy + yz*yz), 6) AS {c}' for c in 'xyz')} FROM ring""",
+)
 
 
 def _holed(p: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -770,7 +910,14 @@ def _holed(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.withColumn("z", F.when(F.pmod("vid", F.lit(11)) == 0, F.lit(float("nan"))).otherwise(F.col("z"))), f
 
 
-_add("drop_nan_vertices", on_points(lambda p: qsm.drop_nan_vertices(*_holed(p))[1].select("path_id", "v1", "v2", "v3", "v4")))
+FACES = "s AS (SELECT path_id, seq AS i, max(seq) OVER (PARTITION BY path_id) AS m FROM paths), faces AS (SELECT path_id, i * 8 + j AS v1, i * 8 + (j + 1) % 8 AS v2, (i + 1) * 8 + (j + 1) % 8 AS v3, (i + 1) * 8 + j AS v4 FROM s, range(8) t(j) WHERE i < m)"
+_add(
+    "drop_nan_vertices",
+    on_points(lambda p: qsm.drop_nan_vertices(*_holed(p))[1].select("path_id", "v1", "v2", "v3", "v4")),
+    f"""WITH {SQL_PATHS}, {FACES}, num AS (SELECT path_id, vid, sum(CAST(vid % 11 <> 0 AS BIGINT)) OVER (PARTITION BY path_id ORDER BY vid) - 1 AS n FROM (SELECT path_id, seq * 8 + j AS vid FROM paths, range(8) t(j)))
+    SELECT path_id, CAST(a.n AS BIGINT) AS v1, CAST(b.n AS BIGINT) AS v2, CAST(c.n AS BIGINT) AS v3, CAST(d.n AS BIGINT) AS v4 FROM faces
+    JOIN num a USING (path_id) JOIN num b USING (path_id) JOIN num c USING (path_id) JOIN num d USING (path_id) WHERE a.vid = v1 AND b.vid = v2 AND c.vid = v3 AND d.vid = v4 AND least(a.n, b.n, c.n, d.n) >= 0""",
+)
 
 # ---------------------------------------------------------------- inference with rule predictors
 
