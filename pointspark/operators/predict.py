@@ -1,8 +1,8 @@
 """Block-wise model inference with a pluggable predictor.
 
 A predictor gets one block's occupied voxels and returns values per voxel; everything around it (blocks, voxels,
-gathering, merging over overlaps) is relational. Trained networks are not part of this package: the rule
-predictors below are deterministic stand-ins that make the plumbing testable.
+gathering, merging over overlaps) is relational. Trained networks are not part of this package: ``OnnxModel`` runs
+one from a file, and the rule predictors are deterministic stand-ins that make the plumbing testable.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.operators.aggregates import overlap_last, seen_mask, voxel_mean_flag
@@ -64,6 +64,40 @@ class ZeroOffset:
         return block.assign(**dict.fromkeys(self.outputs, 0.0))
 
 
+_sessions: dict[int, object] = {}
+
+
+class OnnxModel:
+    """A network in ONNX form: one float input (1, 1, *size) of occupancy and one output (1, channels, *size).
+
+    Read at the occupied voxels: with the one output ``label`` the channel of the largest value, else a channel for
+    each of ``outputs``. A worker opens a network once.
+    """
+
+    def __init__(self, weights: bytes, size: tuple[int, int, int], outputs: tuple[str, ...] = ("label",)):
+        self.weights, self.size, self.outputs = weights, size, tuple(outputs)
+
+    def __call__(self, block: pd.DataFrame) -> pd.DataFrame:
+        import onnxruntime
+
+        key = hash(self.weights)
+        if key not in _sessions:
+            _sessions.clear()
+            _sessions[key] = onnxruntime.InferenceSession(self.weights, providers=["CPUExecutionProvider"])
+        network = _sessions[key]
+        dense = dense_block(block, self.size)[None, None]
+        values = network.run(None, {network.get_inputs()[0].name: dense})[0][0][:, block["i"], block["j"], block["k"]]
+        if self.outputs == ("label",):
+            return block.assign(label=values.argmax(axis=0).astype(float))
+        return block.assign(**dict(zip(self.outputs, values.astype(float), strict=True)))
+
+
+def onnx_factory(spark: SparkSession, weights: bytes, size: tuple[int, int, int], outputs: tuple[str, ...] = ("label",)) -> Callable[[], Predictor]:
+    """A factory of ``OnnxModel``; the weights are broadcast once (``load_weights`` bounds them)."""
+    sent = spark.sparkContext.broadcast(weights)
+    return lambda: OnnxModel(sent.value, size, outputs)
+
+
 def dense_block(block: pd.DataFrame, size: tuple[int, int, int], value: str | None = None) -> np.ndarray:
     """The block as a dense array, for predictors that need one: occupancy, or a column's values."""
     out = np.zeros(size, np.float32)

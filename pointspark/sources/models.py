@@ -43,6 +43,15 @@ def read_config(spark: SparkSession, path: str) -> ModelConfig:
     return parse_config("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()))
 
 
+def load_weights(spark: SparkSession, path: str, most: int = 1 << 30) -> bytes:
+    """A network's file, from any store that Spark reads; ``ValueError`` beyond ``most`` bytes."""
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select("length").limit(2).collect()
+    if len(found) != 1 or found[0]["length"] > most:
+        raise ValueError(f"{path} must be one file of at most {most} bytes")
+    return bytes(files.select("content").first()["content"])
+
+
 def model_catalog(spark: SparkSession, names: list[str], downloaded: set[str] = frozenset(), base_url: str = "") -> DataFrame:
     """``name, downloaded, resolution_cm, block, efficient, url`` per model."""
     rows = spark.createDataFrame([(n, n in downloaded) for n in names], "name string, downloaded boolean")

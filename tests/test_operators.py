@@ -4,6 +4,7 @@ import heapq
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,36 @@ def test_streamed_tiles(spark, tmp_path):
     q.awaitTermination(120)
     assert values(spark.read.parquet(f"{tmp_path}/out"), "value") == [(1.0,), (3.0,)]
     assert running_cell_min(stream, 1.0).isStreaming
+
+
+def _proto(*fields):
+    """A protocol buffer message from (number, value): integers, strings, or messages as bytes."""
+    out = b""
+    for number, value in fields:
+        value = value.encode() if isinstance(value, str) else value
+        if isinstance(value, int):
+            out += bytes([number << 3 & 127 | (128 if number > 15 else 0), *([number >> 4] if number > 15 else []), value])
+        else:
+            out += bytes([number << 3 | 2, *([len(value)] if len(value) < 128 else [len(value) & 127 | 128, len(value) >> 7])]) + value
+    return out
+
+
+def test_onnx_predictor(spark, tmp_path):
+    """A network of two channels, minus and plus occupancy, through the factory."""
+
+    def value(name, *shape):
+        dims = _proto(*((1, _proto((1, n))) for n in shape))
+        return _proto((1, name), (2, _proto((1, _proto((1, 1), (2, dims))))))
+
+    nodes = [_proto((1, "x"), (2, "m"), (4, "Neg")), _proto((1, "m"), (1, "x"), (2, "y"), (4, "Concat"), (5, _proto((1, "axis"), (3, 1), (20, 2))))]
+    graph = _proto(*((1, n) for n in nodes), (2, "g"), (11, value("x", 1, 1, 4, 4, 4)), (12, value("y", 1, 2, 4, 4, 4)))
+    (tmp_path / "net.onnx").write_bytes(_proto((1, 8), (7, graph), (8, _proto((2, 13)))))
+    weights = models.load_weights(spark, f"file://{tmp_path}/net.onnx")
+    with pytest.raises(ValueError):
+        models.load_weights(spark, f"file://{tmp_path}/net.onnx", 10)
+    p = cloud(spark, [(0.5 * i, 0.5 * i, 0.5 * i) for i in range(6)])
+    got = values(predict.component_filter(p, predict.onnx_factory(spark, weights, (4, 4, 4)), (1.0, 1.0, 1.0), (4, 4, 4)), "pid", "label")
+    assert got == [(i, 2) for i in range(6)]
+    model = predict.OnnxModel(weights, (4, 4, 4), ("low", "high"))
+    out = model(pd.DataFrame({"i": [0, 1], "j": [2, 3], "k": [3, 0]}))
+    assert out["low"].tolist() == [-1.0, -1.0] and out["high"].tolist() == [1.0, 1.0]
