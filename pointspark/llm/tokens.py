@@ -1,8 +1,10 @@
 """Exact, cached encoding with a tokenizers model.
 
-A text is cut at single spaces and line feeds between two non-space characters. No pre-token crosses such a
-place, so every piece has the ids it has in the whole text, and a worker encodes a piece it has met before by
-a dictionary look-up. Pieces and pre-tokens are kept in two generations of bounded size.
+A text of plain characters (ASCII and the letters of Western Europe) is cut to pre-tokens by a regular expression
+and each is looked up in a dictionary of bounded size, so that a worker asks the model once for a word. Other
+texts are cut at single spaces and line feeds between two non-space characters, where no pre-token crosses, and
+the pieces that hold other characters go through the library. A text that holds the string of a special token
+is the library's whole.
 """
 
 from __future__ import annotations
@@ -13,103 +15,86 @@ from array import array
 
 import numpy as np
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
+#: A character that the patterns below may judge differently from the library.
+_ODD = re.compile(rf"[^\t\n\r -~{_LETTER}]").search
+#: Pre-tokens of plain characters: of models that keep a word's leading space, and of models that drop white space.
+_SPACED = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+").findall
+_BARE = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LETTER}0-9]+").findall
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-#: A word of plain letters with punctuation after it: two pre-tokens, the first unchanged by the byte alphabet.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,;:!?|]*)").fullmatch
-_LETTERS = [chr(c) for c in range(256) if _PLAIN(chr(c))] + ["Œ", "œ"]
-
-
-class _Unsafe(Exception):
-    pass
 
 
 class _Cache(dict):
-    """Piece -> little-endian ids. At ``size`` entries the older generation is dropped."""
+    """Piece -> little-endian ids. At ``size`` entries the older generation is dropped; long pieces are not kept."""
 
-    def __init__(self, make, size: int):
+    def __init__(self, make, size: int, longest: int = 64):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, piece):
         got = self.old.get(piece)
         if got is None:
             got = self.make(piece)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
+        if len(piece) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
         return got
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``, special strings as text.
+    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Fits byte-level models (with or without a normaliser) whose pre-tokens never span a white-space character
-    followed by a non-space character except as its leading space.
+    followed by a non-space character except as its leading space. ``cache`` bounds either generation of words.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 150_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.wide = self.t.get_vocab_size() > 65_536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
-        self.drops_space = not len(self.t.encode("a b", add_special_tokens=False).ids) > 2 and self._same("a b", "a\nb")
-        self.newline = b"" if self.drops_space else self._direct("\n")
-        norm = self.t.normalizer.normalize_str if self.t.normalizer is not None else str
-        self.letters = {ord(c): "".join(p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(norm(c))) for c in _LETTERS}
-        self.pre = _Cache(self._model, cache)
-        self.marks = _Cache(self._text, 10_000)
-        self.bare = _Cache(lambda p: self._piece("", p), cache)
-        self.spaced = self.bare if self.drops_space else _Cache(lambda p: self._piece(" ", p), cache)
-
-    def _same(self, a: str, b: str) -> bool:
-        return self.t.encode(a, add_special_tokens=False).ids == self.t.encode(b, add_special_tokens=False).ids
+        self.special = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        self.drops_space = not len(self._plain("a b")) > 2 * self.dtype.itemsize and self._plain("a b") == self._plain("a\nb")
+        self.newline = b"" if self.drops_space else self._plain("\n")
+        self.alphabet = {c: "".join(p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(chr(c))) for c in [*range(256), *map(ord, "Œœ")]}
+        self.words, self.odd = _Cache(self._word, cache), _Cache(self._text, cache // 4)
+        self.cut = (lambda text: _BARE(text.lower())) if self.drops_space else _SPACED
 
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _plain(self, text: str) -> bytes:
+        return array(self.code, self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, token: str) -> bytes:
-        return array(self.code, [x.id for x in self.t.model.tokenize(token)]).tobytes()
+    def _word(self, token: str) -> bytes:
+        """Ids of one pre-token of plain characters, which only needs the model's alphabet of bytes."""
+        return array(self.code, [x.id for x in self.t.model.tokenize(token.translate(self.alphabet))]).tobytes()
 
     def _text(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         if self.t.normalizer is not None:
             text = self.t.normalizer.normalize_str(text)
-        return b"".join([self.pre[p] for p, _ in self.t.pre_tokenizer.pre_tokenize_str(text)])
-
-    def _piece(self, lead: str, piece: str) -> bytes:
-        if plain := _PLAIN(piece):
-            word, after = plain.groups()
-            if after:  # the word alone is met with other punctuation, too
-                return (self.spaced if lead else self.bare)[word] + self.marks[after]
-            return self._model(("\u0120" if lead else "") + word.translate(self.letters))
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Unsafe
-        return self._text(lead + piece)
+        return array(self.code, [x.id for p, _ in self.t.pre_tokenizer.pre_tokenize_str(text) for x in self.t.model.tokenize(p)]).tobytes()
+
+    def _piece(self, piece: str, lead: str) -> bytes:
+        return self.odd[lead + piece] if _ODD(piece) else b"".join(map(self.words.__getitem__, self.cut(lead + piece)))
 
     def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        try:
-            return b"".join([self.bare[first], *map(self.spaced.__getitem__, rest)])
-        except _Unsafe:
-            pass
+        if not _ODD(line):
+            return b"".join(map(self.words.__getitem__, self.cut(line)))
         first, *rest = _GAP.split(line)
-        get = self._safe
-        return b"".join([get("", first), *(get("" if self.drops_space else " ", x) for x in rest)])
-
-    def _safe(self, lead: str, piece: str) -> bytes:
-        try:
-            return (self.spaced if lead else self.bare)[piece]
-        except _Unsafe:
-            return self._text(lead + piece)
+        return b"".join([self._piece(first, ""), *(self._piece(x, " ") for x in rest)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as packed little-endian integers of ``dtype``."""
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return self._plain(text)
+        if not _ODD(text):
+            return b"".join(map(self.words.__getitem__, self.cut(text)))
         return self.newline.join([self._line(x) for x in _LINE.split(text)])
 
 
@@ -117,8 +102,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process and vocabulary file."""
+    """One per worker process: another vocabulary takes the place of the last."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
