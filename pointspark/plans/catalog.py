@@ -110,11 +110,11 @@ _add(
 
 def _las(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "las")
-    las.write_las(points(spark, d), path, "treefilter", points_per_file=1 << 40)
-    return las.read_las(spark, path).select("pid", *r6("x", "y", "z"), "classification")
+    las.write_las(points(spark, d).withColumn("label", F.col("itc") + 300), path, "label", points_per_file=1 << 40)
+    return las.read_las(spark, path).select("pid", *r6("x", "y", "z"), "classification", "label")
 
 
-_add("write_read_las", _las, "SELECT row_number() OVER (ORDER BY pid) - 1 AS pid, x, y, z, treefilter AS classification FROM points")
+_add("write_read_las", _las, "SELECT row_number() OVER (ORDER BY pid) - 1 AS pid, x, y, z, CAST(itc + 300 AS INT) AS label, 0::INT AS classification FROM points")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

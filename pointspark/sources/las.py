@@ -1,6 +1,7 @@
 """Uncompressed LAS 1.2 files, point formats 0 to 3, as a Python data source ``las`` and a writer.
 
-A file is read in ranges of points, one task each, through the file system of its URI.
+A file is read in ranges of points, one task each, through the file system of its URI. A label is written whole as
+an extra dimension of four bytes, described by an extra-bytes record, besides the classification byte.
 """
 
 from __future__ import annotations
@@ -16,26 +17,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "cloud_id string, pid long, x double, y double, z double, intensity int, classification int"
+SCHEMA = "cloud_id string, pid long, x double, y double, z double, intensity int, classification int, label int"
 #: Record sizes of the point formats.
 SIZES = {0: 20, 1: 28, 2: 26, 3: 34}
 _RECORD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1")]
 
 
-def _record(size: int) -> np.dtype:
+#: Of an extra-bytes record: sizes of the data types, from 0, and the type of a signed integer of four bytes.
+_EXTRA, _INT = (0, 1, 1, 2, 2, 4, 4, 8, 8, 4, 8), 6
+_VLR = struct.Struct("<H16sHH32s")
+
+
+def _record(size: int, label_at: int | None = None) -> np.dtype:
     names, kinds = zip(*_RECORD, strict=True)
-    return np.dtype({"names": names, "formats": kinds, "offsets": [0, 4, 8, 12, 14, 15], "itemsize": size})
+    offsets = [0, 4, 8, 12, 14, 15]
+    if label_at is not None:
+        names, kinds, offsets = (*names, "label"), (*kinds, "<i4"), [*offsets, label_at]
+    return np.dtype({"names": names, "formats": kinds, "offsets": offsets, "itemsize": size})
+
+
+def _label_at(vlrs: bytes, n: int, at: int) -> int | None:
+    """Place in a point's record of the extra dimension ``label``, if the variable-length records describe one."""
+    start = 0
+    for _ in range(n):
+        _, user, ident, length, _ = _VLR.unpack_from(vlrs, start)
+        body, start = vlrs[start + _VLR.size : start + _VLR.size + length], start + _VLR.size + length
+        if user.rstrip(b"\0") == b"LASF_Spec" and ident == 4:
+            for i in range(0, len(body), 192):
+                kind, name = body[i + 2], body[i + 4 : i + 36].rstrip(b"\0")
+                if kind == _INT and name == b"label":
+                    return at
+                at += _EXTRA[kind] if kind < len(_EXTRA) else 0
+    return None
 
 
 def header(raw: bytes) -> dict:
     """What is needed of a public header block."""
     if raw[:4] != b"LASF":
         raise ValueError("not a LAS file")
-    data_at, = struct.unpack_from("<I", raw, 96)
+    head, data_at, n_vlrs = struct.unpack_from("<HII", raw, 94)
     kind, size, count = struct.unpack_from("<BHI", raw, 104)
     if kind & 128 or kind not in SIZES:
         raise ValueError(f"point format {kind} is compressed or unknown")
-    return {"data_at": data_at, "size": size, "count": count, "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155)}
+    return {"data_at": data_at, "size": size, "count": count, "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155), "vlrs": (head, n_vlrs), "extra_at": SIZES[kind]}
 
 
 class _Range(InputPartition):
@@ -69,13 +93,15 @@ class _Reader(DataSourceReader):
         where, _ = fs.FileSystem.from_uri(self.path)
         with where.open_input_file(partition.path) as f:
             h = header(f.read(227))
+            f.seek(h["vlrs"][0])
+            label_at = _label_at(f.read(h["data_at"] - h["vlrs"][0]), h["vlrs"][1], h["extra_at"])
             f.seek(h["data_at"] + partition.start * h["size"])
-            raw = np.frombuffer(f.read((partition.stop - partition.start) * h["size"]), _record(h["size"]))
+            raw = np.frombuffer(f.read((partition.stop - partition.start) * h["size"]), _record(h["size"], label_at))
         name = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         xyz = [raw[a] * s + o for a, s, o in zip("XYZ", h["scale"], h["offset"], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(raw)), pa.array(np.arange(partition.start, partition.stop)), *map(pa.array, xyz), pa.array(raw["intensity"].astype(np.int32)), pa.array(raw["classification"].astype(np.int32))],
-            names=["cloud_id", "pid", "x", "y", "z", "intensity", "classification"],
+            [pa.array([name] * len(raw)), pa.array(np.arange(partition.start, partition.stop)), *map(pa.array, xyz), pa.array(raw["intensity"].astype(np.int32)), pa.array(raw["classification"].astype(np.int32)), pa.array(raw["label"]) if label_at is not None else pa.nulls(len(raw), pa.int32())],
+            names=["cloud_id", "pid", "x", "y", "z", "intensity", "classification", "label"],
         )
 
 
@@ -102,14 +128,19 @@ def read_las(spark: SparkSession, path: str) -> DataFrame:
 
 
 def las_bytes(pdf: pd.DataFrame, scale: float = 0.001, dimension: str | None = None) -> bytes:
-    """One cloud as a LAS 1.2 file of point format 0; ``dimension`` goes to the classification byte."""
+    """One cloud as a LAS 1.2 file of point format 0.
+
+    ``dimension`` goes to an extra dimension of four bytes, and where it fits (0 to 255) to the classification byte, too.
+    """
     xyz = pdf[["x", "y", "z"]].to_numpy(float)
     low = np.floor(xyz.min(axis=0)) if len(xyz) else np.zeros(3)
-    out = np.zeros(len(xyz), _record(20))
+    size, vlr = (24, 192) if dimension is not None else (20, 0)
+    out = np.zeros(len(xyz), _record(size, 20 if vlr else None))
     for i, a in enumerate("XYZ"):
         out[a] = np.round((xyz[:, i] - low[i]) / scale)
     if dimension is not None:
-        out["classification"] = pdf[dimension].to_numpy().astype(np.uint8)
+        out["label"] = pdf[dimension].to_numpy().astype(np.int32)
+        out["classification"] = np.where((out["label"] >= 0) & (out["label"] < 256), out["label"], 0)
     elif "classification" in pdf:
         out["classification"] = pdf["classification"].to_numpy().astype(np.uint8)
     if "intensity" in pdf:
@@ -117,12 +148,15 @@ def las_bytes(pdf: pd.DataFrame, scale: float = 0.001, dimension: str | None = N
     head = bytearray(227)
     head[:4] = b"LASF"
     struct.pack_into("<BB", head, 24, 1, 2)
-    struct.pack_into("<HII", head, 94, 227, 227, 0)
-    struct.pack_into("<BHI", head, 104, 0, 20, len(xyz))
+    struct.pack_into("<HII", head, 94, 227, 227 + (_VLR.size + vlr if vlr else 0), int(vlr > 0))
+    struct.pack_into("<BHI", head, 104, 0, size, len(xyz))
     struct.pack_into("<3d3d", head, 131, scale, scale, scale, *low)
     if len(xyz):
         hi, lo = xyz.max(axis=0), xyz.min(axis=0)
         struct.pack_into("<6d", head, 179, hi[0], lo[0], hi[1], lo[1], hi[2], lo[2])
+    if vlr:
+        head += _VLR.pack(0, b"LASF_Spec", 4, vlr, b"")
+        head += struct.pack("<HBB32s", 0, _INT, 0, b"label").ljust(vlr, b"\0")
     return bytes(head) + out.tobytes()
 
 

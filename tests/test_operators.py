@@ -410,7 +410,11 @@ def test_predictors_get_bounded_blocks(spark):
 def test_las_round_trip(spark, tmp_path):
     p = cloud(spark, [(1.25, 2, 3), (100.5, -2, 3.5)], cls=("int", [2, 6]))
     las.write_las(p, f"{tmp_path}/las", "cls")
-    assert values(las.read_las(spark, f"{tmp_path}/las"), "pid", "x", "y", "z", "classification") == [(0, 1.25, 2.0, 3.0, 2), (1, 100.5, -2.0, 3.5, 6)]
+    assert values(las.read_las(spark, f"{tmp_path}/las"), "pid", "x", "y", "z", "classification", "label") == [(0, 1.25, 2.0, 3.0, 2, 2), (1, 100.5, -2.0, 3.5, 6, 6)]
+    las.write_las(p.withColumn("cls", F.col("cls") + 300), f"{tmp_path}/wide", "cls")
+    assert values(las.read_las(spark, f"{tmp_path}/wide"), "pid", "z", "classification", "label") == [(0, 3.0, 0, 302), (1, 3.5, 0, 306)]
+    las.write_las(p, f"{tmp_path}/plain")
+    assert values(las.read_las(spark, f"{tmp_path}/plain"), "pid", "z", "label") == [(0, 3.0, None), (1, 3.5, None)]
     with pytest.raises(ValueError):
         las.header(b"nothing of the kind" * 20)
 
