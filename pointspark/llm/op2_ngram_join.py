@@ -1,18 +1,20 @@
 """N-gram Jaccard self-join with several global token orders, up to connected components.
 
 Texts of Jaccard similarity of at least ``percent`` / 100 over their sets of ``k``-word shingles are linked.
-Two such sets share, under any global order of shingles, one of the first |x| - ceil(t |x|) + 1. The first
-order goes by frequency (shingles of one document, then by count where it is known, then by a hash); its
-prefixes are indexed. Further orders are hashes alone: a candidate must share a prefix shingle under each of
-them, too, before the whole sets are compared.
+Two such sets share, under any global order of shingles, one of the first |x| - ceil(t |x|) + 1. All orders begin
+with shingles of one document, which meet nothing, and go by frequency, the first by counts as far as they are
+known, the further ones by their magnitude; ties go by a hash of each order's own. The first order's prefixes are
+indexed and make the candidates; a candidate must share a prefix shingle under every further order, too. These
+filters, and one on signatures, are intersected on short arrays before anything long is moved. What passes is
+verified on the sets of 64-bit shingle hashes, without the shingles of one document, which cannot be common.
 
 Frequencies are kept in tables of fixed size (``bits``, ``entries``) that are broadcast. An order may be any
 function of the shingle, so a table too small for a corpus costs candidates, never links.
 
 Texts with equal sets are one class from the start. In a posting list only pairs with a few pivots are made at
 first; linked texts are merged, and once little is left, the remaining pairs across components are compared, of
-which each has a member outside of the list's largest component and signatures that differ in few enough bits.
-So a group of thousands of near copies that link costs pairs in proportion to its size, and no link is lost.
+which each has a member outside of the list's largest component. So a group of thousands of near copies that link
+costs pairs in proportion to its size, and no link is lost.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; a text of fewer than ``k``
 words is one shingle; repeated rows share a class; rows with one doc_id count as one document in links; rows
@@ -30,12 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import mix, row_keys, shingle_set
+from pointspark.llm.common import ROW, mix, nested, row_keys, shingle_set, unnested
 from pointspark.operators.components import connected_components
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
 
 #: Salts of the further orders.
 ORDERS = (11, 23)
+#: Up to so many pairs, their identifiers are broadcast (16 bytes a pair) to leave out other classes' arrays.
+BROADCAST_PAIRS = 500_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -47,27 +51,16 @@ def prefix_size(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1 if n else 0
 
 
-def signature(s: np.ndarray, longs: int = 24) -> np.ndarray:
+def signature(s: np.ndarray, longs: int = 48) -> np.ndarray:
     """Which of 64 * longs slots hold a shingle. Two sets differ in at least as many shingles as signatures in bits."""
     bits = np.zeros(64 * longs, np.uint8)
     bits[(mix(s, 41) % np.uint64(64 * longs)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int, orders: tuple[int, ...] = ORDERS) -> bool:
-    """Whether two sorted sets are linked: sizes, then a shared prefix shingle in every order, then the sets."""
-    n, m = len(x), len(y)
-    if not n or not m or 100 * min(n, m) < percent * max(n, m):
-        return False
-    p, q = prefix_size(n, percent), prefix_size(m, percent)
-    for salt in orders:
-        a, b = (np.partition(mix(s, salt), r - 1)[:r] if r < len(s) else mix(s, salt) for s, r in ((x, p), (y, q)))
-        if not np.isin(a, b).any():
-            return False
-    both = np.concatenate((x, y))
-    both.sort()
-    inter = int((both[1:] == both[:-1]).sum())
-    return 100 * inter >= percent * (n + m - inter)
+def prefix(shared: np.ndarray, freq: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """The first ``size`` of a set's shingles that other documents hold, by frequency ``freq`` and then a hash."""
+    return shared[np.lexsort((mix(shared, salt), freq))[:size]] if size < len(shared) else shared
 
 
 def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +101,7 @@ def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.n
                     seen.add(digest)
                 wait.append(s)
                 waiting += len(s)
-            if waiting > 8_000_000:
+            if waiting > 3_000_000:
                 yield flush()
                 wait, waiting = [], 0
         if waiting:
@@ -137,9 +130,15 @@ def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.n
     return bitmap, code, n
 
 
-def _features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, pre, sig``: size, digest of the set, what of its first-order prefix others may
-    have, and the set's signature where there is any."""
+#: Columns of features: the indexed prefix, the prefixes of further orders, a short and a longer signature, and the shingles of two documents or more.
+_ARRAYS = {"pre": np.int64, **{f"pre{i}": np.int32 for i in range(len(ORDERS))}, "mini": np.int64, "sig": np.int64, "shared": np.int64}
+
+
+def features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2`` (size and digest of the set) and ``_ARRAYS``, empty where no other document can be near.
+
+    Prefixes of further orders are 32-bit hashes of shingles, which only test for a common one.
+    """
     table = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k, bits, entries))
 
     def one(text: str | None) -> tuple:
@@ -147,106 +146,131 @@ def _features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) ->
         s = shingle_set(text, k)
         n, p = len(s), prefix_size(len(s), percent)
         if not n:
-            return 0, 0, 0, s, s
+            return 0, 0, 0, *[s] * len(_ARRAYS)
         d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
         slot = s >> np.uint64(64 - bits)
         shared = s[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7))).astype(np.uint8)) & 1 == 1]
         p -= n - len(shared)  # shingles of one document come first and meet nothing
         if p <= 0:
-            return n, int(d1), int(d2), shared[:0], shared[:0]
-        if p < len(shared):
-            freq = np.zeros(len(shared), np.int64)
-            if len(codes):
-                own = shared >> np.uint64(24)
-                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                freq = np.where(codes[at] == own, counts[at], 0)
-            shared = shared[np.lexsort((mix(shared, 5), freq))[:p]]
-        return n, int(d1), int(d2), shared, signature(s)
+            return n, int(d1), int(d2), *[shared[:0]] * len(_ARRAYS)
+        freq = np.zeros(len(shared), np.int64)
+        if len(codes):
+            own = shared >> np.uint64(24)
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            freq = np.where(codes[at] == own, counts[at], 0)
+        further = [(mix(prefix(shared, np.log2(freq + 1).astype(np.int64), p, salt), 7) >> np.uint64(32)).astype(np.uint32) for salt in ORDERS]
+        return n, int(d1), int(d2), prefix(shared, freq, p, 5), *further, signature(s, 16), signature(s), shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(x) for x in batch.column(1).to_pylist()]
-            cols = [batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
-            for i in (3, 4):
-                flat = np.concatenate([r[i] for r in rows] or [np.empty(0, np.uint64)]).view(np.int64)
-                ends = np.cumsum([0, *(len(r[i]) for r in rows)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", "pre", "sig"])
-
-    return docs.select("doc_id", "_text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, pre array<long>, sig array<long>")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b, ok`` for ``a < b``: whether the pair's texts are linked."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sets = None, {}
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, sets = a[i], {}
-                x = sets.get(ta[i])
-                if x is None:
-                    x = sets[ta[i]] = shingle_set(ta[i], k)
-                ok.append(linked(x, shingle_set(tb[i], k), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    right = texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("tb"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("ta"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(check, "a long, b long, ok boolean")
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                rows = [one(x) for x in part.column(1).to_pylist()]
+                cols = [part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
+                for i, kind in enumerate(_ARRAYS.values(), 3):
+                    flat = np.concatenate([r[i].astype(np.uint64 if kind is np.int64 else np.uint32) for r in rows]).view(kind)
+                    ends = np.cumsum([0, *(len(r[i]) for r in rows)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", *_ARRAYS])
+
+    arrays = ", ".join(f"{c} array<{'long' if kind is np.int64 else 'int'}>" for c, kind in _ARRAYS.items())
+    found = materialize(docs.select("doc_id", "_text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, {arrays}"), "features")
+    table.destroy()
+    return found
+
+
+def _of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that occur in ``pairs``; only a list of identifiers of checked size is broadcast for it, else all go on."""
+    ids = pairs.select(F.col("a").alias("_i")).distinct().union(pairs.select("b").distinct())
+    return classes.join(F.broadcast(ids), F.col("doc_id") == F.col("_i"), "left_semi") if pairs.count() <= BROADCAST_PAIRS else classes
+
+
+def _differ(a: str, b: str, sizes: str, percent: int) -> str:
+    """SQL: two signatures differ in few enough bits for sets of these ``sizes`` in all."""
+    return f"{100 + percent} * aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) <= {100 - percent} * ({sizes})"
+
+
+def surviving(pairs: DataFrame, classes: DataFrame, percent: int, orders: int = len(ORDERS), signatures: bool = True) -> DataFrame:
+    """The pairs ``a, b`` (a written frame) that sizes, the first ``orders`` further orders and signatures allow, by short arrays alone."""
+    cols = ["n", *["sig"] * signatures, *(f"pre{i}" for i in range(orders))]
+    own = _of(pairs, classes)
+    x = own.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    y = own.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    both = pairs.select("a", "b").join(y, "b").join(x, "a")
+    both = both.filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    if signatures:
+        both = both.filter(_differ("a_sig", "b_sig", "a_n + b_n", percent))
+    for i in range(orders):
+        both = both.filter(F.arrays_overlap(f"a_pre{i}", f"b_pre{i}"))
+    return both.select("a", "b")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` (a written frame) whose sets are linked."""
+    own = _of(pairs, classes)
+    x, y = (own.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_s")) for c in "ab")
+    both = pairs.join(y, "b").join(x, "a").withColumn("_in", F.size(F.array_intersect("a_s", "b_s")).cast("long"))
+    return both.filter(f"100 * _in >= {percent} * (a_n + b_n - _in)").select("a", "b")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rounds: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """Features of every row, and ``id, component`` for every class representative that is linked."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    rows = materialize(_features(docs, k, percent, bits, entries), "features")
-    classes = rows.filter("size(pre) > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "pre", "sig")).alias("r"))
+    found = features(docs, k, percent, bits, entries)
+    classes = found.filter("size(pre) > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), *_ARRAYS)).alias("r"))
     classes = materialize(classes.select("r.*"), "classes")
-    every = classes.select(F.explode("pre").alias("token"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    rows = materialize(found.select("doc_id", "n_shingles", "d1", "d2"), "rows")
+    discard(found)
+    every = classes.select(F.explode("pre").alias("token"), F.col("doc_id").alias("rep"), "n")
     often = materialize(every.groupBy("token").agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col("token").alias("_t")), "often")
     posts = materialize(every.join(often, F.col("token") == F.col("_t")).drop("_t"), "postings")
+    discard(often)
     size = posts.count()
-    members = posts.select(F.col("rep").alias("_m")).distinct()
-    texts = materialize(docs.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("_m"), "left_semi"), "candidates")
 
-    done, components = None, spark.createDataFrame([], "id long, component long")
+    done, links, components = None, None, spark.createDataFrame([], "id long, component long")
 
     def extend(pairs: DataFrame) -> bool:
         """Compare new pairs; whether there was a new link."""
-        nonlocal done, components
+        nonlocal done, links, components
         new = pairs.distinct()
         if done is not None:
-            new = new.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = materialize(_verify(new, texts, k, percent), "checked")
-        done = checked if done is None else done.unionByName(checked)
-        if checked.filter("ok").isEmpty():
+            new = new.join(done, ["a", "b"], "left_anti")
+        new = materialize(new, "pairs")
+        done = new if done is None else done.unionByName(new)
+        near = materialize(surviving(new, classes, percent), "survivors")
+        found = materialize(verified(near, classes, percent), "links")
+        discard(near)
+        if found.isEmpty():
             return False
-        components = connected_components(done.filter("ok"), "a", "b")
+        links = found if links is None else links.unionByName(found)
+        discard(components)
+        components = materialize(connected_components(links, "a", "b"), "components")
         return True
 
-    def across() -> DataFrame:
-        """Postings with their component, of lists that hold more than one."""
-        named = posts.join(components, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    def across(lists: DataFrame) -> DataFrame:
+        """Postings with their component, of lists that hold more than one; a list that holds one will never hold more."""
+        named = lists.select("token", "rep", "n").join(components, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         named = materialize(named, "named")
         mixed = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
-        return named.join(materialize(mixed, "mixed"), F.col("token") == F.col("_t")).drop("_t")
+        mixed = materialize(mixed, "mixed")
+        out = materialize(named.join(mixed, F.col("token") == F.col("_t")).drop("_t"), "across")
+        discard(named, mixed, lists)
+        return out
 
     def pair(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     near = f"100 * least(n, _pn) >= {percent} * greatest(n, _pn)"
-    named, before = posts.withColumn("comp", F.col("rep")), float("inf")
+    named, before = posts.withColumn("comp", F.col("rep")), float("inf")  # not written, so never discarded here
     for turn in range(rounds):
         # three pivots of each list, chosen by hashes, and every member's pair with each
         pivots = named.groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(3 * turn + i), "rep").alias("h"), "rep", "n", "comp")) for i in range(3)]).alias("p"))
         pivots = materialize(pivots.select(F.col("token").alias("_t"), F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x.rep.alias("_pr"), x.n.alias("_pn"), x.comp.alias("_pc"))))).alias("x")).select("_t", "x.*"), "pivots")
         linked_more = extend(named.join(pivots, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and {near}")).select(*pair("rep", "_pr")))
+        discard(pivots)
         if linked_more or not turn:
-            named = materialize(across(), "across")
+            named = across(named)
         sizes = named.groupBy("token", "comp").agg(F.count("*").alias("_c"))
         main = sizes.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("m"), F.sum("_c").alias("_all"))
         main = materialize(main.select(F.col("token").alias("_t"), F.col("m.comp").alias("_main"), F.col("_all"), (F.col("_all") - F.col("m._c")).alias("_few")), "main")
@@ -257,15 +281,16 @@ def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rou
         before = left
 
     # what is left: pairs across components, one side outside of the list's largest component. A pair is made at
-    # the first list that both are in, as far as the first 8 lists of each tell, and only if the signatures allow it
-    marks = classes.select(F.col("doc_id").alias("_id"), F.col("sig").alias("s"), F.slice(F.array_sort("pre"), 1, 8).alias("t"))
+    # the first list that both are in, as far as the first 8 lists of each tell, and only if their short signatures allow it
+    marks = classes.select(F.col("doc_id").alias("_id"), F.col("mini").alias("s"), F.slice(F.array_sort("pre"), 1, 8).alias("t"))
     named = materialize(named.join(marks, F.col("rep") == F.col("_id")).drop("_id"), "marked")
     few = named.join(main, F.col("token") == F.col("_t")).filter("comp <> _main")
     few = few.select(F.col("token").alias("_t"), F.col("rep").alias("_pr"), F.col("n").alias("_pn"), F.col("comp").alias("_pc"), "_main", F.col("s").alias("_ps"), F.col("t").alias("_pt"))
-    differ = f"{100 + percent} * aggregate(zip_with(s, _ps, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b) <= {100 - percent} * (n + _pn)"
     first = "coalesce(array_min(array_intersect(t, _pt)) >= token, true)"
-    rest = named.join(materialize(few, "few"), (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and (comp = _main or rep < _pr) and {near} and {differ} and {first}"))
+    few = materialize(few, "few")
+    rest = named.join(few, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and (comp = _main or rep < _pr) and {near} and {_differ('s', '_ps', 'n + _pn', percent)} and {first}"))
     extend(rest.select(*pair("rep", "_pr")))
+    discard(named, few, main, posts, classes, done)
     return rows, components
 
 
@@ -274,6 +299,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, bits: int =
     rows, components = _classes(docs, k, percent, bits, entries, rounds, text, doc_id)
     reps = rows.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = reps.join(components, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.coalesce("component", "rep").alias("_c"))
+    named = materialize(named, "class-components")  # a plain join of two shuffles, which AQE can split where a third of all rows are copies
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -285,11 +311,10 @@ def keep_one_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *
     A document is an identifier with its text, so rows of one identifier and other texts are apart.
     """
     keys = row_keys(doc_id, text)
-    own = docs.filter(F.col(doc_id).isNotNull())
-    named = own.select(F.col(doc_id).alias("_doc"), *keys, F.col(text).alias("_text"))
-    found = ngram_components(named.select("_k1", "_text"), text="_text", doc_id="_k1", **options).select(F.col("doc_id").alias("_id"), "component_id")
-    at = named.select("_doc", "_k1", "_k2").distinct().join(found.distinct(), F.col("_k1") == F.col("_id"))
-    lead = at.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").cast("long").alias("d"), "_k1", "_k2")).alias("_l")).select(F.col("_l._k1").alias("_a"), F.col("_l._k2").alias("_b"))
-    keyed = own.withColumns({"_k1": keys[0], "_k2": keys[1]})
-    whole = keyed.join(lead.hint("shuffle_hash"), (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi")
-    return whole.dropDuplicates(["_k1", "_k2"]).select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    own = docs.filter(F.col(doc_id).isNotNull()).select(nested(docs), F.col(doc_id).cast("long").alias("_doc"), *keys, F.col(text).cast("string").alias("_text"))
+    found = ngram_components(own.select("_k1", "_text"), text="_text", doc_id="_k1", **options).select(F.col("doc_id").alias("_id"), "component_id")
+    at = own.select("_doc", "_k1", "_k2").distinct().join(found.distinct(), F.col("_k1") == F.col("_id"))
+    lead = at.groupBy("component_id").agg(F.min(F.struct("_doc", "_k1", "_k2")).alias("_l")).select(F.col("_l._k1").alias("_a"), F.col("_l._k2").alias("_b"))
+    whole = own.select(ROW, "_k1", "_k2").join(lead.hint("shuffle_hash"), (F.col("_k1") == F.col("_a")) & (F.col("_k2") == F.col("_b")), "left_semi")
+    null = docs.filter(F.col(doc_id).isNull()).select(nested(docs))
+    return whole.dropDuplicates(["_k1", "_k2"]).select(ROW).unionByName(null).select(*unnested(docs))
