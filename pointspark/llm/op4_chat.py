@@ -12,7 +12,7 @@ conversations give two empty completions; an empty table gives no pairs; further
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
@@ -30,13 +30,22 @@ def _mask(turns: str) -> str:
     return f"{step}.spans"
 
 
+def _turn() -> Column:
+    return F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """One row per pair from ``pair_id, chosen (boolean), turn, role, text``: prompt, completions and masks."""
-    rows = turns.filter("pair_id is not null and chosen is not null").select("pair_id", "chosen", F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
+    rows = turns.filter("pair_id is not null and chosen is not null").select("pair_id", "chosen", _turn().alias("t"))
     sides = rows.groupBy("pair_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("chosen"), F.col("t")))).alias("c"),
         F.array_sort(F.collect_list(F.when(~F.col("chosen"), F.col("t")))).alias("r"),
     )
+    return format_sides(sides)
+
+
+def format_sides(sides: DataFrame) -> DataFrame:
+    """``preference_pairs`` of ``pair_id, c, r``: the turns of either side in order."""
     same = "zip_with(c, r, (a, b) -> a is not null and b is not null and a.role <=> b.role and a.text <=> b.text)"
     common = F.expr(f"cast(if(array_position({same}, false) = 0, size(c), array_position({same}, false) - 1) as int)")
     cut = sides.withColumn("n_common", common)
@@ -55,7 +64,17 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns of every conversation, the even identifier of two as chosen and the odd one after it as rejected."""
-    ids = F.col("conv_id").cast("long")
-    return conversations.select(F.floor(ids / 2).cast("long").alias("pair_id"), (F.pmod(ids, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+def answers_swapped(conversations: DataFrame) -> DataFrame:
+    """``pair_id, c, r`` for each conversation: itself as chosen, and itself with another last answer as rejected.
+
+    The other answer is the last assistant turn's text of the conversation with the next identifier or, where that
+    has none, of the first conversation that has one. A conversation without an assistant turn has equal sides.
+    """
+    turns = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), _turn().alias("t"))
+    whole = turns.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("c"))
+    whole = whole.withColumn("_last", F.expr("array_max(transform(c, (t, i) -> if(t.role = 'assistant', i, null)))"))
+    answers = turns.filter("t.role = 'assistant'").groupBy("pair_id").agg(F.max("t").alias("t")).select((F.col("pair_id") - 1).alias("_of"), F.struct(F.col("t.text").alias("text")).alias("_next"))
+    first = answers.agg(F.min_by("_next", "_of").alias("_first"))  # one row
+    swapped = whole.join(answers, F.col("pair_id") == F.col("_of"), "left").crossJoin(F.broadcast(first))
+    rejected = "transform(c, (t, i) -> if(i <=> _last, struct(t.turn as turn, t.role as role, coalesce(_next, _first).text as text), t))"
+    return swapped.select("pair_id", "c", F.expr(rejected).alias("r"))
