@@ -11,7 +11,7 @@ from pointspark.llm.common import table
 from pointspark.llm.op1_substring_dedup import remove_repeats
 from pointspark.llm.op2_ngram_join import ngram_components
 from pointspark.llm.op3_sstable import token_shards
-from pointspark.llm.op4_chat import neighbours_as_pairs, preference_pairs
+from pointspark.llm.op4_chat import answers_swapped, format_sides
 from pointspark.llm.op5_langid import held_out, identify, learn
 from pointspark.llm.op6_packing import best_two_fit
 from pointspark.llm.op7_topk import top_k
@@ -42,7 +42,7 @@ def op3_sstable_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = preference_pairs(neighbours_as_pairs(table(spark, sf_dir, "conversations")))
+    out = format_sides(answers_swapped(table(spark, sf_dir, "conversations")))
     masks = {c: F.array_join(F.transform(c, lambda m: F.concat_ws("-", m.start, m.end)), ",") for c in ("chosen_mask", "rejected_mask")}
     return out.withColumns(masks)
 

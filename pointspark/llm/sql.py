@@ -10,11 +10,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = rf"""
 WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+') AS s FROM documents),
+norm AS (SELECT doc_id, s, list_transform(s, lambda x: trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS n FROM cut WHERE text IS NOT NULL),
+counted AS (SELECT *, list_transform(n, lambda x: CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS w FROM norm),
+places AS (SELECT *, unnest(range(1, len(n) + 1)) AS p FROM counted),
+spans AS (SELECT doc_id, n, p AS b, list_min(list_filter(range(p + 1, least(len(n), p + 21) + 1), lambda q: list_sum(w[p:q]) >= 20)) AS e FROM places
+  UNION ALL SELECT doc_id, n, list_max(list_filter(range(greatest(1, p - 21), p), lambda q: list_sum(w[q:p]) >= 20)), p FROM places),
+runs AS (SELECT DISTINCT doc_id, b, e, array_to_string(n[b:e], chr(1)) AS run FROM spans WHERE b IS NOT NULL AND e IS NOT NULL),
+again AS (SELECT doc_id, b, e FROM (SELECT doc_id, b, e, row_number() OVER (PARTITION BY run ORDER BY doc_id, b) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b - 1, e)) AS i FROM again),
 sent AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM cut),
-norm AS (SELECT doc_id, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS n FROM sent),
-runs AS (SELECT doc_id, i, sum(CASE WHEN n = '' THEN 0 ELSE length(n) - length(replace(n, ' ', '')) + 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS words, n || chr(1) || lead(n, 1) OVER w || chr(1) || lead(n, 2) OVER w AS run FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM runs WHERE run IS NOT NULL AND words >= 10) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, range(3) t(j)),
 islands AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
 removed AS (SELECT doc_id, '[' || string_agg('{{"start":' || a || ',"end":' || b || '}}', ',' ORDER BY a) || ']' AS removed, CAST(sum(b - a) AS BIGINT) AS n FROM islands GROUP BY doc_id),
 kept AS (SELECT s.doc_id, coalesce(string_agg(s.s, '' ORDER BY s.i) FILTER (g.i IS NULL), '') AS text FROM sent s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.i = s.i GROUP BY s.doc_id)
@@ -47,8 +51,12 @@ def _mask(side: str) -> str:
 
 
 OP4 = f"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, struct_pack(turn := turn, role := role, text := text) AS t FROM conversations WHERE conv_id IS NOT NULL),
-sides AS (SELECT pair_id, coalesce(list_sort(list(t) FILTER (chosen)), []) AS c, coalesce(list_sort(list(t) FILTER (NOT chosen)), []) AS r FROM t GROUP BY 1),
+WITH t AS (SELECT conv_id AS pair_id, struct_pack(turn := turn, role := role, text := text) AS t FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT pair_id, list_sort(list(t)) AS c FROM t GROUP BY 1),
+placed AS (SELECT *, list_max(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant')) AS last FROM whole),
+answers AS (SELECT pair_id, struct_pack(text := c[last].text) AS a FROM placed WHERE last IS NOT NULL),
+other AS (SELECT p.*, coalesce(n.a, f.a).text AS answer FROM placed p LEFT JOIN answers n ON n.pair_id = p.pair_id + 1 CROSS JOIN (SELECT arg_min(a, pair_id) AS a FROM answers) f),
+sides AS (SELECT pair_id, c, list_transform(c, lambda t, i: CASE WHEN i = last THEN struct_pack(turn := t.turn, role := t.role, text := answer) ELSE t END) AS r FROM other),
 cut AS (SELECT *, coalesce((SELECT min(i) FROM range(1, 1 + least(len(c), len(r))) g(i) WHERE c[i].role IS DISTINCT FROM r[i].role OR c[i].text IS DISTINCT FROM r[i].text) - 1, least(len(c), len(r))) AS k FROM sides),
 {_mask('c')}, {_mask('r')}
 SELECT cut.pair_id, CAST(k AS BIGINT) AS n_common, CAST(len(c) AS BIGINT) AS n_chosen, CAST(len(r) AS BIGINT) AS n_rejected, coalesce(array_to_string(list_transform(c[:k], lambda t: {_TURN}), ''), '') AS prompt,
