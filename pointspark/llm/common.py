@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker; the default would hold 64 MB of it three times over.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches sent to Python workers by ``BATCH_BYTES``, unless the session asks for less."""
+    if int(spark.conf.get(_BATCH).rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: a worker lives on and is not alone in its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def row_keys(*cols: str) -> list[Column]:
     """Two 64-bit hashes of a row's identifying columns: rows alike in these columns share them."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols]

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import ROW, mix, nested, row_keys, shingle_set, unnested
+from pointspark.llm.common import ROW, mix, nested, release, row_keys, shingle_set, small_batches, unnested
 from pointspark.operators.components import connected_components
 from pointspark.shared import discard, materialize
 
@@ -71,6 +71,7 @@ def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.n
     (about 2.5 bytes each); a prefix that is met twice is marked. Prefixes that collide only mark too much.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = 1 << min(bits - 3, max(6, (2 * docs.rdd.getNumPartitions()).bit_length()))
     shift = 64 - (ranges.bit_length() - 1)
 
@@ -101,11 +102,13 @@ def _frequencies(docs: DataFrame, k: int, bits: int, entries: int) -> tuple[np.n
                     seen.add(digest)
                 wait.append(s)
                 waiting += len(s)
-            if waiting > 3_000_000:
+            if waiting > 2_000_000:
                 yield flush()
                 wait, waiting = [], 0
         if waiting:
             yield flush()
+        wait, seen = [], set()
+        release()
 
     def meet(group: pa.Table) -> pa.Table:
         zstd = zstandard.ZstdDecompressor()
@@ -172,6 +175,7 @@ def features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) ->
                     ends = np.cumsum([0, *(len(r[i]) for r in rows)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "d1", "d2", *_ARRAYS])
+        release()
 
     arrays = ", ".join(f"{c} array<{'long' if kind is np.int64 else 'int'}>" for c, kind in _ARRAYS.items())
     found = materialize(docs.select("doc_id", "_text").mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, {arrays}"), "features")

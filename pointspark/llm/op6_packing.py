@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import ROW, field, nested, sums_before
+from pointspark.llm.common import ROW, field, nested, release, small_batches, sums_before
 from pointspark.llm.tokens import crc_of, encoder
 from pointspark.shared import materialize
 
@@ -112,7 +112,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: in
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names=names)
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, PIECE_SCHEMA + ", ids binary" * with_ids)
 
