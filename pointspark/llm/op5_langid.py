@@ -5,23 +5,27 @@ a language, by rank. A document's own most frequent n-grams are compared with ev
 the distance between its two ranks, or the profile's size where the profile lacks it; the least total wins and
 ties go to the language first by name. The score is 1 - total / greatest possible total.
 
-The classifier is fitted on a bounded sample: of each language the rows whose identifier hash is lowest, about
-``sample_rows`` in expectation and all where there are fewer. Predictions read whole texts and nothing else.
+The classifier is fitted on a bounded sample: of each language the rows whose hash is lowest, about
+``sample_rows`` in expectation and all where there are fewer. Predictions read whole texts and nothing else; the
+other columns of a row stay in the JVM, and only predictions come back from Python.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could
 be learned; repeated rows each get their own result; null identifiers count as held out of training; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are carried, but columns named ``lang_pred`` or ``score`` are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pointspark.llm.common import nested, release, row_keys, small_batches, unnested
+from pointspark.shared import materialize
+
 UND = "und"
 _BITS = np.uint64(21)  # of a code point
 _letters: np.ndarray | None = None
@@ -69,7 +73,8 @@ def learn(docs: DataFrame, sample_rows: int = 4000, profile_size: int = 300) ->
     Every label gets a profile; ``sample_rows`` bounds the expected training rows of each.
     """
     spark = docs.sparkSession
-    rows = docs.filter(~held_out()).filter("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("_h"), F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("_text"))
+    small_batches(spark)
+    rows = docs.filter(~held_out()).filter("lang is not null and text is not null").select(row_keys("doc_id", "text")[0].alias("_h"), F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("_text"))
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -87,15 +92,13 @@ def learn(docs: DataFrame, sample_rows: int = 4000, profile_size: int = 300) ->
                 code, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n for _, n in found]), len(code)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"_lang": [lang] * len(code), "code": pa.array(code.view(np.int64)), "n": pa.array(n)})
+        release()
 
-    per = sample.mapInArrow(count, "_lang string, code long, n long").groupBy("_lang", "code").agg(F.sum("n").alias("n")).persist()
-    try:
-        place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "code"))
-        best = per.withColumn("_at", place).filter(F.col("_at") <= profile_size).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_at", "code"))).alias("_p"))
-        profiles = {r["_lang"]: np.array([x["code"] for x in r["_p"]], np.int64).view(np.uint64) for r in best.orderBy("_lang").collect()}
-        return profiles
-    finally:
-        per.unpersist()
+    per = materialize(sample.mapInArrow(count, "_lang string, code long, n long").groupBy("_lang", "code").agg(F.sum("n").alias("n")), "grams")
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "code"))
+    best = per.withColumn("_at", place).filter(F.col("_at") <= profile_size).groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_at", "code"))).alias("_p"))
+    # profile_size codes for each label
+    return {r["_lang"]: np.array([x["code"] for x in r["_p"]], np.int64).view(np.uint64) for r in best.orderBy("_lang").collect()}
 
 
 class Ranker:
@@ -119,16 +122,21 @@ class Ranker:
         return best[1], 1.0 - best[0] / (self.size * len(code))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int = 300, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; a prediction reads the text alone."""
-    table = docs.sparkSession.sparkContext.broadcast(profiles)  # profile_size codes for each label
-    at = docs.columns.index(text)
+def predictor(spark: SparkSession, profiles: dict[str, np.ndarray], profile_size: int = 300) -> Callable[[Column], Column]:
+    """A function of a text column: ``struct<lang_pred, score>``."""
+    small_batches(spark)
+    table = spark.sparkContext.broadcast(profiles)  # profile_size codes for each label
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         ranker = Ranker(table.value, profile_size)
-        for batch in batches:
-            got = [ranker.predict(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        got = [ranker.predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(predict, schema)
+    return predict.asNondeterministic()  # else a filter on the result would ask for it twice
+
+
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int = 300, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; a prediction reads the text alone."""
+    predicted = docs.select(nested(docs), predictor(docs.sparkSession, profiles, profile_size)(F.col(text).cast("string")).alias("_p"))
+    return predicted.select(*unnested(docs, "lang_pred", "score"), "_p.lang_pred", "_p.score")
