@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointspark.llm.common import field, nested, unnested
 from pointspark.llm.op2_ngram_join import keep_one_each
-from pointspark.llm.op5_langid import UND, identify, learn
+from pointspark.llm.op5_langid import UND, learn, predictor
 from pointspark.llm.op6_packing import best_two_fit
 from pointspark.llm.op9_mixing import mixed_rows
-from pointspark.llm.op10_line_dedup import dedup_lines
+from pointspark.llm.op10_line_dedup import cleaned_lines
 from pointspark.llm.queries import WORD_BPE, vocabulary
-from pointspark.shared import materialize
+from pointspark.shared import clear, discard, mark, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
-    return identify(docs, learn(docs)).filter(F.col("lang_pred") != UND).select(*docs.columns)
+    predict = predictor(spark, learn(docs))
+    return docs.select(nested(docs), predict(F.col("text").cast("string")).alias("_p")).filter(F.col("_p.lang_pred") != UND).select(*unnested(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated multi-line chunks out of the texts; ``n_chars`` follows."""
-    out = dedup_lines(docs)
+    changed = {"text": F.col("_cleaned")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("_cleaned").cast(docs.schema["n_chars"].dataType)
+    return cleaned_lines(docs).select(*[changed.get(c, field(c)).alias(c) for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        began, last = mark(), docs
         docs = materialize(stage(spark, docs, sf_dir), name)
+        clear(spark, began, keep=(docs,))
+        discard(last)
     return docs
