@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,15 +8,18 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pointspark.llm import queries as q
+from pointspark.llm.common import row_keys
 from pointspark.llm.op1_substring_dedup import SENTENCE, remove_repeats
-from pointspark.llm.op2_ngram_join import keep_one_each, linked, ngram_components, signature
+from pointspark.llm.op2_ngram_join import ORDERS, features, keep_one_each, ngram_components, prefix, prefix_size, signature, surviving, verified
+from pointspark.shared import materialize
 from pointspark.llm.op3_sstable import ShardReader, ShardWriter, key_of, open_shard, token_shards, write_shards
 from pointspark.llm.op5_langid import UND, Ranker, grams, identify, learn
-from pointspark.llm.op6_packing import best_two_fit, plan, segments
+from pointspark.llm.op6_packing import best_two_fit, encode_pieces, pack, plan, segments
 from pointspark.llm.op9_mixing import mix, mixed_rows
-from pointspark.llm.op10_line_dedup import dedup_lines
+from pointspark.llm.op10_line_dedup import chunk_bounds, dedup_lines
 from pointspark.llm.tokens import Encoder
 
 BYTES, WORDS = q.vocabulary(q.BYTE_BPE), q.vocabulary(q.WORD_BPE)
@@ -25,29 +29,6 @@ def texts_of(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
-def sentence_spans(docs, span=3, least=10):
-    """Texts without repeated runs of sentences, by dictionaries."""
-    cut = {d: re.findall(SENTENCE, t) for d, t in docs if t is not None}
-    norm = {d: [" ".join(re.split(r"[\x20\x09-\x0D]+", s)).strip(" ").lower() for s in ss] for d, ss in cut.items()}
-    first, long_ = {}, lambda d, i: sum(len(s.split(" ")) if s else 0 for s in norm[d][i : i + span]) >= least
-    for d in sorted(norm):
-        for i in range(len(norm[d]) - span + 1):
-            if long_(d, i):
-                first.setdefault(tuple(norm[d][i : i + span]), (d, i))
-    out = {}
-    for d, ss in cut.items():
-        gone = {j for i in range(len(ss) - span + 1) if long_(d, i) and first[tuple(norm[d][i : i + span])] != (d, i) for j in range(i, i + span)}
-        out[d] = "".join(s for j, s in enumerate(ss) if j not in gone)
-    return out
-
-
-def test_op1_equals_brute_force(documents):
-    want = sentence_spans(texts_of(documents))
-    got = dict(texts_of(remove_repeats(documents.select("doc_id", "text"))))
-    assert got == want
-    assert any(want[d] != t for d, t in texts_of(documents))
-
-
 def long_runs(words, span, least):
     """Runs of sentences, by their counts of words, from each start and back from each end."""
     n, runs = len(words), set()
@@ -57,7 +38,7 @@ def long_runs(words, span, least):
     return sorted(runs - {None})
 
 
-def lengthened_spans(docs, span, least=10):
+def lengthened_spans(docs, span, least=20):
     """Texts without repeated runs of sentences, each as long as it must be."""
     cut = {d: re.findall(SENTENCE, t) for d, t in docs if t is not None}
     norm = {d: [" ".join(re.split(r"[\x20\x09-\x0D]+", s)).strip(" ").lower() for s in ss] for d, ss in cut.items()}
@@ -153,13 +134,33 @@ def test_op2_odd_rows(odd, none):
 @settings(max_examples=200, deadline=None)
 def test_op2_filters_lose_no_link(a, b, percent):
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
-    want = bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
-    assert linked(x, y, percent) == want
+    if a and b and 100 * len(a & b) >= percent * len(a | b):
+        for salt in (5, *ORDERS):
+            p, q = (prefix(s, (s % np.uint64(5)).astype(np.int64), prefix_size(len(s), percent), salt) for s in (x, y))
+            assert np.isin(p, q).any()
     bits = sum(int(v).bit_count() for v in signature(x, 2) ^ signature(y, 2))
     assert bits <= len(a ^ b)
 
 
-ODD_TEXTS = ["", " ", "\n", "a  b", " a", "a ", "a\n\nb", "a \n b", "tab\tx y", "x\r\ny z", "don't we'll I'M", "é x", "x ́y", "a b 　c", "<|endoftext|> hi", "日本語 テスト", "İstanbul ΣΑΣ Σ", "a\x1cb \x1c", "9 99 $$ !! ..", "foo 's bar", "foo\n's 'll", "Ünïcode, wörds."]
+def test_op2_orders_are_intersected_before_verification(spark):
+    """Pairs after each order: fewer each time, before any set is read, and never a link less."""
+    rng = np.random.default_rng(7)
+    phrases = [" ".join(f"p{j}w{i}" for i in range(14)) for j in range(80)]  # what unlike documents have in common
+    docs = [(d, " ".join(phrases[j] for j in rng.choice(80, 12, replace=False))) for d in range(150)]
+    base = [f"b{i}" for i in range(80)]
+    docs += [(200 + d, " ".join([*base[: 70 + d % 10], f"e{d}"])) for d in range(20)]
+    twins = spark.createDataFrame([(d, t) for d, t in docs] + [(1000 + d, t + " more") for d, t in docs[:60]], "doc_id long, _text string")
+    classes = materialize(features(twins, 5, 75, 20, 1 << 10).filter("size(pre) > 0").withColumnRenamed("n_shingles", "n"))
+    posts = classes.selectExpr("doc_id", "explode(pre) t")
+    pairs = materialize(posts.toDF("a", "t").join(posts.toDF("b", "t"), "t").filter("a < b").select("a", "b").distinct())
+    steps = [pairs.count(), *(surviving(pairs, classes, 75, i, signatures=False).count() for i in range(len(ORDERS) + 1)), surviving(pairs, classes, 75).count()]
+    assert steps == sorted(steps, reverse=True) and len({*steps[1:-1]}) == 1 + len(ORDERS), steps
+    found = {tuple(r) for r in verified(materialize(surviving(pairs, classes, 75)), classes, 75).collect()}
+    sets = {r["doc_id"]: brute.shingles(r["_text"]) for r in twins.collect()}
+    assert found == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+ODD_TEXTS = ["", " ", "\n", "a  b", " a", "a ", "a\n\nb", "a \n b", "tab\tx y", "x\r\ny z", "don't we'll I'M", "é x", "x ́y", "a b 　c", "<|endoftext|> hi", "a<|startoftext|>b", "<|endoftext", "<|ENDOFTEXT|>a", "日本語 テスト", "İstanbul ΣΑΣ Σ", "a\x1cb \x1c", "9 99 $$ !! ..", "foo 's bar", "foo\n's 'll", "Ünïcode, wörds."]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -167,7 +168,6 @@ def test_encoder_equals_the_library(documents, path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     e = Encoder(path, cache=50)  # generations turn over
     for text in [*ODD_TEXTS, *[x for _, x in texts_of(documents)][:80]]:
         assert np.frombuffer(e.encode(text), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -315,6 +315,44 @@ def test_op6_plans_use_everything_once(counts):
     assert int(seg[:, 2].sum()) == sum(counts.values())
 
 
+def plain_best_two_fit(counts, capacity):
+    """Bins one after the other over a plain multiset."""
+    left, bins = Counter(counts), []
+    while left := +left:
+        bin_, room = [], capacity
+        while fits := [s for s in left if left[s] and s <= room]:
+            bin_.append(max(fits))
+            left[bin_[-1]] -= 1
+            room -= bin_[-1]
+        last, gap = bin_[-1], room + bin_[-1]
+        left[last] += 1
+        sizes = sorted(+left)
+        pairs = [(a + b, -a, b) for i, a in enumerate(sizes) for b in sizes[i:] if a + b <= gap and (a != b or left[a] > 1)]
+        best = max(pairs, default=(0, 0, 0))
+        swap = [-best[1], best[2]] if room and best[0] > last else [last]
+        left.subtract(swap)
+        bins.append(tuple(sorted(bin_[:-1] + swap)))
+    return Counter(bins)
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 12), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_op6_plan_equals_best_two_fit(counts):
+    got = Counter()
+    for times, bin_ in plan(counts, 40):
+        got[tuple(sorted(bin_))] += times
+    assert got == plain_best_two_fit(counts, 40)
+
+
+def test_op6_hot_rows(spark):
+    """One document on a third of all rows: its rows are dealt to several groups and packed all the same."""
+    rows = [(7, "the same words")] * 150 + [(i, f"words of {i} " * (1 + i % 9)) for i in range(300)]
+    pieces = encode_pieces(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, with_ids=False)
+    got = pack(pieces, group_rows=10).collect()
+    check_packing(got)
+    assert len(got) == 450 and len({(r["sequence_id"], r["offset"]) for r in got}) == 450
+
+
 def check_packing(rows, capacity=4096):
     by = defaultdict(list)
     for r in rows:
@@ -391,6 +429,32 @@ def test_op9_targets_and_takings(spark, sf, documents):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, q.op9_source_mixing(spark, sf).collect()))
 
 
+def test_op9_order_and_cut_equal_brute_force(spark, documents):
+    """Virtual finish times, their order and the cut at the budget, served one by one; hashes are Spark's."""
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()] + [(3, "a third of all rows", "web")] * 60 + [(9_000, "no source here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = docs.select("doc_id", "source", "text", *row_keys("doc_id", "source", "text")).distinct()
+    many = Counter(rows)
+    hashed = hashed.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(60)).cast("array<bigint>"))).withColumn("h", F.xxhash64(F.lit(0), "_k1", "_k2", "i")).collect()
+    served = [(r["source"], r["h"], r["_k1"], r["_k2"], r["i"], r["doc_id"], count_words(r["text"])) for r in hashed if r["i"] <= many[r["doc_id"], r["text"], r["source"]]]
+    slices, per = max(16, -(-len(rows) // 20)), Counter()
+    for s in served:
+        per[s[0]] += s[-1]
+    target, upto, copies = water_fill(per, (5, 2, 1), 1.5 * sum(per.values())), Counter(), []
+    for source, h, k1, k2, i, d, size in sorted(served, key=lambda s: (s[1] % slices, *s[1:5])):
+        upto[source] += size
+        copies += [((c * per[source] + upto[source]) / target[source], source is None, source or "", h, k1, k2, i, c, d, size) for c in range(2)]
+    total, want, budget = 0, Counter(), math.floor(1.5 * sum(per.values()))
+    for c in sorted(copies):
+        total += c[-1]
+        if total <= budget:
+            want[c[-2]] += c[-1]
+    got = Counter()
+    for r in mix(docs, slice_rows=20).collect():
+        got[r["doc_id"]] += r["taken"]
+    assert +got == +want
+
+
 def test_op9_odd_rows(odd, none):
     rows = mix(odd).collect()
     assert len(rows) == 12
@@ -413,38 +477,6 @@ def test_op9_sizes_match_the_word_rule(spark):
     assert got == [count_words(t) for t in texts]
 
 
-def plain_line_dedup(spark, docs, window=2, divisor=4, least=2):
-    """Chunks by the same rolling hash, taken from Spark line by line, the rest by dictionaries."""
-    lines = sorted({x for _, t in docs if t is not None for x in t.split("\n")})
-    one = {r["l"]: r["h"] for r in spark.createDataFrame([(x,) for x in lines], "l string").selectExpr("l", "xxhash64(l) h").collect()}
-    grams_ = sorted({tuple(one[x] for x in t.split("\n")[i : i + window]) for _, t in docs if t is not None for i in range(t.count("\n") + 2 - window)})
-    ends = {}
-    if grams_:
-        df = spark.createDataFrame([(list(g),) for g in grams_], "g array<long>").selectExpr("g", f"pmod(aggregate(g, 0L, (h, x) -> xxhash64(h, x)), {divisor}) = 0 e")
-        ends = {tuple(r["g"]): r["e"] for r in df.collect()}
-    first, out = {}, {}
-    for d, t in sorted(docs):
-        if t is None:
-            continue
-        ls, start, kept = t.split("\n"), 0, []
-        for i in range(len(ls)):
-            last = i == len(ls) - 1
-            if last or (i + 1 >= window and ends[tuple(one[x] for x in ls[i + 1 - window : i + 1])]):
-                chunk = tuple(ls[start : i + 1])
-                if len(chunk) < least or first.setdefault(chunk, (d, start)) == (d, start):
-                    kept += chunk
-                start = i + 1
-        out[d] = "\n".join(kept)
-    return out
-
-
-def test_op10_equals_brute_force(spark, documents):
-    docs = texts_of(documents)
-    want = plain_line_dedup(spark, docs)
-    got = dict(texts_of(dedup_lines(documents.select("doc_id", "text"))))
-    assert got == want and any(want[d] != t for d, t in docs)
-
-
 def plain_joined_chunks(spark, docs, window=2, divisor=4, least=2):
     """Chunks by the same rolling hash, short ones joined to a neighbour, the rest by dictionaries."""
     texts = [(d, t.split("\n")) for d, t in sorted(docs) if t is not None]
@@ -490,8 +522,42 @@ def test_op10_odd_rows(odd, none):
     assert dedup_lines(none).count() == 0
 
 
+def test_op10_long_text(spark):
+    """Twenty thousand lines: the work on a text follows its length."""
+    rng = np.random.default_rng(3)
+    own = [f"line {i} {int(rng.integers(0, 10**9))}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "\n".join(own)), (2, "\n".join(["first", *own[5_000:15_000], "last"])), (3, "a\nb\n" * 10_000)], "doc_id long, text string")
+    by = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
+    assert by[1]["n_removed"] == 0 and by[2]["n_removed"] >= 9_990 and by[3]["n_lines"] == 20_001
+
+
+def test_op10_bounds_are_those_of_one_array(spark):
+    """Bounds gathered in blocks equal bounds gathered one by one."""
+    rows = [(list(map(int, np.random.default_rng(i).integers(0, 9, n))),) for i, n in enumerate([2, 3, 50, 700, 3000])]
+    df = spark.createDataFrame(rows, "_h array<long>")
+    got = df.selectExpr(f"{chunk_bounds(2, 4, 2, '_h')} a", f"{chunk_bounds(2, 4, 2, '_h', 7)} b", f"{chunk_bounds(2, 4, 5, '_h', 3)} c", f"{chunk_bounds(2, 4, 5, '_h', 10_000)} d").collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in got)
+    assert all(np.diff([0, *r["c"]]).min() >= 5 for r in got[2:])
+
+
 def test_op10_boundaries_resist_shifts(spark):
     body = [f"line {i} of a shared passage" for i in range(400)]  # what is lost is the chunk at either end and single lines
     docs = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(["something new", *body, "other end"]))], "doc_id long, text string")
     by = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
     assert by[1]["n_removed"] == 0 and by[2]["n_removed"] >= 340 and by[2]["text"].startswith("something new")
+
+
+CLASHING = ["_row", "_id", "_k1", "_k2", "_cut", "_at", "_s", "_l", "_n", "_all", "_h", "_r", "_t", "_u", "_p", "_i", "_m", "_text", "_doc", "_lines", "_first", "_salt", "lang_pred", "score", "component_id", "taken", "size", "d1", "_r1", "_b"]
+
+
+def test_clashing_columns_come_back_unchanged(spark, odd, sf):
+    """Columns named like an operator's own: every operator and stage that carries rows gives them back."""
+    import corpus_pipeline as p
+
+    docs = odd.filter("doc_id is not null").withColumns({c: F.concat(F.lit(c + " "), F.col("doc_id")) for c in CLASHING})
+    runs = [(remove_repeats, ()), (dedup_lines, ()), (keep_one_each, ()), (mixed_rows, ()), (lambda d: identify(d, learn(odd)), ("lang_pred", "score")), *((lambda d, f=f: f(spark, d, sf), ()) for _, f in p.STAGES[:-1])]
+    for run, own in runs:
+        out = run(docs)
+        assert set(docs.columns) <= set(out.columns)
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in CLASHING if c not in own)

@@ -60,6 +60,20 @@ def test_op7_odd_rows(odd_vectors):
     assert top_k(odd_vectors.limit(0)).count() == 0
 
 
+def test_op7_wide_empty_and_repeated(spark):
+    """Values beyond two bytes, empty vectors, and one identifier on a third of all rows."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), v.tolist()) for i, v in zip([*range(60), *[50] * 30], rng.normal(size=(90, 3)) * [1, 500, 1], strict=True)]
+    got = top_k(spark.createDataFrame([*rows, (100, []), (101, [])], "vec_id long, embedding array<double>"), slice_rows=4, block_rows=16)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect())
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    want = [(100, 1, 101, 0)]
+    for q_id in (0, 50):
+        best = sorted({(-int(s), i, at, j) for j, w in enumerate(x) if rows[j][0] == q_id for at, s in enumerate(x @ w) if (i := rows[at][0]) != q_id})
+        want += [(q_id, r + 1, i, -s) for r, (s, i) in enumerate([(s, i) for s, i, _, _ in best][:5])]
+    assert got == sorted(want)
+
+
 def links_of(rows, least=0.9):
     ids = [i for i, _ in rows]
     x = np.array([v for _, v in rows], np.float64)
@@ -86,10 +100,12 @@ def test_op8_recall_at_the_threshold(spark):
     e -= (e * x).sum(axis=1, keepdims=True) * x
     e /= np.sqrt((e * e).sum(axis=1, keepdims=True))
     y = 0.905 * x + math.sqrt(1 - 0.905**2) * e
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))], "vec_id long, embedding array<double>")
-    found = sum(r["n_links"] for r in near_duplicates(df, cell_rows=40).collect())
-    assert found >= 0.95 * 800
-    assert sum(r["n_links"] for r in near_duplicates(df, cell_rows=40, spread=6.0).collect()) == 800
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, y)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"bin_rows": 50, "block_rows": 16}, {"max_cells": 3, "bin_rows": 64}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, cell_rows=40, **options).collect()}
+        assert got == links_of(rows)  # both sides of every pair count it
+        assert sum(n for n, _, _ in got.values()) == 800
 
 
 @pytest.mark.parametrize("options", [{}, {"bin_rows": 90, "block_rows": 32}])
@@ -137,12 +153,19 @@ def test_op4_equals_brute_force(spark, sf):
     turns = {}
     for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r["conv_id"], r["turn"], r["role"], r["text"])):
         turns.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    answers = {c: [t for role, t in ts if role == "assistant"][-1] for c, ts in turns.items() if any(role == "assistant" for role, _ in ts)}
     got = q.op4_preference_format(spark, sf).collect()
-    assert len(got) == len({c // 2 for c in turns})
+    assert sorted(r["pair_id"] for r in got) == sorted(turns)
     for r in got:
-        n, prompt, chosen, cm, rejected, rm = plain_pair(turns.get(2 * r["pair_id"], []), turns.get(2 * r["pair_id"] + 1, []))
+        own = turns[r["pair_id"]]
+        other = list(own)
+        last = max((i for i, t in enumerate(own) if t[0] == "assistant"), default=None)
+        if last is not None:
+            other[last] = ("assistant", answers.get(r["pair_id"] + 1, answers[min(answers)]))
+        n, prompt, chosen, cm, rejected, rm = plain_pair(own, other)
         assert (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) == (n, prompt, chosen, rejected)
         assert r["chosen_mask"] == ",".join(f"{a}-{b}" for a, b in cm) and r["rejected_mask"] == ",".join(f"{a}-{b}" for a, b in rm)
+    assert sum(0 < r["n_common"] < r["n_chosen"] for r in got) > 0.7 * len(got)
 
 
 def test_op4_prefixes_masks_and_odd_rows(spark):
