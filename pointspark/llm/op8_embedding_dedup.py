@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointspark.llm.common import small_batches
 from pointspark.operators.components import connected_components
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -36,12 +37,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def chunks(n: int, width: int, values: int = 1 << 22) -> Iterator[slice]:
+    """Slices of ``n`` rows that make matrices of about ``values`` with ``width`` columns."""
+    step = max(64, values // max(1, width))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     """``k`` unit centroids at most for the unit rows ``x``."""
     rng = np.random.default_rng(seed)
     c = x[np.sort(rng.permutation(len(x))[:k])].copy()
     for _ in range(rounds):
-        home = (x @ c.T).argmax(axis=1)
+        home = np.concatenate([(x[s] @ c.T).argmax(axis=1) for s in chunks(len(x), len(c))])
         sums = np.zeros_like(c)
         np.add.at(sums, home, x)
         size = np.sqrt((sums * sums).sum(axis=1))
@@ -66,9 +73,10 @@ def forest(h_ids: np.ndarray, u_ids: np.ndarray, near: np.ndarray) -> tuple[np.n
         hl, ul = h2, u2
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1500, max_cells: int = 1024, sample_rows: int = 20_000, block_rows: int = 1024, bin_rows: int = 8192, spread: float = math.inf, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int = 1500, max_cells: int = 8192, sample_rows: int = 20_000, block_rows: int = 1024, bin_rows: int = 8192, spread: float = math.inf, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     angle = math.acos(threshold)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
     fit = F.col("vec_id").isNotNull() & F.expr("coalesce(forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(x, v -> v <> 0), false)")
@@ -80,8 +88,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
 
     lengths = {r["d"]: r["n"] for r in classes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
     total, top = max(1, sum(lengths.values())), float(1 << 63)
-    chosen = F.shiftrightunsigned(F.xxhash64(F.lit(3), "rep"), 1).cast("double") <= F.lit(min(top, top * sample_rows / total))
-    sample = classes.filter(chosen).select(F.size("x").alias("d"), "rep", "x").toArrow()  # about ``sample_rows`` rows
+    wanted = max(sample_rows, 8 * min(max_cells, total // cell_rows))  # a few rows for each centroid
+    chosen = F.shiftrightunsigned(F.xxhash64(F.lit(3), "rep"), 1).cast("double") <= F.lit(min(top, top * wanted / total))
+    sample = classes.filter(chosen).select(F.size("x").alias("d"), "rep", "x").toArrow()  # about ``wanted`` rows
     centroids = {}
     if sample.num_rows:
         ds = sample.column("d").to_numpy()
@@ -103,9 +112,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, own, u in per_length(batch):
-                sims = u @ table.value[n].T
-                home = sims.argmax(axis=1)
-                given = {"d": pa.array(np.full(len(u), n, np.int32)), "cell": pa.array(home.astype(np.int32)), "sim": pa.array(sims[np.arange(len(u)), home])}
+                c = table.value[n]
+                best = [((sims := u[s] @ c.T).argmax(axis=1), sims.max(axis=1)) for s in chunks(len(u), len(c))]
+                home, sim = (np.concatenate(v) for v in zip(*best, strict=True))
+                given = {"d": pa.array(np.full(len(u), n, np.int32)), "cell": pa.array(home.astype(np.int32)), "sim": pa.array(sim)}
                 yield pa.RecordBatch.from_pydict(given | {c: own.column(c) for c in ("rep", "mult", "x")})
 
     homes = classes.select("rep", "mult", "x").mapInArrow(assign, "d int, cell int, sim double, rep long, mult long, x array<double>")
@@ -131,36 +141,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
         """Each row to the pairs of its own block with each block that holds a cell it visits."""
         radius, first, parts = extra.value
         for batch in batches:
-            for n, own, u in (x for at in range(0, batch.num_rows, 4096) for x in per_length(batch.slice(at, 4096))):
+            for n, whole, units in (x for at in range(0, batch.num_rows, 4096) for x in per_length(batch.slice(at, 4096))):
                 c, r = table.value[n], radius[n]
-                sims = u @ c.T
-                home = own.column("cell").to_numpy()
                 reach = math.sin(angle) * min(1.0, spread / math.sqrt(n))
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                visit = (sims[np.arange(len(u)), home][:, None] - sims <= gap * reach + 1e-9) & (np.arccos(np.clip(sims, -1, 1)) <= r[None, :] + angle + 1e-6) & (r[None, :] >= 0)
-                visit[np.arange(len(u)), home] = True
-                ids, mult = own.column("rep").to_numpy(), own.column("mult").to_numpy()
-                dealt_by = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                block = first[n][home] + (dealt_by % parts[n][home].astype(np.uint64)).astype(np.int64)
-                x = matrix(own.column("x"))
-                with np.errstate(over="ignore"):
-                    single = x.astype(np.float32)
-                wide = not (single == x).all()
-                x = x if wide else single
-                filled = np.flatnonzero(parts[n])
-                for b in range(int((first[n] + parts[n]).max())):
-                    met = filled[(first[n][filled] <= b) & (b < first[n][filled] + parts[n][filled])]
-                    goes = np.flatnonzero(visit[:, met].any(axis=1) | (block == b))
-                    by = goes[np.argsort(block[goes], kind="stable")]
-                    cuts = np.flatnonzero(np.diff(block[by])) + 1
-                    slices = [i for i in np.split(by, cuts) if len(i)]
-                    own_block = np.array([block[i[0]] for i in slices], np.int64)
+                blocks = int((first[n] + parts[n]).max())
+                for part in chunks(len(units), len(c)):
+                    own, u = whole.slice(part.start, part.stop - part.start), units[part]
+                    sims = u @ c.T
+                    home = own.column("cell").to_numpy()
+                    gap = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+                    visit = (sims[np.arange(len(u)), home][:, None] - sims <= gap * reach + 1e-9) & (np.arccos(np.clip(sims, -1, 1)) <= r[None, :] + angle + 1e-6) & (r[None, :] >= 0)
+                    visit[np.arange(len(u)), home] = True
+                    ids, mult = own.column("rep").to_numpy(), own.column("mult").to_numpy()
+                    dealt_by = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                    block = first[n][home] + (dealt_by % parts[n][home].astype(np.uint64)).astype(np.int64)
+                    # each row once for each block that holds a part of a cell it visits, its own among them
+                    row, cell = np.nonzero(visit & (parts[n] > 0)[None, :])
+                    held = parts[n][cell]
+                    begin = np.cumsum(held) - held
+                    to = np.repeat(first[n][cell] - begin, held) + np.arange(held.sum())
+                    row, to = np.divmod(np.unique(np.repeat(row, held) * blocks + to), blocks)
+                    by = np.lexsort((row, to, block[row]))
+                    row, to = row[by], to[by]
+                    cuts = np.flatnonzero((np.diff(block[row]) != 0) | (np.diff(to) != 0)) + 1
+                    x = matrix(own.column("x"))
+                    with np.errstate(over="ignore"):
+                        single = x.astype(np.float32)
+                    wide = not (single == x).all()
+                    x = x if wide else single
+                    slices = np.split(row, cuts)
+                    heads = np.concatenate(([0], cuts))
+                    mine, theirs = block[row[heads]], to[heads]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "d": pa.array(np.full(len(slices), n, np.int32)),
-                            "lb": pa.array(np.minimum(own_block, b).astype(np.int32)),
-                            "rb": pa.array(np.maximum(own_block, b).astype(np.int32)),
-                            "home": pa.array(own_block <= b),
+                            "lb": pa.array(np.minimum(mine, theirs).astype(np.int32)),
+                            "rb": pa.array(np.maximum(mine, theirs).astype(np.int32)),
+                            "home": pa.array(mine <= theirs),
                             "wide": pa.array(np.full(len(slices), wide)),
                             "ids": pa.array([ids[i].tobytes() for i in slices], pa.binary()),
                             "mults": pa.array([mult[i].tobytes() for i in slices], pa.binary()),
@@ -200,6 +217,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
 
     dealt = homes.select("d", "cell", "rep", "mult", "x").mapInArrow(deal, "d int, lb int, rb int, home boolean, wide boolean, ids binary, mults binary, xs binary")
     found = materialize(dealt.groupBy("d", "lb", "rb").applyInArrow(multiply, "id long, root long, links long"), "found")
+    discard(homes)
+    table.destroy()
+    extra.destroy()
     links = found.groupBy("id").agg(F.sum("links").alias("_links"))
     comps = connected_components(found, "id", "root").select(F.col("id").alias("_cid"), "component")
     named = classes.select("_h1", "_h2", "rep", "mult").join(links, F.col("rep") == F.col("id"), "left").join(comps, F.col("rep") == F.col("_cid"), "left")
