@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.llm.common import ROW, field, nested, release, small_batches, sums_before
-from pointspark.llm.tokens import crc_of, encoder
+from pointspark.llm.tokens import WORDS, crc_of, encoder
 from pointspark.shared import materialize
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,13 +93,13 @@ def segments(runs: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = True, words: int = WORDS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and on demand ``ids`` for each piece of at most ``capacity`` ids."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, words)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows = []
@@ -154,6 +154,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = 2000) -> Dat
     return ranked.select(ROW, at).select(*[field(c).alias(c) for c in names], "_p.sequence_id", "_p.offset")
 
 
-def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
-    """Pack all documents; with ``with_ids`` each row carries its ids (little-endian, 2 or 4 bytes as the vocabulary needs)."""
-    return pack(encode_pieces(docs, tokenizer, end_id, capacity, with_ids), capacity)
+def best_two_fit(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False, words: int = WORDS) -> DataFrame:
+    """Pack all documents; with ``with_ids`` each row carries its ids (little-endian, 2 or 4 bytes as the vocabulary needs).
+
+    ``words`` bounds what an encoder remembers.
+    """
+    return pack(encode_pieces(docs, tokenizer, end_id, capacity, with_ids, words), capacity)

@@ -25,6 +25,10 @@ _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Words that an encoder keeps in either generation.
+WORDS = 400_000
+
+
 class _Cache(dict):
     """Piece -> little-endian ids. At ``size`` entries the older generation is dropped; long pieces are not kept."""
 
@@ -48,10 +52,11 @@ class Encoder:
     """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Fits byte-level models (with or without a normaliser) whose pre-tokens never span a white-space character
-    followed by a non-space character except as its leading space. ``cache`` bounds either generation of words.
+    followed by a non-space character except as its leading space. ``cache`` bounds either generation of words, each of
+    some 200 bytes.
     """
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = WORDS):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -62,6 +67,7 @@ class Encoder:
         self.drops_space = not len(self._plain("a b")) > 2 * self.dtype.itemsize and self._plain("a b") == self._plain("a\nb")
         self.newline = b"" if self.drops_space else self._plain("\n")
         self.alphabet = {c: "".join(p for p, _ in self.t.pre_tokenizer.pre_tokenize_str(chr(c))) for c in [*range(256), *map(ord, "Œœ")]}
+        self.blank = self.alphabet[32]
         self.words, self.odd = _Cache(self._word, cache), _Cache(self._text, cache // 4)
         self.cut = (lambda text: _BARE(text.lower())) if self.drops_space else _SPACED
 
@@ -70,7 +76,8 @@ class Encoder:
 
     def _word(self, token: str) -> bytes:
         """Ids of one pre-token of plain characters, which only needs the model's alphabet of bytes."""
-        return array(self.code, [x.id for x in self.t.model.tokenize(token.translate(self.alphabet))]).tobytes()
+        same = token.isascii() and token.isprintable()  # but for the blank
+        return array(self.code, [x.id for x in self.t.model.tokenize(token.replace(" ", self.blank) if same else token.translate(self.alphabet))]).tobytes()
 
     def _text(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
@@ -101,11 +108,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process: another vocabulary takes the place of the last."""
-    if path not in _encoders:
+def encoder(path: str, words: int = WORDS) -> Encoder:
+    """One per worker process: another vocabulary or size takes the place of the last."""
+    if path not in _encoders or _encoders[path].words.size != words:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, words)
     return _encoders[path]
 
 
