@@ -15,6 +15,10 @@ from pointspark.llm.queries import WORD_BPE, vocabulary
 from pointspark.shared import clear, discard, mark, materialize
 
 
+#: Words that the encoder of the packing stage remembers: the worker that runs it has served the other stages, too.
+PACKING_WORDS = 150_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
     predict = predictor(spark, learn(docs))
@@ -41,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row per piece, with its ids."""
-    return best_two_fit(docs, vocabulary(WORD_BPE), with_ids=True)
+    return best_two_fit(docs, vocabulary(WORD_BPE), with_ids=True, words=PACKING_WORDS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("source_mixing", source_mixing), ("best_fit_packing", best_fit_packing)]
