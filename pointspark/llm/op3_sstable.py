@@ -6,8 +6,10 @@ block each key stores only what differs from the key before it; every block star
 compressed with zstd and carries a CRC-32. The index has each block's last key, place and size, so a look-up
 is: Bloom filter, binary search in the index, one block read.
 
-Shards are globally ascending: documents are range-partitioned by identifier and sorted within partitions.
-A task writes under a name of its own and renames when done, so a retried or speculative task is harmless.
+Shards are globally ascending: documents are range-partitioned by identifier (then at random, so that rows of one
+identifier may fill several shards) into shards of about ``shard_bytes`` of text and sorted within partitions. The place
+among rows of an identifier counts within a shard. A task writes under a name of its own and renames when done, so
+a retried or speculative task is harmless.
 
 Defined cases: a null text holds only the end id; null identifiers come first; repeated rows stay, each with
 an entry of its own; an empty table gives no shards; further columns are ignored.
@@ -15,6 +17,7 @@ an entry of its own; an empty table gives no shards; further columns are ignored
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -26,9 +29,10 @@ import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointspark.llm.common import release, small_batches, sums_before
 from pointspark.llm.tokens import crc_of, encoder
 from pointspark.shared import materialize, shared_path
 
@@ -179,7 +183,7 @@ def open_shard(uri: str) -> ShardReader:
     return ShardReader(where.open_input_file(path))
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, block_bytes: int = 1 << 16) -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, block_bytes: int = 1 << 16, shard_bytes: int = 16 << 20) -> DataFrame:
     """Encode ``doc_id, text`` into shards under the URI ``out``; one manifest row per shard, in key order by ``shard``.
 
     The action that reads the returned frame writes the files: materialise it once.
@@ -207,15 +211,24 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, blo
             name = f"shard-{shard:08d}.sst"
             where.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [f"{out}/{name}"], "n_docs": pa.array([writer.entries], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    small_batches(docs.sparkSession)
+    weight = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    # the ranges are sampled without reading texts; the second key splits an identifier with very many rows
+    ranged = rows.withColumn("_r", F.rand(7)).repartitionByRange(-(-weight // shard_bytes) or 1, "doc_id", "_r")
+    ordered = ranged.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
     return ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, start, n_tokens, ids_crc32, shard``, all taken from the files."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        names = ("doc_id", "start", "n_tokens", "ids_crc32", "shard")
+        return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -223,14 +236,15 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 for doc_id, ids in open_shard(row["path"]).scan():
                     got.append((doc_id, start, len(ids), crc_of(ids), row["shard"]))
                     start += len(ids)
-                names = ("doc_id", "start", "n_tokens", "ids_crc32", "shard")
-                yield pa.RecordBatch.from_pydict({n: pa.array([g[i] for g in got], pa.int64()) for i, n in enumerate(names)})
+                    if len(got) == 4096:
+                        yield table(got)
+                        got = []
+                yield table(got)
 
-    # one row per shard: the prefix sum over them is small whatever the corpus
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    shards = manifest.count()
+    placed = sums_before(manifest, [], "shard", "n_tokens", max(1, math.isqrt(shards))).withColumn("start", F.col("_before").cast("long"))
     # a stated number of partitions is not coalesced: a task reads a few shards, not all
-    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    return placed.repartition(max(1, shards), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 0) -> DataFrame:
