@@ -914,9 +914,9 @@ FACES = "s AS (SELECT path_id, seq AS i, max(seq) OVER (PARTITION BY path_id) AS
 _add(
     "drop_nan_vertices",
     on_points(lambda p: qsm.drop_nan_vertices(*_holed(p))[1].select("path_id", "v1", "v2", "v3", "v4")),
-    f"""WITH {SQL_PATHS}, {FACES}, num AS (SELECT path_id, vid, sum(CAST(vid % 11 <> 0 AS BIGINT)) OVER (PARTITION BY path_id ORDER BY vid) - 1 AS n FROM (SELECT path_id, seq * 8 + j AS vid FROM paths, range(8) t(j)))
-    SELECT path_id, CAST(a.n AS BIGINT) AS v1, CAST(b.n AS BIGINT) AS v2, CAST(c.n AS BIGINT) AS v3, CAST(d.n AS BIGINT) AS v4 FROM faces
-    JOIN num a USING (path_id) JOIN num b USING (path_id) JOIN num c USING (path_id) JOIN num d USING (path_id) WHERE a.vid = v1 AND b.vid = v2 AND c.vid = v3 AND d.vid = v4 AND least(a.n, b.n, c.n, d.n) >= 0""",
+    f"""WITH {SQL_PATHS}, {FACES}, num AS MATERIALIZED (SELECT path_id, vid, sum(CAST(vid % 11 <> 0 AS BIGINT)) OVER (PARTITION BY path_id ORDER BY vid) - 1 AS n FROM (SELECT path_id, seq * 8 + j AS vid FROM paths, range(8) t(j)))
+    SELECT f.path_id, CAST(a.n AS BIGINT) AS v1, CAST(b.n AS BIGINT) AS v2, CAST(c.n AS BIGINT) AS v3, CAST(d.n AS BIGINT) AS v4 FROM faces f
+    JOIN num a ON a.path_id = f.path_id AND a.vid = f.v1 JOIN num b ON b.path_id = f.path_id AND b.vid = f.v2 JOIN num c ON c.path_id = f.path_id AND c.vid = f.v3 JOIN num d ON d.path_id = f.path_id AND d.vid = f.v4 WHERE least(a.n, b.n, c.n, d.n) >= 0""",
 )
 
 # ---------------------------------------------------------------- inference with rule predictors
