@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointspark.operators.ranks import dense_ranks
 from pointspark.schema import XYZ, require_columns
 
 
@@ -101,8 +102,7 @@ def normalize_class(df: DataFrame, cls: str = "stemcls") -> DataFrame:
 
 def compact_labels(df: DataFrame, label: str = "label") -> DataFrame:
     """Labels renumbered 0.. in sorted order within a cloud; ranks are taken over distinct labels only."""
-    ranks = df.select("cloud_id", label).filter(F.col(label).isNotNull()).distinct()
-    ranks = ranks.withColumn("_rank", F.dense_rank().over(Window.partitionBy("cloud_id").orderBy(label)).cast("long") - 1)
+    ranks = dense_ranks(df, "cloud_id", label, "_rank")
     return df.join(ranks, ["cloud_id", label], "left").withColumn(label, F.col("_rank")).drop("_rank").select(*df.columns)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pointspark.operators import components as cc
 from pointspark.operators.aggregates import component_centroid, component_size
 from pointspark.operators.grid import decimate, voxel_key
+from pointspark.operators.ranks import dense_ranks
 from pointspark.operators.spatial import cluster_min_distance, knn, knn_bounded
 from pointspark.shared import materialize
 
@@ -97,8 +98,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = N
 def nearest_source_label(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``cloud_id, node, label``: the nearest source's rank, compacted to 0.. in each cloud; -1 where none is reachable."""
     reached = shortest_paths(edges, sources)
-    ranks = reached.select("cloud_id", "target").distinct()
-    ranks = ranks.withColumn("label", F.dense_rank().over(Window.partitionBy("cloud_id").orderBy("target")).cast("long") - 1)
+    ranks = dense_ranks(reached, "cloud_id", "target", "label")
     named = reached.join(ranks, ["cloud_id", "target"]).select("cloud_id", "node", "label")
     return nodes.select("cloud_id", "node").join(named, ["cloud_id", "node"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pointspark.operators.aggregates import overlap_last, seen_mask, voxel_mean_flag
 from pointspark.operators.filters import apply_offsets, loc_in_tile
 from pointspark.operators.grid import block_voxelize, sliding_blocks, voxels
+from pointspark.operators.ranks import dense_ranks
 from pointspark.operators.spatial import nn_xy, nn_xyz
 from pointspark.schema import XYZ
 
@@ -181,15 +182,13 @@ def tree_offset(points: DataFrame, locations: DataFrame, factory: Callable[[], P
 
     A location's voxel column is the feature ``has_loc``. Points outside of their block's grid get 0.
     """
-    from pyspark.sql import Window
-
     cells = _flat_blocks(points, resolution, size)
     low = cells.groupBy("cloud_id", "block_id").agg(*[F.min(c).alias("min_" + c) for c in "xy"])
     inside = loc_in_tile(cells, locations).join(locations.select("cloud_id", "loc_id", "x", "y"), ["cloud_id", "loc_id"]).join(low, ["cloud_id", "block_id"])
     marks = inside.select("cloud_id", "block_id", *[F.floor((F.col(a) - F.col("min_" + a)) / r).alias(o) for a, o, r in zip("xy", "ij", resolution, strict=False)]).distinct().withColumn("has_loc", F.lit(1.0))
     occupied = voxels(cells).join(marks, ["cloud_id", "block_id", "i", "j"], "left").withColumn("has_loc", F.coalesce("has_loc", F.lit(0.0)))
     moved = apply_offsets(_scatter(cells, predict_blocks(occupied, factory)), resolution, ("dx", "dy"))
-    numbers = locations.select("cloud_id", F.col("loc_id").alias("dst"), F.row_number().over(Window.partitionBy("cloud_id").orderBy("loc_id")).cast("long").alias("treeoff"))
+    numbers = dense_ranks(locations, "cloud_id", "loc_id").select("cloud_id", F.col("loc_id").alias("dst"), (F.col("rank") + 1).alias("treeoff"))
     near = nn_xy(moved.select("cloud_id", "pid", *XYZ), locations).join(numbers, ["cloud_id", "dst"])
     return points.select("cloud_id", "pid").join(near.select("cloud_id", F.col("src").alias("pid"), "treeoff"), ["cloud_id", "pid"], "left").withColumn("treeoff", F.coalesce("treeoff", F.lit(0).cast("long")))
 
