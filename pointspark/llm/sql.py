@@ -78,5 +78,37 @@ cc(id, lab) USING KEY (id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELEC
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, lab AS component_id, lab = id AS kept FROM cc LEFT JOIN n ON src = id"""
 
 
+def _part(v: str) -> str:
+    return f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_part(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+def _levels(name: str, base: str) -> str:
+    return f"""{name}(tree, lev, pos, node, n) AS ({base} UNION ALL SELECT tree, lev + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM {name} WHERE n > 1 GROUP BY tree, lev, pos // 8)"""
+
+
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT)),
+  lambda c, b: list_reduce(range(8)::UBIGINT[], lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384::UBIGINT) ELSE d >> 1 END, xor(c, b)), 4294967295::UBIGINT))"""
+OP13 = f"""
+WITH RECURSIVE l AS (SELECT doc_id, {_leaf('text')} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf('text')} END AS met, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{_levels('a', 'SELECT tree, 0, pos, leaf, n FROM p')},
+s AS MATERIALIZED (SELECT tree, node AS subroot FROM a WHERE n = 1),
+{_levels('b', 'SELECT -1, 0, tree, subroot, (SELECT count(*) FROM s) FROM s')},
+every AS MATERIALIZED (SELECT * FROM a WHERE n > 1 UNION ALL SELECT * FROM b WHERE n > 1),
+runs AS MATERIALIZED (SELECT tree, lev, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM every GROUP BY ALL),
+h AS (SELECT tree, coalesce(max(lev) + 1, 0) AS height FROM every GROUP BY tree),
+path AS (SELECT p.tree, p.pos, g.lev AS step, r.nodes, p.pos // CAST(8 ** g.lev AS BIGINT) % 8 AS place FROM p JOIN h USING (tree), range(height) g(lev) JOIN runs r ON r.tree = p.tree AND r.lev = g.lev AND r.run = p.pos // CAST(8 ** (g.lev + 1) AS BIGINT)
+  UNION ALL SELECT p.tree, p.pos, 1000 + g.lev, r.nodes, p.tree // CAST(8 ** g.lev AS BIGINT) % 8 FROM p JOIN h ON h.tree = -1, range(height) g(lev) JOIN runs r ON r.tree = -1 AND r.lev = g.lev AND r.run = p.tree // CAST(8 ** (g.lev + 1) AS BIGINT)),
+proof AS (SELECT tree, pos, list(struct_pack(nodes := nodes, place := place) ORDER BY step) AS path FROM path GROUP BY ALL),
+f AS (SELECT p.*, s.subroot, (SELECT node FROM b WHERE n = 1) AS root, coalesce(path, []) AS path FROM p JOIN s USING (tree) LEFT JOIN proof q ON q.tree = p.tree AND q.pos = p.pos),
+g AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: array_to_string(list_concat(x.nodes[:x.place], x.nodes[x.place + 2:]), '')), ''), '')) AS proof_sha256,
+  list_reduce(path, lambda v, x: struct_pack(nodes := [sha256(array_to_string(list_concat(x.nodes[:x.place], [v.nodes[1]], x.nodes[x.place + 2:]), ''))], place := 0::BIGINT), struct_pack(nodes := [met], place := 0::BIGINT)).nodes[1] AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_preference_format": OP4, "op7_exact_topk": OP7, "op8_embedding_near_dedup": OP8}
+    return {"op1_substring_dedup": OP1, "op2_ngram_jaccard_join": OP2, "op4_preference_format": OP4, "op7_exact_topk": OP7, "op8_embedding_near_dedup": OP8, "op13_merkle_manifest": OP13}
