@@ -18,6 +18,8 @@ from pointspark.llm.op7_topk import top_k
 from pointspark.llm.op8_embedding_dedup import near_duplicates
 from pointspark.llm.op9_mixing import mix
 from pointspark.llm.op10_line_dedup import dedup_lines
+from pointspark.llm.op11_collocations import collocations
+from pointspark.llm.op12_html import extract, train
 from pointspark.llm.op13_merkle import manifest
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -74,9 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train(pages))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_sstable_shards, op4_preference_format, op5_language_id, op6_best_fit_packing, op7_exact_topk, op8_embedding_near_dedup, op9_source_mixing, op10_line_dedup, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ngram_jaccard_join, op3_sstable_shards, op4_preference_format, op5_language_id, op6_best_fit_packing, op7_exact_topk, op8_embedding_near_dedup, op9_source_mixing, op10_line_dedup, op11_phrase_collocations, op12_html_extraction, op13_merkle_manifest)}
