@@ -11,6 +11,7 @@ from pointspark.operators.aggregates import cell_min
 from pointspark.operators.filters import drop_non_finite, filter_ground
 from pointspark.operators.graph import connected_components
 from pointspark.operators.grid import buffered_tiles, extent, raster_key_upperleft, raster_to_points, tile_merge_mean
+from pointspark.operators.interpolation import fill_triangles
 from pointspark.shared import materialize
 
 #: Offsets of a disk of radius 5 cells.
@@ -30,14 +31,18 @@ def median_disk(raster: DataFrame, by=("cloud_id",), radius: int = 5) -> DataFra
     return medians.join(raster.select(*keys), keys, "left_semi")
 
 
-def fill_gaps(raster: DataFrame, method: str = "idw", radius: int = 5, shape: DataFrame | None = None, by=("cloud_id",)) -> DataFrame:
+def fill_gaps(raster: DataFrame, method: str = "idw", radius: int = 5, shape: DataFrame | None = None, by=("cloud_id",), reach: int = 64) -> DataFrame:
     """``raster`` with empty cells near occupied ones filled.
 
     ``none`` leaves them, ``idw`` weighs occupied cells within ``radius`` by 1 / squared distance, ``nearest``
-    takes the nearest (ties to the smaller row, then column). ``shape`` (by, nrow, ncol) bounds the cells.
+    takes the nearest (ties to the smaller row, then column). ``linear`` and ``cubic`` interpolate over the Delaunay
+    triangles of the occupied cells; cells outside of their hull stay empty, as do cells in gaps wider than
+    ``reach`` (see ``interpolation``). ``shape`` (by, nrow, ncol) bounds the cells.
     """
     if method == "none":
         return raster
+    if method in ("linear", "cubic"):
+        return _over_triangles(raster, method == "cubic", shape, by, reach)
     cells = [(a, b) for a, b in product(range(-radius, radius + 1), repeat=2) if 0 < a * a + b * b <= radius * radius]
     keys = [*by, "row", "col"]
     q = F.col("o.a") * F.col("o.a") + F.col("o.b") * F.col("o.b")
@@ -53,16 +58,29 @@ def fill_gaps(raster: DataFrame, method: str = "idw", radius: int = 5, shape: Da
     return raster.select(*keys, "value").unionByName(filled.join(raster.select(*keys), keys, "left_anti").select(*keys, "value"))
 
 
+def _over_triangles(raster: DataFrame, cubic: bool, shape: DataFrame | None, by, reach: int) -> DataFrame:
+    named = raster.select(*by, "row", "col", "value").withColumn("g", F.to_json(F.struct(*by)))
+    if shape is None:
+        bounds = named.groupBy("g").agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"))
+    else:
+        bounds = shape.select(F.to_json(F.struct(*by)).alias("g"), F.lit(0).alias("top"), F.lit(0).alias("left"), (F.col("nrow") - 1).alias("bottom"), (F.col("ncol") - 1).alias("right"))
+    named = materialize(named.join(bounds, "g"), "raster")
+    filled = fill_triangles(named.drop(*by), cubic, reach)
+    kinds = ", ".join(f"`{c}` {raster.schema[c].dataType.simpleString()}" for c in by)
+    keys = F.from_json("g", kinds)
+    return named.select(*by, "row", "col", "value").unionByName(filled.select(*[keys[c].alias(c) for c in by], "row", "col", "value"))
+
+
 def raster_shape(points: DataFrame, resolution: float) -> DataFrame:
     e = extent(points, ("x", "y"))
     return e.select("cloud_id", (F.floor((F.col("max_y") - F.col("min_y")) / resolution) + 1).alias("nrow"), (F.floor((F.col("max_x") - F.col("min_x")) / resolution) + 1).alias("ncol"))
 
 
-def dtm(points: DataFrame, resolution: float = 1.0, tile: float = 50.0, buffer: float = 5.0, fill: str = "idw", smooth: bool = True) -> DataFrame:
+def dtm(points: DataFrame, resolution: float = 1.0, tile: float = 50.0, buffer: float = 5.0, fill: str = "cubic", smooth: bool = True) -> DataFrame:
     """``cloud_id, row, col, x, y, z``: ground raster from buffered tiles.
 
     Ground points to tiles, lowest z of each cell, gaps filled, median over a disk, lower-left corners as points;
-    overlapping tiles are averaged on the cloud's grid. Gap filling is by inverse distances (not a cubic fit).
+    overlapping tiles are averaged on the cloud's grid.
     """
     ground = drop_non_finite(filter_ground(points), "z")
     frame = extent(ground, ("x", "y")).withColumnsRenamed({"min_x": "gx", "min_y": "gy"}).select("cloud_id", "gx", "gy")

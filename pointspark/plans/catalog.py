@@ -830,7 +830,7 @@ def _sql_dtm(fill: bool) -> str:
     dtm AS (SELECT {cell('y - gy0', 2.0)} AS row, {cell('x - gx0', 2.0)} AS col, arg_min(x, (ti, tj, r, c)) AS x, arg_min(y, (ti, tj, r, c)) AS y, avg(value) AS z FROM pl, gx GROUP BY 1, 2)"""
 
 
-_add("dtm", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0).select("row", "col", *r6("x", "y", "z"))), f"WITH {_sql_dtm(True)} SELECT row, col, {q6('x', 'y', 'z')} FROM dtm")
+_add("dtm", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0, fill="idw").select("row", "col", *r6("x", "y", "z"))), f"WITH {_sql_dtm(True)} SELECT row, col, {q6('x', 'y', 'z')} FROM dtm")
 _add("dtm_unfilled", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0, fill="none").select("row", "col", *r6("x", "y", "z"))), f"WITH {_sql_dtm(False)} SELECT row, col, {q6('x', 'y', 'z')} FROM dtm")
 _add(
     "dtm_stats",
@@ -856,6 +856,23 @@ _add(
     f"""WITH {GROUND}, w AS (SELECT row + a AS row, col + b AS col, arg_min(value, (a*a+b*b, row, col)) AS value FROM rc, off WHERE a <> 0 OR b <> 0 GROUP BY row + a, col + b)
     SELECT row, col, value FROM (SELECT * FROM rc UNION ALL SELECT w.* FROM w ANTI JOIN rc USING (row, col)), gx WHERE row >= 0 AND col >= 0 AND row <= floor((y1 - y0) / 2.0::DOUBLE) AND col <= floor((x1 - x0) / 2.0::DOUBLE)""",
 )
+RAISED = "1e-4::DOUBLE * ((((r * r * 7919 + r * c * 6151 + c * c * 4421 + r * 3571 + c * 2879) % 65521) + 65521) % 65521 / 65521::DOUBLE)"
+_add(
+    "fill_gaps_linear",
+    on_points(lambda p: raster.fill_gaps(_ground_cells(p), "linear", shape=raster.raster_shape(filters.filter_ground(p), 2.0), reach=3).select("row", "col", *r6("value"))),
+    f"""WITH {GROUND}, occ AS MATERIALIZED (SELECT row, col, value, {RAISED} AS up FROM (SELECT *, row AS r, col AS c FROM rc)),
+    q AS (SELECT r.row + a AS row, r.col + b AS col FROM rc r, range(-3, 4) t(a), range(-3, 4) u(b) GROUP BY 1, 2), ask AS (SELECT q.* FROM q ANTI JOIN rc USING (row, col) CROSS JOIN gx WHERE row >= 0 AND col >= 0 AND row <= floor((y1 - y0) / 2.0::DOUBLE) AND col <= floor((x1 - x0) / 2.0::DOUBLE)),
+    n AS MATERIALIZED (SELECT a.row, a.col, o.row - a.row AS y, o.col - a.col AS x, o.value, (o.row - a.row) * (o.row - a.row) + (o.col - a.col) * (o.col - a.col) + o.up AS h FROM ask a, range(-3, 4) t(i), range(-3, 4) u(j), occ o WHERE o.row = a.row + i AND o.col = a.col + j),
+    tri AS (SELECT a.row, a.col, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy, c.x AS cx, c.y AS cy, a.h AS ah, b.h AS bh, c.h AS ch, a.value AS av, b.value AS bv, c.value AS cv, (b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y) AS det
+      FROM n a JOIN n b ON b.row = a.row AND b.col = a.col AND (b.y, b.x) > (a.y, a.x) JOIN n c ON c.row = a.row AND c.col = a.col AND (c.y, c.x) > (b.y, b.x)),
+    w AS (SELECT *, ((s * 1e-6 - ax) * (cy - ay) - (s * 0.618e-6 - ay) * (cx - ax)) / det AS w1, ((s * 0.618e-6 - ay) * (bx - ax) - (s * 1e-6 - ax) * (byy - ay)) / det AS w2, (ay * (cx - ax) - ax * (cy - ay)) / det AS v1, (ax * (byy - ay) - ay * (bx - ax)) / det AS v2 FROM tri, (VALUES (1), (-1)) side(s) WHERE det <> 0),
+    best AS (SELECT * FROM w WHERE w1 >= 0 AND w2 >= 0 AND w1 + w2 <= 1 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY s DESC, ah + w1 * (bh - ah) + w2 * (ch - ah)) = 1),
+    pl AS (SELECT *, ((bh - ah) * (cy - ay) - (ch - ah) * (byy - ay)) / det AS p, ((bx - ax) * (ch - ah) - (cx - ax) * (bh - ah)) / det AS q FROM best),
+    f AS (SELECT row, col, av + v1 * (bv - av) + v2 * (cv - av) AS value FROM pl WHERE greatest(abs(p), abs(q)) / 2 + sqrt(greatest(0, ah - p * ax - q * ay + (p * p + q * q) / 4)) < 3.3137)
+    SELECT row, col, {q6('value')} FROM (SELECT row, col, value FROM rc UNION ALL SELECT * FROM f)""",
+)
+_add("fill_gaps_cubic", on_points(lambda p: raster.fill_gaps(_ground_cells(p), "cubic", shape=raster.raster_shape(filters.filter_ground(p), 2.0)).select("row", "col", *r6("value"))))
+_add("dtm_cubic", on_points(lambda p: raster.dtm(p, 2.0, 30.0, 4.0).select("row", "col", *r6("x", "y", "z"))))
 _add("median_disk5", on_points(lambda p: raster.median_disk(_ground_cells(p)).select("row", "col", *r6("value"))), f"WITH {GROUND} SELECT r.row, r.col, round(median(s.value), 6) AS value FROM rc r JOIN off ON true JOIN rc s ON s.row = r.row + a AND s.col = r.col + b GROUP BY 1, 2")
 
 

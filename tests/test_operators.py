@@ -381,7 +381,7 @@ def test_gaps_and_medians(spark):
     assert values(raster.median_disk(r), "value") == [(2.5,), (2.5,)]
     assert len(raster.DISK) == 81
     with pytest.raises(ValueError):
-        raster.fill_gaps(r, "cubic")
+        raster.fill_gaps(r, "quartic")
 
 
 def test_regions(spark):
