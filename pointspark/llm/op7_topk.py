@@ -14,7 +14,9 @@ run again finds the same rows.
 Defined cases: vectors that are null or hold null or non-finite components take no part; a query meets only
 candidates of its own length; rows with the query's identifier count as its own and are left out; repeated
 rows of another identifier are candidates each; ties go to the smaller identifier; rows with a null identifier
-take no part; an empty table gives an empty result.
+take no part; where one identifier holds several different vectors each of them is a query, and their scores are
+ranked together, so a candidate may be listed once for each; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

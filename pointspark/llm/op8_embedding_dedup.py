@@ -14,7 +14,8 @@ that loses nothing. A product gives counts of links and a spanning forest, never
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing;
 vectors of different lengths link with nothing; rows with a null identifier take no part and get a null
-component; repeated rows count as other vectors; an empty table gives an empty result.
+component; repeated rows count as other vectors, and so do different vectors under one identifier: each of these rows
+has its own links and its own component; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,17 +85,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
     keyed = rows.select("vec_id", F.when(fit, plain).alias("x"))
     keyed = keyed.withColumn("_h1", F.when(F.col("x").isNotNull(), F.xxhash64(F.lit(1), "x"))).withColumn("_h2", F.when(F.col("x").isNotNull(), F.xxhash64(F.lit(2), "x")))
     classes = keyed.filter("x is not null").groupBy("_h1", "_h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("x").alias("x"))
-    classes = materialize(classes, "classes")
+    # a class goes by a number, unique in what is written: its smallest identifier may be that of another class, too
+    classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
 
     lengths = {r["d"]: r["n"] for r in classes.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
     total, top = max(1, sum(lengths.values())), float(1 << 63)
     wanted = max(sample_rows, 8 * min(max_cells, total // cell_rows))  # a few rows for each centroid
-    chosen = F.shiftrightunsigned(F.xxhash64(F.lit(3), "rep"), 1).cast("double") <= F.lit(min(top, top * wanted / total))
-    sample = classes.filter(chosen).select(F.size("x").alias("d"), "rep", "x").toArrow()  # about ``wanted`` rows
+    chosen = F.shiftrightunsigned(F.xxhash64(F.lit(3), "_h1", "_h2"), 1).cast("double") <= F.lit(min(top, top * wanted / total))
+    sample = classes.filter(chosen).select(F.size("x").alias("d"), "_h1", "x").toArrow()  # about ``wanted`` rows
     centroids = {}
     if sample.num_rows:
         ds = sample.column("d").to_numpy()
-        ordered = sample.take(pa.array(np.lexsort((sample.column("rep").to_numpy(), ds))))
+        ordered = sample.take(pa.array(np.lexsort((sample.column("_h1").to_numpy(), ds))))
         ds = ordered.column("d").to_numpy()
         for d in np.unique(ds):
             x = unit(matrix(ordered.filter(pa.array(ds == d)).column("x")))
@@ -116,9 +118,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
                 best = [((sims := u[s] @ c.T).argmax(axis=1), sims.max(axis=1)) for s in chunks(len(u), len(c))]
                 home, sim = (np.concatenate(v) for v in zip(*best, strict=True))
                 given = {"d": pa.array(np.full(len(u), n, np.int32)), "cell": pa.array(home.astype(np.int32)), "sim": pa.array(sim)}
-                yield pa.RecordBatch.from_pydict(given | {c: own.column(c) for c in ("rep", "mult", "x")})
+                yield pa.RecordBatch.from_pydict(given | {c: own.column(c) for c in ("no", "mult", "x")})
 
-    homes = classes.select("rep", "mult", "x").mapInArrow(assign, "d int, cell int, sim double, rep long, mult long, x array<double>")
+    homes = classes.select("no", "mult", "x").mapInArrow(assign, "d int, cell int, sim double, no long, mult long, x array<double>")
     homes = materialize(homes, "homes")
     cells = homes.groupBy("d", "cell").agg(F.count("*").alias("n"), F.min("sim").alias("low")).orderBy("d", "cell").collect()  # a row per cell
     radius = {d: np.full(len(c), -1.0) for d, c in centroids.items()}
@@ -152,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
                     gap = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
                     visit = (sims[np.arange(len(u)), home][:, None] - sims <= gap * reach + 1e-9) & (np.arccos(np.clip(sims, -1, 1)) <= r[None, :] + angle + 1e-6) & (r[None, :] >= 0)
                     visit[np.arange(len(u)), home] = True
-                    ids, mult = own.column("rep").to_numpy(), own.column("mult").to_numpy()
+                    ids, mult = own.column("no").to_numpy(), own.column("mult").to_numpy()
                     dealt_by = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                     block = first[n][home] + (dealt_by % parts[n][home].astype(np.uint64)).astype(np.int64)
                     # each row once for each block that holds a part of a cell it visits, its own among them
@@ -215,15 +217,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
         ids, roots, links = (np.concatenate(v) for v in zip(*found, strict=True))
         return pa.table({"id": pa.array(ids), "root": pa.array(roots), "links": pa.array(links)})
 
-    dealt = homes.select("d", "cell", "rep", "mult", "x").mapInArrow(deal, "d int, lb int, rb int, home boolean, wide boolean, ids binary, mults binary, xs binary")
+    dealt = homes.select("d", "cell", "no", "mult", "x").mapInArrow(deal, "d int, lb int, rb int, home boolean, wide boolean, ids binary, mults binary, xs binary")
     found = materialize(dealt.groupBy("d", "lb", "rb").applyInArrow(multiply, "id long, root long, links long"), "found")
     discard(homes)
     table.destroy()
     extra.destroy()
     links = found.groupBy("id").agg(F.sum("links").alias("_links"))
     comps = connected_components(found, "id", "root").select(F.col("id").alias("_cid"), "component")
-    named = classes.select("_h1", "_h2", "rep", "mult").join(links, F.col("rep") == F.col("id"), "left").join(comps, F.col("rep") == F.col("_cid"), "left")
-    named = named.select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), (F.coalesce("_links", F.lit(0)) + F.col("mult") - 1).alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    named = classes.select("_h1", "_h2", "no", "rep", "mult").join(links, F.col("no") == F.col("id"), "left").join(comps, F.col("no") == F.col("_cid"), "left").withColumn("_comp", F.coalesce("component", "no"))
+    least = named.groupBy(F.col("_comp").alias("_of")).agg(F.min("rep").alias("_c"))
+    named = named.join(least, F.col("_comp") == F.col("_of"))
+    named = named.select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), (F.coalesce("_links", F.lit(0)) + F.col("mult") - 1).alias("_n"), "_c")
     out = keyed.select("vec_id", "_h1", "_h2").join(named, (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), "left")
     component = F.coalesce("_c", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -108,6 +108,13 @@ def test_op8_recall_at_the_threshold(spark):
         assert sum(n for n, _, _ in got.values()) == 800
 
 
+def test_op8_one_identifier_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], "a"), (1, [0.0, 1.0, 0.0], "b"), (2, [1.0, 0.01, 0.0], "c"), (3, [0.0, 1.0, 0.01], "d"), (4, [0.0, 0.0, 1.0], "e"), (4, [0.0, 0.0, 1.0], "f"), (0, [0.0, 0.01, 1.0], "g"), (4, [1.0, 0.0, 0.02], "h")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 0, False), (4, 2, 0, False), (4, 2, 1, False)]
+
+
 @pytest.mark.parametrize("options", [{}, {"bin_rows": 90, "block_rows": 32}])
 def test_op8_loses_no_link_of_few_dimensions(spark, options):
     """Neighbours differ along 3 of 64 dimensions, so their difference may lie along the way to another centroid."""
