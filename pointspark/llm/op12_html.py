@@ -364,7 +364,8 @@ def train(pages: DataFrame, train_pages: int = 150, train_chars: int = 50_000, l
     """The field, fitted on a bounded sample of ``pages``."""
     text = F.col(html).cast("string")
     named = pages.select(F.xxhash64(F.lit(12), F.col(page_id).cast("string"), text).alias("h"), text.alias("html")).filter(F.length("html").between(1, train_chars))
-    sample = named.distinct().orderBy("h", "html").limit(train_pages).collect()  # ``train_pages`` rows of ``train_chars`` characters at most
+    chosen = [r["h"] for r in named.select("h").distinct().orderBy("h").limit(train_pages).collect()]  # hashes alone are sorted
+    sample = named.filter(F.col("h").isin(chosen)).dropDuplicates(["h"]).orderBy("h").collect() if chosen else []  # ``train_pages`` rows of ``train_chars`` characters at most
     return fit(training_pages([r["html"] for r in sample], layouts))
 
 
