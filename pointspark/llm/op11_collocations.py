@@ -33,6 +33,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _TO_LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 #: Bits of a slice of the bitmap, and of the whole bitmap at least and at most, as powers of two.
 SLICE, LEAST, MOST = 16, 16, 28
+#: Parts that the phrases of a language are ranked in first.
+PARTS = 32
 _U = np.uint64
 
 
@@ -166,7 +168,10 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, cover
     millions = (wide("a") * wide("a")).cast("decimal(30,0)") * F.lit(1_000_000).cast("decimal(8,0)")
     cuts = cuts.withColumn("_over", millions).withColumn("_under", (wide("l") * wide("r")).cast("decimal(30,0)")).withColumn("score", F.expr("_over div _under"))
     best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)  # each task sends on at most ``top`` rows of a language
+    # a language's best first in each of a fixed number of parts, so no task sees more than their best
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).cast("int")
+    some = best.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_rank") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     named = ranked.join(totals.select(F.col("lang").alias("_lang"), "n"), F.col("lang") == F.col("_lang"))
     return named.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
