@@ -8,7 +8,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointspark.shared import discard, materialize
@@ -182,7 +182,8 @@ def knn(points: DataFrame, k: int, axes: str = "xyz", right: DataFrame | None =
     """The ``k`` nearest without a bound, exact.
 
     A level answers every row whose kth distance is within a cell: nothing outside of the cells around it can be
-    nearer. The rest is searched again with cells twice as wide, until a cell spans the cloud.
+    nearer. The rest is searched again with cells twice as wide, as long as no tile of them holds more than about ``MOST``
+    rows; rows that are far from any others are then led to their nearest cells (see ``_descend``).
     """
     same, other = right is None, points if right is None else right
     mine, theirs = _plain(points, left_id, axes), _plain(other, right_id, axes)
@@ -192,14 +193,87 @@ def knn(points: DataFrame, k: int, axes: str = "xyz", right: DataFrame | None =
     count = theirs.groupBy("cloud_id").count().agg(F.max("count")).first()[0] or 0
     # about a tile's worth of rows in each tile if they were spread evenly, fewer where they are dense
     cell = min(last, last * (MOST / 8 / max(count, 1)) ** (1 / len(axes)))
-    while _fullest(theirs, cell, axes) > MOST and cell > last / 2**30:
-        cell /= 2
-    return _typed(_search(mine, theirs, k, axes, same, cell, last, math.inf), points, left_id, other, right_id)
+    halved = 0
+    while _fullest(theirs, cell, axes) > MOST // 4 and cell > last / 2**30:
+        cell, halved = cell / 2, halved + 1
+        if halved == 6:  # perhaps many rows at one place
+            theirs = materialize(_first_at_place(theirs, axes, k + same), "places")
+            while cell * 2 < last and _fullest(theirs, 2 * cell, axes) <= MOST // 4:
+                cell *= 2
+    todo, found = mine, None
+    while True:
+        final = cell * 1.5 >= last
+        near = _in_tiles(todo, theirs, k, last if final else cell, axes, same)
+        if final:
+            return _typed(near if found is None else found.unionByName(near), points, left_id, other, right_id)
+        near = materialize(near, "near")
+        done = near.filter((F.col("rank") == k) & (F.col("dist") * WIDER < cell)).select("cloud_id", "src")
+        kept = near.join(done, ["cloud_id", "src"], "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        last_todo, todo = todo, materialize(todo.join(done.withColumnRenamed("src", "id"), ["cloud_id", "id"], "left_anti"), "rest")
+        discard(last_todo)
+        if todo.isEmpty():
+            return _typed(found, points, left_id, other, right_id)
+        cell *= 2
+        if _fullest(theirs, last if cell * 1.5 >= last else cell, axes) > MOST // 4:
+            return _typed(found.unionByName(_descend(todo, theirs, k, axes, same)), points, left_id, other, right_id)
 
 
-def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
+def _first_at_place(rows: DataFrame, axes: str, n: int) -> DataFrame:
+    """Of the rows at one place those of the ``n`` smallest identifiers: no other is among the ``n`` nearest of any row."""
+    place = Window.partitionBy("cloud_id", *axes).orderBy("id")
+    return rows.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= n).drop("_n")
 
+
+def _descend(todo: DataFrame, other: DataFrame, k: int, axes: str, same: bool, few: int = 256) -> DataFrame:
+    """``cloud_id, src, dst, dist, rank`` of the ``k`` nearest, down a pyramid of cells, for rows that are few or far from others.
+
+    A cell of the pyramid knows how many rows it holds and their box. Level by level each row of ``todo`` looks at the parts of the
+    cells that it has kept: some of them certainly hold ``k`` rows, within the farthest corner of the last of them,
+    and parts that begin beyond that are dropped. Where the cells left have ``few`` rows at most, the rows themselves are compared. Every
+    step is a join on cells; what a row keeps is near its answer, however many rows a cloud has.
+    """
+    dims = len(axes)
+    step = 6 // dims  # levels at once: 64 parts of a cell
+    depth = 60 // dims // step * step
+    need = k + same
+    rows = _first_at_place(other, axes, need)
+    spans = [F.max(a) - F.min(a) for a in axes]
+    box = rows.groupBy("cloud_id").agg(*[F.min(a).alias("lo" + a) for a in axes], F.greatest(*spans, F.lit(1e-300)).alias("wide"))
+    coded = rows.join(box, "cloud_id").withColumns({"c" + a: F.least(F.floor((F.col(a) - F.col("lo" + a)) / F.col("wide") * float(2**depth)), F.lit(2**depth - 1)).cast("long") for a in axes})
+    digit = lambda a, at: F.shiftright(F.col("c" + a), at).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+    # a cell's code: its parts' numbers from the top down, each of ``step`` bits an axis
+    code = reduce(lambda x, y: x + y, [F.shiftleft(digit(a, depth - step * (level + 1)), step * dims * (depth // step - 1 - level) + step * i) for level in range(depth // step) for i, a in enumerate(axes)])
+    coded = materialize(coded.select("cloud_id", "id", *axes, code.alias("code")), "coded")
+    bits = step * dims
+    asked = todo.select("cloud_id", F.col("id").alias("src"), *[F.col(a).alias("q" + a) for a in axes])
+    by_query = Window.partitionBy("cloud_id", "src").orderBy("far", "code").rowsBetween(Window.unboundedPreceding, 0)
+    state = None
+    for level in range(depth // step - 1, -1, -1):
+        cells = coded.groupBy("cloud_id", F.shiftright("code", bits * level).alias("code")).agg(F.count("*").alias("n"), *[F.min(a).alias("a" + a) for a in axes], *[F.max(a).alias("b" + a) for a in axes])
+        if state is None:
+            met = asked.join(cells, "cloud_id")  # with the cells at the top
+        else:
+            met = state.select("cloud_id", "src", *["q" + a for a in axes], F.col("code").alias("up")).join(cells.withColumn("up", F.shiftright("code", bits)), ["cloud_id", "up"]).drop("up")
+        gap = [F.greatest(F.col("a" + a) - F.col("q" + a), F.col("q" + a) - F.col("b" + a), F.lit(0.0)) for a in axes]
+        reach = [F.greatest(F.abs(F.col("q" + a) - F.col("a" + a)), F.abs(F.col("b" + a) - F.col("q" + a))) for a in axes]
+        total = lambda v: reduce(lambda x, y: x + y, [d * d for d in v])
+        met = met.withColumns({"near": total(gap), "far": total(reach)})
+        enough = F.when(F.sum("n").over(by_query) >= need, F.col("far"))
+        met = met.withColumn("enough", enough).withColumn("bound", F.min("enough").over(Window.partitionBy("cloud_id", "src")))
+        kept = met.filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * WIDER)).select("cloud_id", "src", *["q" + a for a in axes], "code", "n")
+        last, state = state, materialize(kept, "kept-cells")
+        discard(last)
+        if (state.agg(F.max("n")).first()[0] or 0) <= few:
+            break
+    at = coded.withColumn("cell", F.shiftright("code", bits * level))
+    pairs = state.select("cloud_id", F.col("src").alias("lid"), *[F.col("q" + a).alias("l" + a) for a in axes], F.col("code").alias("cell")).join(at.select("cloud_id", "cell", F.col("id").alias("rid"), *[F.col(a).alias("r" + a) for a in axes]), ["cloud_id", "cell"])
+    if same:
+        pairs = pairs.filter("lid <> rid")
+    return _nearest(pairs.withColumn("d2", squared(axes)), k)
+
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("cloud_id", "lid").orderBy("d2", "rid")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("cloud_id", F.col("lid").alias("src"), F.col("rid").alias("dst"), F.sqrt("d2").alias("dist"), "rank")
