@@ -1,9 +1,9 @@
 """Over-segmentation into superpoints and the split of merged components.
 
-Superpoints minimise sum |f - p|^2 + strength * (weights of cut edges) over the neighbour graph, greedily by region
-fusion: starting from single points, the pair of adjacent regions whose merger lowers the energy most is
-merged, until none does at the final strength. Runs in numpy, one connected component of the graph per group;
-a component above ``tile_points`` is cut into grid tiles first, so that a group stays bounded.
+Superpoints minimise sum |f - p|^2 + strength * (weights of cut edges) over the neighbour graph by contraction:
+starting from single points, in every round each region picks the neighbour whose merger lowers the energy most, and regions
+that pick each other merge, until no merger lowers it. A connected component of the graph is one group in numpy, or, if
+it is large, takes the same rounds as joins, so no border of tiles cuts a superpoint.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pointspark.operators.filters import shift_to_origin
 from pointspark.operators.graph import connected_components
 from pointspark.operators.grid import decimate
+from pointspark.operators.ranks import dense_ranks
 from pointspark.operators.spatial import knn, label_lookup
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
 
 
 def region_fusion(xyz: np.ndarray, edges: np.ndarray, weights: np.ndarray, strength: float) -> np.ndarray:
@@ -66,35 +67,107 @@ def region_fusion(xyz: np.ndarray, edges: np.ndarray, weights: np.ndarray, stren
     return np.unique(root, return_inverse=True)[1]
 
 
+def contract(xyz: np.ndarray, edges: np.ndarray, weights: np.ndarray, strength: float) -> np.ndarray:
+    """Region of each point (its smallest point) by rounds: every region picks its best neighbour, and pairs that pick each other merge.
+
+    The same energy as ``region_fusion``, whose single order of mergers no two tasks could share; ``contract_rounds``
+    takes the same rounds as joins, so both give the same regions.
+    """
+    n = len(xyz)
+    total, size, label = xyz.astype(float).copy(), np.ones(n), np.arange(n)
+    u, v = np.minimum(edges[:, 0], edges[:, 1]), np.maximum(edges[:, 0], edges[:, 1])
+    w = np.asarray(weights, float)
+    while True:
+        keep = u != v
+        keys, at = np.unique(u[keep] * n + v[keep], return_inverse=True)
+        w = np.bincount(at, w[keep], len(keys))
+        u, v = keys // n, keys % n
+        d = total[u] / size[u, None] - total[v] / size[v, None]
+        gain = strength * w - size[u] * size[v] / (size[u] + size[v]) * (d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+        best = np.flatnonzero(gain > 0)
+        if not len(best):
+            return label
+        best = best[np.lexsort((v[best], u[best], -gain[best]))]
+        first = np.full(n, -1)
+        ends = np.concatenate((u[best], v[best]))
+        node, place = np.unique(np.stack((u[best], v[best]), axis=1).ravel(), return_index=True)
+        first[node] = best[place // 2]
+        pick = np.unique(first[ends])
+        pick = pick[(first[u[pick]] == pick) & (first[v[pick]] == pick)]
+        a, b = u[pick], v[pick]
+        total[a] += total[b]
+        size[a] += size[b]
+        to = np.arange(n)
+        to[b] = a
+        label, u, v = to[label], to[u], to[v]
+        u, v = np.minimum(u, v), np.maximum(u, v)
+
+
+def contract_rounds(nodes: DataFrame, edges: DataFrame, strength: float) -> DataFrame:
+    """``cloud_id, pid, label`` as ``contract`` has them, each round a few joins: for components that are too large for one task.
+
+    ``nodes``: cloud_id, pid, x, y, z; ``edges``: cloud_id, u, v, w, with u < v and each pair once.
+    """
+    regions = materialize(nodes.select("cloud_id", F.col("pid").alias("id"), *[F.col(c).cast("double").alias("s" + c) for c in "xyz"], F.lit(1.0).alias("n")), "regions")
+    edges = materialize(edges, "borders")
+    merged = None
+    while True:
+        side = lambda end: regions.select("cloud_id", F.col("id").alias(end), F.col("n").alias(end + "n"), *[(F.col("s" + c) / F.col("n")).alias(end + c) for c in "xyz"])
+        met = edges.join(side("u"), ["cloud_id", "u"]).join(side("v"), ["cloud_id", "v"])
+        dx, dy, dz = (F.col("u" + c) - F.col("v" + c) for c in "xyz")
+        gain = F.lit(float(strength)) * F.col("w") - F.col("un") * F.col("vn") / (F.col("un") + F.col("vn")) * (dx * dx + dy * dy + dz * dz)
+        better = met.select("cloud_id", F.struct((-gain).alias("g"), "u", "v").alias("e")).filter("e.g < 0")
+        picks = better.withColumn("end", F.explode(F.array("e.u", "e.v"))).groupBy("cloud_id", "end").agg(F.min("e").alias("e"))
+        pairs = materialize(picks.groupBy("cloud_id", F.col("e.u").alias("u"), F.col("e.v").alias("v")).agg(F.count("*").alias("k")).filter("k = 2").select("cloud_id", "u", "v"), "mergers")
+        if pairs.isEmpty():
+            break
+        merged = pairs if merged is None else merged.unionByName(pairs)
+        to = pairs.select("cloud_id", F.col("v").alias("id"), F.col("u").alias("to"))
+        home = F.coalesce("to", "id")
+        sums = regions.join(to, ["cloud_id", "id"], "left").groupBy("cloud_id", home.alias("id")).agg(*[F.sum(c).alias(c) for c in ("sx", "sy", "sz", "n")])
+        moved = edges
+        for end in "uv":
+            moved = moved.join(to.select("cloud_id", F.col("id").alias(end), F.col("to").alias("_" + end)), ["cloud_id", end], "left").withColumn(end, F.coalesce("_" + end, end)).drop("_" + end)
+        moved = moved.filter("u <> v").groupBy("cloud_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w"))
+        last, regions, edges = (regions, edges), materialize(sums, "regions"), materialize(moved, "borders")
+        discard(*last)
+    if merged is None:
+        return nodes.select("cloud_id", "pid", F.col("pid").alias("label"))
+    return connected_components(nodes, merged.select("cloud_id", F.col("v").alias("src"), F.col("u").alias("dst")))
+
+
 def superpoints(points: DataFrame, resolution: float = 0.15, k: int = 5, strength: float = 1.0, tile_points: int = 50_000) -> DataFrame:
-    """``cloud_id, pid, init_segs``: superpoint ids from 0, compact in a cloud."""
+    """``cloud_id, pid, init_segs``: superpoint ids from 0, compact in a cloud.
+
+    Components of the neighbour graph of at most ``tile_points`` points are contracted in a task each, larger ones by
+    joins; the regions are the same either way.
+    """
     reps, inverse = decimate(shift_to_origin(points.select("cloud_id", "pid", "x", "y", "z")), resolution)
     reps = materialize(reps, "reps")
-    edges = materialize(knn(reps, k).select("cloud_id", "src", "dst"), "near")
-    labels = connected_components(reps, edges)
-    # a tile of a large component is a group of its own
+    near = materialize(knn(reps, k).select("cloud_id", "src", "dst"), "near")
+    labels = materialize(connected_components(reps, near), "labels")
     n = labels.groupBy("cloud_id", "label").agg(F.count("*").alias("_n"))
-    at = reps.join(labels, ["cloud_id", "pid"]).join(n, ["cloud_id", "label"])
-    side = F.sqrt(F.lit(float(tile_points))) * resolution / 2
-    at = at.withColumn("_ti", F.when(F.col("_n") > tile_points, F.floor(F.col("x") / side)).otherwise(F.lit(0).cast("long")))
-    at = at.withColumn("_tj", F.when(F.col("_n") > tile_points, F.floor(F.col("y") / side)).otherwise(F.lit(0).cast("long"))).drop("_n")
-    at = materialize(at, "tiled")
-    group = ["cloud_id", "label", "_ti", "_tj"]
-    mine = at.select(*group, F.col("pid").alias("src"))
-    inner = edges.join(mine, ["cloud_id", "src"]).join(mine.withColumnRenamed("src", "dst"), [*group, "dst"])
-    rows = at.select(*group, "pid", "x", "y", "z", F.lit(None).cast("long").alias("dst")).unionByName(inner.select(*group, F.col("src").alias("pid"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("z"), "dst"))
+    at = materialize(reps.join(labels, ["cloud_id", "pid"]).join(n, ["cloud_id", "label"]), "sized")
+    edges = near.groupBy("cloud_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").cast("double").alias("w"))
+    edges = materialize(edges.join(at.select("cloud_id", F.col("pid").alias("u"), "label", "_n"), ["cloud_id", "u"]), "borders")
+    small = at.filter(F.col("_n") <= tile_points)
+    rows = small.select("cloud_id", "label", "pid", "x", "y", "z", F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("w"))
+    none = F.lit(None).cast("double")
+    rows = rows.unionByName(edges.filter(F.col("_n") <= tile_points).select("cloud_id", "label", F.col("u").alias("pid"), none.alias("x"), none.alias("y"), none.alias("z"), F.col("v").alias("dst"), "w"))
 
     def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf[pdf["dst"].isna()].sort_values("pid")
-        links = pdf[pdf["dst"].notna()].sort_values(["pid", "dst"])
+        links = pdf[pdf["dst"].notna()]
         ids = nodes["pid"].to_numpy()
         pairs = np.column_stack((np.searchsorted(ids, links["pid"]), np.searchsorted(ids, links["dst"].astype("int64"))))
-        found = region_fusion(nodes[["x", "y", "z"]].to_numpy(), pairs, np.ones(len(pairs)), strength)
-        first = pd.Series(ids).groupby(found).transform("min")
-        return pd.DataFrame({"cloud_id": nodes["cloud_id"].to_numpy(), "pid": ids, "label": first.to_numpy()})
-
-    fused = materialize(rows.groupBy(*group).applyInPandas(fuse, "cloud_id string, pid long, label long"), "fused")
-    ranks = fused.select("cloud_id", "label").distinct().withColumn("init_segs", F.dense_rank().over(Window.partitionBy("cloud_id").orderBy("label")).cast("long") - 1)
+        found = contract(nodes[["x", "y", "z"]].to_numpy(), pairs, links["w"].to_numpy(), strength)
+        return pd.DataFrame({"cloud_id": nodes["cloud_id"].to_numpy(), "pid": ids, "label": ids[found]})
+
+    fused = materialize(rows.groupBy("cloud_id", "label").applyInPandas(fuse, "cloud_id string, pid long, label long"), "fused")
+    large = at.filter(F.col("_n") > tile_points).select("cloud_id", "pid", "x", "y", "z")
+    if not large.isEmpty():
+        fused = materialize(fused.unionByName(contract_rounds(large, edges.filter(F.col("_n") > tile_points).select("cloud_id", "u", "v", "w"), strength)), "fused")
+    ranks = dense_ranks(fused, "cloud_id", "label", "init_segs")
     named = fused.join(ranks, ["cloud_id", "label"]).select("cloud_id", "pid", F.col("init_segs").alias("label"))
     return label_lookup(inverse, named).withColumnRenamed("label", "init_segs")
 
