@@ -4,8 +4,8 @@ A text is lower-cased (A-Z), cut at punctuation and line ends to pieces and thes
 phrase is a run of words inside of a piece. Level by level, k = 1, 2, ..., a pass over the texts counts k-grams by
 language; a k-gram is emitted only when both (k-1)-grams in it are frequent. What is frequent is known to every task
 from a broadcast bitmap of hashes, of 2^28 bits (32 MB) at most whatever the corpus: a hash that meets another costs a
-count that is then found too low, never a wrong result, as a frequent phrase has only frequent parts. Counts are
-summed in tasks, in tables of ``at_once`` entries, before they are shuffled by phrase. Level tables hold all that
+count that is then found too low, never a wrong result, as a frequent phrase has only frequent parts. Occurrences are
+summed in tasks, ``at_once`` of them together, before they are shuffled by phrase. Level tables hold all that
 has ``min_count`` occurrences, so they have the counts of both sides of every cut.
 
 Defined cases: a null text has no words; a null language is ``und``; empty texts, ties (to the smaller phrase, in the order
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.llm.common import mix, small_batches
+from pointspark.llm.common import mix, release, small_batches
 from pointspark.shared import materialize
 
 #: Pieces end at these characters (fixed); inside of a piece only spaces and tabs part words, as bytes.split() does.
@@ -40,12 +40,13 @@ _U = np.uint64
 
 def words_of(text: str) -> tuple[list[bytes], np.ndarray]:
     """Words of a text, and for each how many words its piece has from it on."""
-    words, left = [], []
+    words, ends = [], []
     for piece in text.encode("utf-8", "surrogatepass").lower().translate(_TO_LINES).split(b"\n"):
         if w := piece.split():
             words += w
-            left.append(np.arange(len(w), 0, -1))
-    return words, np.concatenate(left) if left else np.empty(0, np.int64)
+            ends.append(len(words))
+    ends = np.array(ends, np.int64)
+    return words, np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(words))
 
 
 def gram_hashes(h: np.ndarray, k: int, lang: str) -> np.ndarray:
@@ -95,36 +96,106 @@ def bitmap(frequent: DataFrame, k: int) -> Bitmap:
     return Bitmap(bits, {r["slice"]: bytes(r["held"]) for r in slices.toLocalIterator()})  # 2^12 slices of 8 KB at most
 
 
-def counts(docs: DataFrame, k: int, known: Bitmap | None, at_once: int = 200_000) -> DataFrame:
+class Vocabulary(dict):
+    """Numbers of the words met, from 0; a word is hashed once."""
+
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+        self.known, self.hashed = np.empty(1024, np.uint64), 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self.words)
+        self.words.append(word)
+        return at
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self) -> np.ndarray:
+        n = len(self.words)
+        if n > self.hashed:
+            if n > len(self.known):
+                self.known = np.resize(self.known, 2 * n)
+            self.known[self.hashed : n] = word_hashes(self.words[self.hashed :])
+            self.hashed = n
+        return self.known
+
+
+def runs_of(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Runs of ``k`` numbers from ``starts`` on: one integer each for up to three, else a row each."""
+    columns = [ids[starts + j] for j in range(k)]
+    return sum(c << (21 * (k - 1 - j)) for j, c in enumerate(columns)) if k <= 3 else np.stack(columns, axis=1)
+
+
+def phrases_of(runs: np.ndarray, words: list[bytes], k: int) -> list[bytes]:
+    columns = [((runs >> (21 * (k - 1 - j))) & 0x1FFFFF) for j in range(k)] if k <= 3 else list(runs.T)
+    return [b" ".join(map(words.__getitem__, run)) for run in zip(*[c.tolist() for c in columns], strict=True)]
+
+
+#: Words of a vocabulary; their numbers must stay below 2^21.
+MOST_WORDS = 400_000
+
+
+def counts(docs: DataFrame, k: int, known: Bitmap | None, at_once: int = 2_000_000) -> DataFrame:
     """``lang, phrase, f`` of the k-grams whose (k-1)-grams are ``known``; for k = 1 the empty phrase counts all words."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(langs: list[str], phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()), "f": pa.array(f, pa.int64())})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                yield lang.as_py(), *words_of(text.as_py())
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def flushed() -> pa.RecordBatch:
-            langs = [lang for lang, c in held.items() for _ in range(len(c))]
-            phrases = [p for c in held.values() for p in c]
+            langs, phrases = [lang for lang, c in held.items() for _ in range(len(c))], [p for c in held.values() for p in c]
             f = np.fromiter((n for c in held.values() for n in c.values()), np.int64, len(langs))
             held.clear()
-            return pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()), "f": pa.array(f)})
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = held.setdefault(lang, Counter())
-                words, left = words_of(text)
-                if k == 1:
-                    own.update(words)
-                    own[b""] += len(words)
-                elif len(words) >= k:
-                    frequent = shared.value.has(gram_hashes(word_hashes(words), k - 1, lang))
-                    starts = np.flatnonzero(frequent[:-1] & frequent[1:] & (left[: len(words) - k + 1] >= k)).tolist()
-                    own.update([b" ".join(words[i : i + k]) for i in starts])
-                if sum(map(len, held.values())) >= at_once:
-                    yield flushed()
+            return batch_of(langs, phrases, f)
+
+        for lang, words, _ in rows(batches):
+            own = held.setdefault(lang, Counter())
+            own.update(words)
+            own[b""] += len(words)
+            if sum(map(len, held.values())) >= at_once // 8:
+                yield flushed()
         yield flushed()
 
-    parts = docs.mapInArrow(count, "lang string, phrase binary, f long")
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vocabulary = shared.value, Vocabulary()
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                runs, f = np.unique(np.concatenate(parts), return_counts=True, axis=None if k <= 3 else 0)
+                for at in range(0, len(runs), 100_000):
+                    some = phrases_of(runs[at : at + 100_000], vocabulary.words, k)
+                    yield batch_of([lang] * len(some), some, f[at : at + 100_000])
+            held.clear()
+
+        for lang, words, left in rows(batches):
+            if len(words) < k:
+                continue
+            ids = vocabulary.numbers(words)
+            frequent = known.has(gram_hashes(vocabulary.hashes()[ids], k - 1, lang))
+            starts = np.flatnonzero(frequent[:-1] & frequent[1:] & (left[: len(words) - k + 1] >= k))
+            if len(starts):
+                held.setdefault(lang, []).append(runs_of(ids, starts, k))
+                size += len(starts)
+            if size >= at_once or len(vocabulary) > MOST_WORDS:
+                yield from flushed()
+                size = 0
+                if len(vocabulary) > MOST_WORDS:
+                    vocabulary = Vocabulary()
+        yield from flushed()
+        release()
+
+    parts = docs.mapInArrow(count_words if k == 1 else count_runs, "lang string, phrase binary, f long")
     return parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
 
 
