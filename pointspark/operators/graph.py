@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.operators import components as cc
@@ -10,7 +15,7 @@ from pointspark.operators.aggregates import component_centroid, component_size
 from pointspark.operators.grid import decimate, voxel_key
 from pointspark.operators.ranks import dense_ranks
 from pointspark.operators.spatial import cluster_min_distance, knn, knn_bounded
-from pointspark.shared import materialize
+from pointspark.shared import discard, materialize
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -74,30 +79,133 @@ def node_graph(points: DataFrame, k: int, max_distance: float, crowns: bool = Fa
     return symmetrize(edges.select("cloud_id", "src", "dst", F.col("d3").alias("w")))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = None) -> DataFrame:
+#: Edges that one task relaxes at most, more or less.
+MOST_EDGES = 200_000
+_NO_NODE = -(1 << 63)
+
+
+def _relax(group: pa.Table, limit: float | None) -> pa.Table:
+    """One tile: Dijkstra from what was sent to it; its nodes' state, and what it sends to nodes of other tiles.
+
+    Rows of kind 0 are edges (node, other, dist = weight, to = the other's tile), 1 the state so far, 2 what was sent.
+    """
+    tile = group.column("tile")[0].as_py()
+    kind, node = group.column("kind").to_numpy(), group.column("node").to_numpy()
+    dist, target = group.column("dist").to_numpy(), group.column("target").fill_null(0).to_numpy()
+    other, to = group.column("other").fill_null(_NO_NODE).to_numpy(), group.column("to").fill_null(tile).to_numpy()
+    ids = np.unique(np.concatenate((node, other[(kind == 0) & (to == tile)])))
+    at = np.searchsorted(ids, node)
+    order = np.flatnonzero(kind == 0)
+    order = order[np.argsort(at[order], kind="stable")]
+    first = np.searchsorted(at[order], np.arange(len(ids) + 1)).tolist()
+    ends, weights, tiles = other[order].tolist(), dist[order].tolist(), to[order].tolist()
+    inner = np.searchsorted(ids, other[order]).tolist()
+    best: list = [(math.inf, 0, _NO_NODE)] * len(ids)
+    for i in np.flatnonzero(kind == 1):
+        best[at[i]] = (float(dist[i]), int(target[i]), int(other[i]))
+    heap = [(float(dist[i]), int(target[i]), int(other[i]), int(at[i]), True) for i in np.flatnonzero(kind == 2)]
+    heapq.heapify(heap)
+    sent: dict = {}
+    while heap:
+        d, t, p, n, apart = heapq.heappop(heap)
+        known = best[n][:2]
+        if (d, t) == known and apart and p < best[n][2]:
+            best[n] = (d, t, p)  # as near by another way: the smaller node before it counts
+        if (d, t) >= known:
+            continue
+        best[n] = (d, t, p)
+        own = int(ids[n])
+        for e in range(first[n], first[n + 1]):
+            nd = d + weights[e]
+            if limit is not None and nd > limit:
+                continue
+            if tiles[e] == tile:
+                if (nd, t) <= best[inner[e]][:2]:
+                    heapq.heappush(heap, (nd, t, own, inner[e], weights[e] > 0))
+            else:
+                key = (tiles[e], ends[e])
+                if key not in sent or (nd, t, own) < sent[key]:
+                    sent[key] = (nd, t, own)
+    rows = [(tile, int(ids[n]), *v, False) for n, v in enumerate(best) if v[0] < math.inf] + [(*k, *v, True) for k, v in sent.items()]
+    tiles_, nodes, dists, targets, prevs, out = (list(c) for c in zip(*rows, strict=True)) if rows else ([],) * 6
+    return pa.table({
+        "cloud_id": pa.array([group.column("cloud_id")[0].as_py()] * len(rows), pa.string()), "tile": pa.array(tiles_, pa.int64()), "node": pa.array(nodes, pa.int64()), "dist": pa.array(dists, pa.float64()),
+        "target": pa.array(targets, pa.int64()), "prev": pa.array([None if p == _NO_NODE else p for p in prevs], pa.int64()), "sent": pa.array(out, pa.bool_()),
+    })
+
+
+def _tiles(ends: DataFrame, counts: DataFrame, places: DataFrame | None, most: int) -> DataFrame:
+    """``cloud_id, node, tile`` of all nodes: about ``most`` edges a tile, by place in xy or, without places, by ranges of numbers."""
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("long")
+    if places is None:
+        span = ends.groupBy("cloud_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+        own = ends.join(counts, "cloud_id").join(span, "cloud_id")
+        share = (F.col("node") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo") + 1).cast("double")
+        return own.select("cloud_id", "node", F.floor(share * parts).cast("long").alias("tile"))
+    span = places.groupBy("cloud_id").agg(*[F.min(a).alias("lo" + a) for a in "xy"], F.greatest(*[F.max(a) - F.min(a) for a in "xy"], F.lit(1e-300)).alias("wide"))
+    own = ends.join(places.select("cloud_id", "node", "x", "y"), ["cloud_id", "node"], "left").join(counts, "cloud_id").join(span, "cloud_id")
+    sides = F.ceil(F.sqrt(parts)).cast("long")
+    i, j = (F.least(F.floor((F.col(a) - F.col("lo" + a)) / F.col("wide") * sides), sides - 1).cast("long") for a in "xy")
+    return own.select("cloud_id", "node", F.coalesce(i * sides + j, F.lit(0)).alias("tile"))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = None, places: DataFrame | None = None, most: int = MOST_EDGES) -> DataFrame:
     """``cloud_id, node, dist, target, prev`` from the nearest source (``cloud_id, node, target``), target the first of equals.
 
-    One relaxation for all sources: only nodes improved in the last round send on, so the state is one row per
-    node whatever the number of sources.
+    The graph is cut to tiles of about ``most`` edges, by ``places`` (cloud_id, node, x, y) where they are given. In a round each
+    tile that was sent a better distance runs Dijkstra's search over its own edges in one task and sends on what
+    crosses its border. So rounds grow with the tiles that a path crosses, not with its edges; a graph of one tile takes one.
+    The state is one row a node, whatever the number of sources, and a tile's is written only when it has run.
     """
-    state = materialize(sources.select("cloud_id", "node", F.lit(0.0).alias("dist"), F.col("target").cast("long").alias("target"), F.lit(None).cast("long").alias("prev")), "dist")
-    front = state
+    edges = edges.select("cloud_id", "src", "dst", "w")
+    counts = edges.groupBy("cloud_id").agg(F.count("*").alias("n"))
+    begin = sources.select("cloud_id", F.col("node").cast("long").alias("node"), F.col("target").cast("long").alias("target"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= most:
+        cut = edges.withColumns({"tile": F.lit(0).cast("long"), "to": F.lit(0).cast("long")})
+        first = begin.withColumn("tile", F.lit(0).cast("long"))
+    else:
+        ends = edges.select("cloud_id", F.col("src").alias("node")).union(edges.select("cloud_id", "dst")).union(begin.select("cloud_id", "node")).distinct()
+        tiles = materialize(_tiles(ends, counts, places, most), "tiles")
+        cut = edges.join(tiles.withColumnRenamed("node", "src"), ["cloud_id", "src"]).join(tiles.withColumnsRenamed({"node": "dst", "tile": "to"}), ["cloud_id", "dst"])
+        cut = materialize(cut, "cut-edges")
+        first = begin.join(tiles, ["cloud_id", "node"])
+    none = F.lit(None).cast("long")
+    sent = materialize(first.select("cloud_id", "tile", "node", F.lit(0.0).alias("dist"), "target", none.alias("prev")), "sent")
+    held = cut.select("cloud_id", "tile", F.lit(0).alias("kind"), F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("other"), F.col("w").cast("double").alias("dist"), none.alias("target"), "to")
+    kinds = "cloud_id string, tile long, node long, dist double, target long, prev long, sent boolean"
+    row = lambda df, kind: df.select("cloud_id", "tile", F.lit(kind).alias("kind"), "node", F.col("prev").alias("other"), "dist", "target", none.alias("to"))
+    states, latest, number = None, None, 0
     while True:
-        sent = front.join(edges.withColumnRenamed("src", "node"), ["cloud_id", "node"]).select("cloud_id", F.col("dst"), (F.col("dist") + F.col("w")).alias("nd"), "target", "node")
-        if limit is not None:
-            sent = sent.filter(F.col("nd") <= limit)
-        best = sent.groupBy("cloud_id", F.col("dst").alias("node")).agg(F.min(F.struct("nd", "target", F.col("node").alias("p"))).alias("b"))
-        joined = best.join(state, ["cloud_id", "node"], "left")
-        better = joined.filter(F.col("dist").isNull() | (F.col("b.nd") < F.col("dist")) | ((F.col("b.nd") == F.col("dist")) & (F.col("b.target") < F.col("target"))))
-        front = materialize(better.select("cloud_id", "node", F.col("b.nd").alias("dist"), F.col("b.target").alias("target"), F.col("b.p").alias("prev")), "front")
-        if front.isEmpty():
+        active = sent.select("cloud_id", "tile").distinct()
+        rows = held.join(active, ["cloud_id", "tile"], "left_semi").unionByName(row(sent, 2))
+        if states is not None:
+            rows = rows.unionByName(row(states.join(latest, ["cloud_id", "tile", "round"], "left_semi").join(active, ["cloud_id", "tile"], "left_semi"), 1))
+        out = materialize(rows.groupBy("cloud_id", "tile").applyInArrow(lambda group: _relax(group, limit), kinds), "relaxed")
+        own = out.filter("not sent").drop("sent").withColumn("round", F.lit(number))
+        ran = own.select("cloud_id", "tile", "round").distinct()
+        states = own if states is None else states.unionByName(own)
+        latest = ran if latest is None else latest.unionByName(ran).groupBy("cloud_id", "tile").agg(F.max("round").alias("round"))
+        latest = materialize(latest, "latest") if number else latest
+        state = states.join(latest, ["cloud_id", "tile", "round"], "left_semi").select("cloud_id", "node", "dist", "target", "prev") if number else own.select("cloud_id", "node", "dist", "target", "prev")
+        news = out.filter("sent")
+        if news.isEmpty():
+            return state
+        best = news.groupBy("cloud_id", "tile", "node").agg(F.min(F.struct("dist", "target", "prev")).alias("b"))
+        known = state.select("cloud_id", "node", F.struct("dist", "target", "prev").alias("k"))
+        better = best.join(known, ["cloud_id", "node"], "left").filter(F.col("k").isNull() | (F.struct("b.dist", "b.target") < F.struct("k.dist", "k.target")) | ((F.struct("b.dist", "b.target") == F.struct("k.dist", "k.target")) & (F.col("b.prev") < F.col("k.prev"))))
+        last, sent = sent, materialize(better.select("cloud_id", "tile", "node", "b.dist", "b.target", "b.prev"), "sent")
+        discard(last)
+        number += 1
+        if sent.isEmpty():
             return state
-        state = materialize(state.join(front, ["cloud_id", "node"], "left_anti").unionByName(front), "dist")
 
 
 def nearest_source_label(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """``cloud_id, node, label``: the nearest source's rank, compacted to 0.. in each cloud; -1 where none is reachable."""
-    reached = shortest_paths(edges, sources)
+    """``cloud_id, node, label``: the nearest source's rank, compacted to 0.. in each cloud; -1 where none is reachable.
+
+    If ``nodes`` has x and y, the graph is cut by them.
+    """
+    reached = materialize(shortest_paths(edges, sources, places=nodes if {"x", "y"} <= set(nodes.columns) else None), "reached")
     ranks = dense_ranks(reached, "cloud_id", "target", "label")
     named = reached.join(ranks, ["cloud_id", "target"]).select("cloud_id", "node", "label")
     return nodes.select("cloud_id", "node").join(named, ["cloud_id", "node"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
@@ -131,25 +239,29 @@ def weight_shaping(edges: DataFrame, touching: DataFrame, cutoff: float, touch_s
 def find_stem(segments: DataFrame, edges: DataFrame) -> DataFrame:
     """``cloud_id, seq, node_id`` of the stem, bottom to top: from the lowest stem segment to the farthest reachable one.
 
-    ``segments``: segment, x, y, z, is_stem; ``edges`` between stem segments. The back-trace follows one
-    predecessor per round; its length is that of the stem.
+    ``segments``: segment, x, y, z, is_stem; ``edges`` between stem segments. The back-trace doubles its steps, so
+    its rounds are the logarithm of the stem's length.
     """
     from pointspark.operators.ranking import lowest_start
 
     start = lowest_start(segments)
     sources = start.select("cloud_id", F.col("start").alias("node"), F.lit(0).alias("target"))
     paths = shortest_paths(edges, sources)
+    paths = materialize(paths, "stem-paths")
     tip = paths.groupBy("cloud_id").agg(F.max_by("node", F.struct(F.col("dist"), -F.col("node"))).alias("node"))
-    at, found, back = materialize(tip, "tip"), None, 0
-    while not at.isEmpty():
-        step = at.withColumn("back", F.lit(back))
-        found = step if found is None else found.unionByName(step)
-        at = materialize(at.join(paths, ["cloud_id", "node"]).filter("prev is not null").select("cloud_id", F.col("prev").alias("node")), "tip")
-        back += 1
-    if found is None:
-        return tip.select("cloud_id", F.lit(0).alias("seq"), F.col("node").alias("node_id"))
-    up = Window.partitionBy("cloud_id").orderBy(F.desc("back"))
-    return found.select("cloud_id", (F.row_number().over(up) - 1).alias("seq"), F.col("node").alias("node_id"))
+    # after each round the nodes found are twice as many, and every node knows the one twice as far below it
+    found, jump, size = materialize(tip.withColumn("back", F.lit(0)), "stem"), paths.filter("prev is not null").select("cloud_id", "node", F.col("prev").alias("down")), 1
+    while True:
+        more = found.join(jump, ["cloud_id", "node"]).select("cloud_id", F.col("down").alias("node"), (F.col("back") + size).alias("back"))
+        wider = materialize(found.unionByName(more), "stem")
+        before, after = (df.count() for df in (found, wider))
+        found = wider
+        if before == after:
+            break
+        jump = materialize(jump.join(jump.select("cloud_id", F.col("node").alias("down"), F.col("down").alias("_d")), ["cloud_id", "down"]).select("cloud_id", "node", F.col("_d").alias("down")), "jump")
+        size *= 2
+    length = found.groupBy("cloud_id").agg(F.max("back").alias("_n"))
+    return found.join(length, "cloud_id").select("cloud_id", (F.col("_n") - F.col("back")).cast("int").alias("seq"), F.col("node").alias("node_id"))
 
 
 def decimated_components(points: DataFrame, resolution: float, k: int = 10, reach: float = 3.0) -> tuple[DataFrame, DataFrame, DataFrame]:
