@@ -65,6 +65,17 @@ class ZeroOffset:
         return block.assign(**dict.fromkeys(self.outputs, 0.0))
 
 
+class FeatureOffset:
+    """An offset of ``shift`` voxels times a feature of the voxel (``has_loc``, ``mean_flag``), a number for each axis."""
+
+    def __init__(self, feature: str, shift: tuple[float, ...]):
+        self.feature, self.shift = feature, shift
+        self.outputs = ("dx", "dy", "dz")[: len(shift)]
+
+    def __call__(self, block: pd.DataFrame) -> pd.DataFrame:
+        return block.assign(**{o: block[self.feature] * s for o, s in zip(self.outputs, self.shift, strict=True)})
+
+
 _sessions: dict[int, object] = {}
 
 

@@ -9,6 +9,7 @@ it is large, takes the same rounds as joins, so no border of tiles cuts a superp
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -181,30 +182,111 @@ def init_segments(points: DataFrame, resolution: float = 0.15, k_stem: int = 5,
     return stem.unionByName(moved)
 
 
-def mixture_split(points: DataFrame, bases: DataFrame, rounds: int = 20) -> DataFrame:
+def digamma(x: float) -> float:
+    shift = 0.0
+    while x < 10:
+        shift, x = shift - 1 / x, x + 1
+    q = 1 / (x * x)
+    return shift + math.log(x) - 0.5 / x - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132))))
+
+
+def _log_b(log_det: float, nu: float) -> float:
+    """Logarithm of the normalising constant of a Wishart distribution in three dimensions."""
+    return -nu / 2 * log_det - 1.5 * nu * math.log(2) - 1.5 * math.log(math.pi) - sum(math.lgamma((nu - i) / 2) for i in range(3))
+
+
+def mixture_step(count: np.ndarray, first: np.ndarray, second: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Variational posterior of a mixture from its responsibilities' sums: ``const``, ``mean`` and ``form`` of each part, and the divergence from the prior.
+
+    The log density of a point x in a part is const - (x - mean)' form (x - mean) / 2. The prior is that of a whole
+    component of covariance ``spread`` about the origin: one observation, and Dirichlet weights of 1 / parts.
+    """
+    k, beta0, nu0, alpha0 = len(count), 1.0, 3.0, 1.0 / len(count)
+    alpha = alpha0 + count
+    log_weight = np.array([digamma(a) for a in alpha]) - digamma(alpha.sum())
+    apart = math.lgamma(alpha.sum()) - sum(map(math.lgamma, alpha)) - math.lgamma(alpha0 * k) + k * math.lgamma(alpha0) + float(((alpha - alpha0) * log_weight).sum())
+    const, mean, form = np.empty(k), np.empty((k, 3)), np.empty((k, 3, 3))
+    log_det0 = -np.linalg.slogdet(spread)[1]
+    for i in range(k):
+        beta, nu = beta0 + count[i], nu0 + count[i]
+        own = first[i] / count[i] if count[i] > 0 else np.zeros(3)
+        scatter = spread + second[i] - count[i] * np.outer(own, own) + beta0 * count[i] / beta * np.outer(own, own)
+        low = np.linalg.cholesky((scatter + scatter.T) / 2)
+        inverse = np.linalg.inv(low)
+        w = inverse.T @ inverse
+        log_det = -2 * np.log(np.diag(low)).sum()
+        mean[i] = first[i] / beta
+        log_precision = sum(digamma((nu - j) / 2) for j in range(3)) + 3 * math.log(2) + log_det
+        const[i] = log_weight[i] + log_precision / 2 - 1.5 * math.log(2 * math.pi) - 1.5 / beta
+        form[i] = nu * w
+        apart += 1.5 * (math.log(beta / beta0) + beta0 / beta - 1) + beta0 / 2 * float(mean[i] @ form[i] @ mean[i])
+        apart += _log_b(log_det, nu) - _log_b(log_det0, nu0) + (nu - nu0) / 2 * log_precision + nu / 2 * (float(np.trace(spread @ w)) - 3)
+    return const, mean, form, apart
+
+
+_TERMS = ["xx", "xy", "xz", "yy", "yz", "zz"]
+
+
+def mixture_split(points: DataFrame, bases: DataFrame, tolerance: float = 1e-4, least_spread: float = 1e-6) -> DataFrame:
     """Splits components that hold several bases: ``cloud_id, pid, label, part``.
 
-    Lloyd's rounds of k-means seeded at the bases, as aggregations and joins; a point's part is the rank of its
-    centre in base order. ``points``: cloud_id, pid, x, y, z, label; ``bases``: cloud_id, label, loc_id, x, y, z.
+    A variational mixture of Gaussians with full covariances, one part for each base, begun with each point at its nearest
+    base. The sums over responsibilities of all components are one aggregation a round; a component's posterior is a
+    row for each part. Rounds end when no component's bound, which never falls, rises by ``tolerance`` a point any more. A
+    point's part is that of the largest responsibility, numbered in base order, ties to the smaller.
+    ``points``: cloud_id, pid, x, y, z, label; ``bases``: cloud_id, label, loc_id, x, y, z.
     """
-    many = bases.groupBy("cloud_id", "label").agg(F.count("*").alias("_n")).filter("_n > 1").select("cloud_id", "label")
-    part = F.row_number().over(Window.partitionBy("cloud_id", "label").orderBy("loc_id")) - 1
-    centres = bases.join(many, ["cloud_id", "label"], "left_semi").select("cloud_id", "label", part.alias("part"), *[F.col(c).alias("c" + c) for c in "xyz"])
-    mixed = materialize(points.join(many, ["cloud_id", "label"], "left_semi").select("cloud_id", "pid", "label", "x", "y", "z"), "mixed")
-    centres = materialize(centres, "centres")
-
-    def nearest(centres: DataFrame) -> DataFrame:
-        d2 = sum(((F.col(c) - F.col("c" + c)) * (F.col(c) - F.col("c" + c)) for c in "xyz"), F.lit(0.0))
-        best = mixed.join(centres, ["cloud_id", "label"]).groupBy("cloud_id", "label", "pid").agg(F.min(F.struct(d2.alias("d"), "part", "x", "y", "z")).alias("b"))
-        return best.select("cloud_id", "pid", "label", "b.part", "b.x", "b.y", "b.z")
-
-    before = None
-    for _ in range(rounds):
-        at = materialize(nearest(centres), "parts")
-        sums = at.agg(F.bit_xor(F.xxhash64("cloud_id", "pid", "part"))).first()[0]
-        if sums == before:
+    key = ["cloud_id", "label"]
+    many = bases.groupBy(*key).agg(F.count("*").alias("_k")).filter("_k > 1").select(*key)
+    mixed = points.join(many, key, "left_semi").select(*key, "pid", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    middle = mixed.groupBy(*key).agg(F.count("*").alias("n"), *[F.avg(c).alias("m" + c) for c in "xyz"])
+    middle = materialize(middle, "middles")
+    mixed = materialize(mixed.join(middle, key).select(*key, "pid", *[(F.col(c) - F.col("m" + c)).alias(c) for c in "xyz"]), "mixed")
+    spread = mixed.groupBy(*key).agg(F.count("*").alias("n"), *[F.avg(F.col(t[0]) * F.col(t[1])).alias("c" + t) for t in _TERMS])
+    spread = materialize(spread, "spreads")
+    part = F.row_number().over(Window.partitionBy(*key).orderBy("loc_id")) - 1
+    seeds = bases.join(middle, key).select(*key, part.alias("part"), "loc_id", *[(F.col(c) - F.col("m" + c)).alias(c) for c in "xyz"]).join(many, key, "left_semi")
+    seeds = materialize(seeds, "seeds")
+    forms = seeds.select(*key, F.struct("part", F.lit(0.0).alias("const"), *[F.col(c).alias("m" + c) for c in "xyz"], *[F.lit(2e6 if t[0] == t[1] else 0.0).alias("f" + t) for t in _TERMS]).alias("p"), F.lit(0.0).alias("apart"))
+
+    def scored(forms: DataFrame) -> DataFrame:
+        """``mixed`` with the log density of each part, in order."""
+        lists = forms.groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
+        d = lambda p, c: F.col(c) - p["m" + c]
+        square = lambda p: sum(((1 if t[0] == t[1] else 2) * p["f" + t] * d(p, t[0]) * d(p, t[1]) for t in _TERMS), F.lit(0.0))
+        return mixed.join(lists, key).withColumn("lp", F.transform("ps", lambda p: p["const"] - square(p) / 2)).drop("ps")
+
+    def sums(forms: DataFrame) -> DataFrame:
+        top = F.array_max("lp")
+        whole = scored(forms).withColumn("lse", top + F.log(F.aggregate(F.transform("lp", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)))
+        each = whole.select(*key, *"xyz", "lse", F.posexplode("lp").alias("part", "v")).withColumn("r", F.exp(F.col("v") - F.col("lse")))
+        return each.groupBy(*key, "part").agg(F.sum("r").alias("count"), F.sum(F.col("r") * F.col("lse")).alias("bound"), *[F.sum(F.col("r") * F.col(c)).alias("s" + c) for c in "xyz"], *[F.sum(F.col("r") * F.col(t[0]) * F.col(t[1])).alias("s" + t) for t in _TERMS])
+
+    def posterior(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        matrix = lambda row, p: np.array([[row[p + "".join(sorted((a, b)))] for b in "xyz"] for a in "xyz"], float)
+        prior = matrix(pdf.iloc[0], "c") + least_spread * np.eye(3)
+        const, mean, form, apart = mixture_step(pdf["count"].to_numpy(), pdf[["sx", "sy", "sz"]].to_numpy(), np.stack([matrix(row, "s") for _, row in pdf.iterrows()]), prior)
+        out = pdf[[*key, "part"]].assign(const=const, apart=apart / len(pdf), **{"m" + c: mean[:, i] for i, c in enumerate("xyz")})
+        return out.assign(**{"f" + t: form[:, "xyz".index(t[0]), "xyz".index(t[1])] for t in _TERMS})
+
+    kind = points.schema["label"].dataType.simpleString()
+    fields = ["part", "const", *["m" + c for c in "xyz"], *["f" + t for t in _TERMS]]
+    schema = f"cloud_id string, label {kind}, part int, const double, apart double, " + ", ".join(f"{c} double" for c in fields[2:])
+    now, before = materialize(sums(forms), "sums"), None  # almost each point to its nearest base
+    while True:
+        fitted = now.join(spread, key).groupBy(*key).applyInPandas(posterior, schema)
+        forms = materialize(fitted.select(*key, F.struct(*fields).alias("p"), "apart"), "forms")
+        last, now = now, materialize(sums(forms), "sums")
+        bound = now.groupBy(*key).agg(F.sum("bound").alias("b")).join(forms.groupBy(*key).agg(F.sum("apart").alias("a")), key).select(*key, (F.col("b") - F.col("a")).alias("bound"))
+        bound = materialize(bound, "bound")
+        discard(last)
+        if before is not None:
+            risen = bound.join(before.withColumnRenamed("bound", "was"), key).join(spread, key).agg(F.max((F.col("bound") - F.col("was")) / F.col("n"))).first()[0]
+            if risen is None or risen <= tolerance:
+                break
+        elif bound.isEmpty():
             break
-        before = sums
-        moved = at.groupBy("cloud_id", "label", "part").agg(*[F.avg(c).alias("n" + c) for c in "xyz"])
-        centres = materialize(centres.join(moved, ["cloud_id", "label", "part"], "left").select("cloud_id", "label", "part", *[F.coalesce("n" + c, "c" + c).alias("c" + c) for c in "xyz"]), "centres")
-    return nearest(centres).select("cloud_id", "pid", "label", "part")
+        discard(before)
+        before = bound
+    return scored(forms).select("cloud_id", "pid", "label", (F.array_position("lp", F.array_max("lp")) - 1).cast("int").alias("part"))

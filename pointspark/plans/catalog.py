@@ -755,7 +755,7 @@ _add(
     r AS (SELECT label, stemoff, row_number() OVER (PARTITION BY label ORDER BY n DESC, stemoff) AS k FROM c) SELECT l.pid, coalesce(r.stemoff, 0) AS pred FROM l LEFT JOIN r ON r.label = l.label AND k = 1""",
 )
 _add("superpoints", on_points(lambda p: superpoints.superpoints(p, 1.0, 5, 20.0).select("pid", "init_segs")))
-_add("mixture_split", on_both(lambda p, t: superpoints.mixture_split(_labelled(p, 10.0), _labelled(t, 10.0), 5).select("pid", "label", "part")))
+_add("mixture_split", on_both(lambda p, t: superpoints.mixture_split(_labelled(p, 10.0), _labelled(t, 10.0)).select("pid", "label", "part")))
 _add("init_segments", on_points(lambda p: superpoints.init_segments(filters.normalize_class(p), 1.0, 5, 20.0, 5, 20.0).select("pid", "init_segs")))
 
 
@@ -790,7 +790,7 @@ _add(
 )
 _add(
     "node_radius",
-    on_points(lambda p: qsm.node_radius(p, _short_paths(p), qsm.segments_of(p, "itc"), segment="itc").select("path_id", "seq", "node_id", *r6("x", "y", "z", "radius"))),
+    on_points(lambda p: qsm.node_radius(p, _short_paths(p), qsm.segments_of(p, "itc"), segment="itc", circle="moments").select("path_id", "seq", "node_id", *r6("x", "y", "z", "radius"))),
     f"""WITH {SEGS}, {SHORT}, v AS (SELECT path_id, seq, node_id, x, y, z, {', '.join(f'{c} - lag({c}) OVER w AS d{c}' for c in 'xyz')} FROM sp JOIN seg ON label = node_id WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
     u AS (SELECT *, {', '.join(f'd{c} / sqrt(dx*dx + dy*dy + dz*dz) AS u{c}' for c in 'xyz')} FROM v WHERE seq > 0), pr AS (SELECT path_id, seq, p.x, p.y, ux, uy, (p.x - u.x) * ux + (p.y - u.y) * uy + (p.z - u.z) * uz AS t FROM u JOIN points p ON p.itc = node_id),
     fl AS (SELECT path_id, seq, x - t * ux AS px, y - t * uy AS py FROM pr), ce AS (SELECT path_id, seq, px - avg(px) OVER w AS u, py - avg(py) OVER w AS v FROM fl WINDOW w AS (PARTITION BY path_id, seq) QUALIFY count(*) OVER w > 4),
@@ -803,6 +803,9 @@ _add(
 )
 
 
+_add("node_radius_riemann", on_points(lambda p: qsm.node_radius(p, _short_paths(p), qsm.segments_of(p, "itc"), segment="itc").select("path_id", "seq", "node_id", *r6("x", "y", "z", "radius"))))
+
+
 def _qsm(spark: SparkSession, d: str) -> DataFrame:
     p = filters.normalize_class(points(spark, d))
     segs = superpoints.init_segments(p, 2.0, 5, 50.0, 5, 50.0)
@@ -975,6 +978,27 @@ _add(
 )
 
 
+TILES2 = f"{EXT}, blocks AS (SELECT p.*, CAST(floor((x - x0) / 2.0::DOUBLE / 10) * 1000 + floor((y - y0) / 2.0::DOUBLE / 10) AS BIGINT) AS block_id FROM points p JOIN ext USING (cloud_id)), {_sql_voxels((2.0, 2.0, 2.0), (10, 10, 20))}"
+_add(
+    "tree_offset_marked",
+    on_both(lambda p, t: predict.tree_offset(p, t, lambda: predict.FeatureOffset("has_loc", (3.0, -1.5)), (2.0, 2.0, 2.0), (10, 10, 20)).select("pid", "treeoff")),
+    f"""WITH {TILES2}, box AS (SELECT block_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d, min(z) AS e, max(z) AS f FROM vox GROUP BY 1),
+    marks AS (SELECT DISTINCT block_id, {cell('x - a', 2.0)} AS i, {cell('y - c', 2.0)} AS j, 1.0::DOUBLE AS has FROM treeloc JOIN box ON x > a AND x < b AND y > c AND y < d AND z > e AND z < f),
+    moved AS (SELECT v.cloud_id, pid, x + coalesce(has, 0) * 3.0::DOUBLE * 2.0::DOUBLE AS x, y + coalesce(has, 0) * -1.5::DOUBLE * 2.0::DOUBLE AS y FROM vox v LEFT JOIN marks USING (block_id, i, j)),
+    near AS (SELECT a.pid, arg_min(b.loc_id, ({D2XY}, b.loc_id)) AS loc_id FROM moved a JOIN treeloc b USING (cloud_id) GROUP BY 1), num AS (SELECT loc_id, row_number() OVER (ORDER BY loc_id) AS treeoff FROM treeloc)
+    SELECT p.pid, coalesce(treeoff, 0) AS treeoff FROM points p LEFT JOIN near USING (pid) LEFT JOIN num USING (loc_id)""",
+)
+_add(
+    "crown_offset_marked",
+    on_points(lambda p: predict.crown_offset(p, lambda: predict.FeatureOffset("mean_flag", (2.0, -1.0, 0.5)), (2.0, 2.0, 2.0), (10, 10, 20)).select("pid", "stemoff")),
+    f"""WITH {TILES2}, flag AS (SELECT block_id, voxel, avg(CAST(stemoff > 0 AS INT)) AS m FROM vox GROUP BY 1, 2),
+    moved AS (SELECT cloud_id, pid, x + m * 2.0::DOUBLE * 2.0::DOUBLE AS x, y + m * -1.0::DOUBLE * 2.0::DOUBLE AS y, z + m * 0.5::DOUBLE * 2.0::DOUBLE AS z FROM vox JOIN flag USING (block_id, voxel) WHERE stemoff <= 0),
+    own AS (SELECT * FROM points WHERE stemoff > 0), nn AS (SELECT a.pid, arg_min(b.stemoff, ({D2}, b.pid)) AS l FROM moved a JOIN own b USING (cloud_id) GROUP BY 1),
+    n AS (SELECT p.pid, CASE WHEN stemoff > 0 THEN stemoff ELSE coalesce(l, 0) END AS s, {cell('x - x0', 0.2)} AS i, {cell('y - y0', 0.2)} AS j, {cell('z - z0', 0.2)} AS k FROM points p JOIN ext USING (cloud_id) LEFT JOIN nn ON nn.pid = p.pid)
+    SELECT pid, first_value(s) OVER (PARTITION BY i, j, k ORDER BY pid) AS stemoff FROM n""",
+)
+
+
 def _custom(spark: SparkSession, d: str) -> DataFrame:
     base = models.parse_config(CONFIG)
     rows = [("configured", *base.with_resolution((0.1, 0.0, 0.1)).resolution), ("custom", *base.with_resolution((0.1, 0.2, 0.3)).resolution)]
