@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointspark.operators.spatial import grid_range_join
 from pointspark.shared import materialize
 
 
+def nms_candidates(tops: DataFrame, threshold: float, rank: str, ident: str) -> DataFrame:
+    """``cloud_id, l, r``: pairs of tops that may be near enough to be rivals, each once.
+
+    Radii fall into classes by powers of two, and each class has a grid as wide as two of its tops reach. A top stands in
+    the grids of its own class and of all wider ones that occur, and meets the tops of that class in the cells around,
+    so one wide top does not widen the cells of the others.
+    """
+    side = F.struct(F.col(ident).alias("id"), F.col(rank).alias("v"), F.col("radius").alias("r"), "x", "y")
+    cls = F.floor(F.log2(F.greatest("radius", F.lit(1e-6)))).cast("int")
+    base = tops.filter(F.col("radius").isNotNull()).select("cloud_id", side.alias("s"), cls.alias("c"))
+    classes = sorted(row["c"] for row in base.select("c").distinct().collect())  # a row for each power of two
+    cell = lambda a: F.floor(F.col("s." + a) / F.greatest(F.pow(F.lit(2.0), F.col("k") + 2) * threshold * (1 + 1e-9), F.lit(1e-6))).cast("long")
+    own = base.withColumn("k", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]), lambda k: k >= F.col("c")))) if classes else base.withColumn("k", F.col("c"))
+    own = own.select("cloud_id", "k", cell("x").alias("i"), cell("y").alias("j"), F.col("s").alias("l"), "c")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    wide = base.withColumn("k", F.col("c")).withColumn("o", F.explode(steps))
+    wide = wide.select("cloud_id", "k", (cell("x") + F.col("o.i")).alias("i"), (cell("y") + F.col("o.j")).alias("j"), F.col("s").alias("r"))
+    met = own.join(wide, ["cloud_id", "k", "i", "j"])
+    return met.filter((F.col("c") < F.col("k")) | (F.col("l.id") < F.col("r.id"))).select("cloud_id", "l", "r")
+
+
 def nms(tops: DataFrame, threshold: float = 0.5, by_height: bool = True, ident: str = "loc_id") -> DataFrame:
     """Tops that greedy suppression keeps, highest (or widest) first, ties to the smaller identifier.
 
     A top suppresses lower ones whose xy distance is at most ``(r1 + r2) * threshold``. Rounds: a top with no
     undecided rival above it stays and removes its rivals below; the test is symmetric, so this equals the
-    greedy order. Rivals come from a grid join whose cell is the widest reach.
+    greedy order. Tops without a radius have no rivals.
     """
-    rank = "z" if by_height else "radius"
-    widest = tops.agg(F.max("radius")).first()[0]
-    if widest is None:
-        return tops
-    reach = max(2 * widest * threshold, 1e-6) * (1 + 1e-9)
-    size = tops.select("cloud_id", F.col(ident).alias("id"), F.col(rank).alias("v"), F.col("radius").alias("r"))
-    pairs = grid_range_join(tops, tops, reach, "xy", ident, ident).filter("lid <> rid").select("cloud_id", F.col("lid").alias("a"), F.col("rid").alias("b"), F.sqrt("d2").alias("d"))
-    for side in "ab":
-        pairs = pairs.join(size.withColumnsRenamed({"id": side, "v": "v" + side, "r": "r" + side}), ["cloud_id", side])
-    rivals = pairs.filter(F.col("d") <= (F.col("ra") + F.col("rb")) * threshold).filter((F.col("va") > F.col("vb")) | ((F.col("va") == F.col("vb")) & (F.col("a") < F.col("b"))))
+    pairs = nms_candidates(tops, threshold, "z" if by_height else "radius", ident)
+    dx, dy = (F.col("l." + a) - F.col("r." + a) for a in "xy")
+    pairs = pairs.filter(F.sqrt(dx * dx + dy * dy) <= (F.col("l.r") + F.col("r.r")) * threshold)
+    first = (F.col("l.v") > F.col("r.v")) | ((F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id")))
+    second = (F.col("r.v") > F.col("l.v")) | ((F.col("l.v") == F.col("r.v")) & (F.col("r.id") < F.col("l.id")))
+    rivals = pairs.filter(first | second).select("cloud_id", F.when(first, F.col("l.id")).otherwise(F.col("r.id")).alias("a"), F.when(first, F.col("r.id")).otherwise(F.col("l.id")).alias("b"))
     rivals = materialize(rivals.select("cloud_id", "a", "b"), "rivals")  # a beats b
     open_, gone = rivals, None
     while not open_.isEmpty():
