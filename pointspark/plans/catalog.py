@@ -828,7 +828,7 @@ def _sql_dtm(fill: bool) -> str:
     return f"""g0 AS (SELECT x, y, z FROM points WHERE treefilter <= 1), gx AS (SELECT min(x) AS gx0, max(x) AS gx1, min(y) AS gy0, max(y) AS gy1 FROM g0),
     tl AS (SELECT x, y, z, ti, tj FROM g0 CROSS JOIN gx JOIN {spans[0]} JOIN {spans[1]}), own AS (SELECT ti, tj, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM tl GROUP BY 1, 2),
     rc AS (SELECT ti, tj, {cell('y - ya', 2.0)} AS row, {cell('x - xa', 2.0)} AS col, min(z) AS value FROM tl JOIN own USING (ti, tj) GROUP BY 1, 2, 3, 4), off AS (SELECT a, b FROM range(-5, 6) t(a), range(-5, 6) u(b) WHERE a*a + b*b <= 25),
-    {weights if fill else 'fl AS (SELECT * FROM rc)'}, sm AS (SELECT r.ti, r.tj, r.row, r.col, median(s.value) AS value FROM fl r JOIN off ON true JOIN fl s ON s.ti = r.ti AND s.tj = r.tj AND s.row = r.row + a AND s.col = r.col + b GROUP BY 1, 2, 3, 4),
+    {weights if fill else 'fl AS (SELECT * FROM rc)'}, sm AS (SELECT v.ti, v.tj, v.row, v.col, median(v.value) AS value FROM (SELECT ti, tj, row - a AS row, col - b AS col, value FROM fl, off) v SEMI JOIN fl r ON r.ti = v.ti AND r.tj = v.tj AND r.row = v.row AND r.col = v.col GROUP BY 1, 2, 3, 4),
     pl AS (SELECT ti, tj, row AS r, col AS c, xa + col * 2.0::DOUBLE AS x, ya + row * 2.0::DOUBLE AS y, value FROM sm JOIN own USING (ti, tj)),
     dtm AS (SELECT {cell('y - gy0', 2.0)} AS row, {cell('x - gx0', 2.0)} AS col, arg_min(x, (ti, tj, r, c)) AS x, arg_min(y, (ti, tj, r, c)) AS y, avg(value) AS z FROM pl, gx GROUP BY 1, 2)"""
 
