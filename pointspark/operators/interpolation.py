@@ -67,8 +67,13 @@ def facets(x: np.ndarray, y: np.ndarray, height: np.ndarray, begin: np.ndarray |
         c = bh[:, 0] - a * bx[:, 0] - b * by[:, 0]
         plane[todo] = np.column_stack((a, b, c))
         below = ph[todo][:, :n] - (a[:, None] * x + b[:, None] * y + c[:, None])
-        enter = below.argmin(axis=1) if n else np.zeros(len(todo), np.int64)
-        go = below[np.arange(len(todo)), enter] < -1e-9 * np.maximum(1.0, np.abs(c)) if n else np.zeros(len(todo), bool)
+        if not n:
+            break
+        for j in range(3):  # points of the triangle are on the plane, but for rounding
+            held = np.flatnonzero(at[:, j] < n)
+            below[held, at[held, j]] = 0.0
+        enter = below.argmin(axis=1)
+        go = below[np.arange(len(todo)), enter] < -np.maximum(1e-9 * np.maximum(1.0, np.abs(c)), 1e-11 * np.abs(bh).max(axis=1))
         todo, enter = todo[go], enter[go]
         if not len(todo):
             break

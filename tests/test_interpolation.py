@@ -43,6 +43,16 @@ def test_triangles_are_the_lowest_of_all(seed):
             assert got == pytest.approx(other, abs=1e-9)
 
 
+def test_cells_between_two_lone_ones_end():
+    """Only two cells occupied: no triangle, and no search without end on the line between them."""
+    for occupied in ([(3, 2), (3, 4)], [(3, 2), (3, 5), (2, 5)], [(0, 0), (6, 6)], [(0, 3), (6, 3), (3, 0), (3, 6)]):
+        m = np.zeros((7, 7), bool)
+        m[tuple(np.array(occupied).T)] = True
+        for low in ((45, 9), (0, 0), (-7, 1000)):
+            found = interpolation.triangles(m, np.argwhere(~m), 3, low)
+            assert (found[:, 0, 0] >= 0).any() == (len(occupied) > 2)
+
+
 def test_wide_gaps_share_triangles():
     rng = np.random.default_rng(3)
     occupied = rng.random((90, 90)) < 0.5
