@@ -80,7 +80,7 @@ def node_graph(points: DataFrame, k: int, max_distance: float, crowns: bool = Fa
 
 
 #: Edges that one task relaxes at most, more or less.
-MOST_EDGES = 200_000
+MOST_EDGES = 2_000_000
 _NO_NODE = -(1 << 63)
 
 

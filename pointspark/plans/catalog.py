@@ -664,10 +664,10 @@ def _weights(p: DataFrame) -> DataFrame:
 PATHS3 = f"""{_sql_bounded('points', 'pid', 4, 3.0)}, e AS (SELECT src, dst, round(sum(dist) / 2, 6) AS w FROM (SELECT src, dst, dist FROM near UNION ALL SELECT dst, src, dist FROM near) GROUP BY 1, 2),
     sp(id, d, tgt) USING KEY (id) AS (SELECT pid, 0::DOUBLE, pid FROM points WHERE stemcls > 1 AND conf > 0.9
       UNION SELECT c.dst, min(c.nd), arg_min(c.tgt, (c.nd, c.tgt)) FROM (SELECT e.dst, sp.d + e.w AS nd, sp.tgt FROM sp JOIN e ON e.src = sp.id) c LEFT JOIN recurring.sp r ON r.id = c.dst WHERE r.id IS NULL OR c.nd < r.d OR (c.nd = r.d AND c.tgt < r.tgt) GROUP BY c.dst)"""
-_add("shortest_paths", on_points(lambda p: graph.shortest_paths(_weights(p), _sources(p)).select("node", *r6("dist"))), f"WITH {PATHS3} SELECT id AS node, round(d, 6) AS dist FROM sp", recursive=True)
+_add("shortest_paths", on_points(lambda p: graph.shortest_paths(_weights(p), _sources(p), places=p.select("cloud_id", F.col("pid").alias("node"), "x", "y")).select("node", *r6("dist"))), f"WITH {PATHS3} SELECT id AS node, round(d, 6) AS dist FROM sp", recursive=True)
 _add(
     "nearest_source_label",
-    on_points(lambda p: graph.nearest_source_label(p.select("cloud_id", F.col("pid").alias("node")), _weights(p), _sources(p)).select("node", "label")),
+    on_points(lambda p: graph.nearest_source_label(p.select("cloud_id", F.col("pid").alias("node"), "x", "y"), _weights(p), _sources(p)).select("node", "label")),
     f"WITH {PATHS3} SELECT pid AS node, coalesce(k, -1) AS label FROM points LEFT JOIN (SELECT id, dense_rank() OVER (ORDER BY tgt) - 1 AS k FROM sp) ON id = pid",
     recursive=True,
 )
