@@ -18,3 +18,10 @@ def test_a_ring_without_a_direction_is_nan(spark):
     kept, left = qsm.drop_nan_vertices(v, f)
     assert sorted(r["vid"] for r in kept.collect()) == [0, 1, 2, 3]
     assert {r["path_id"] for r in left.collect()} == {0}
+
+
+def test_holes_are_every_eleventh_vertex_only(spark):
+    rows = [("c", 7 * i, float(i // 2), 0.0, float(i // 2), 0.3, 0) for i in range(6)]  # points in pairs at one place
+    p = spark.createDataFrame(rows, "cloud_id string, pid long, x double, y double, z double, radius double, itc long")
+    v, _ = catalog._holed(p)
+    assert {r["vid"] for r in v.filter(F.isnan("x") | F.isnan("y") | F.isnan("z")).collect()} == {n for n in range(48) if n % 11 == 0}
