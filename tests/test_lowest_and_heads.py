@@ -30,3 +30,16 @@ def test_ball_lowest_equals_brute_force(spark):
         assert got.columns == ["cloud_id", "peak_id", "x", "y", "z"]
         assert {r["peak_id"]: (r["x"], r["y"], r["z"]) for r in got.collect()} == want
 
+
+def test_head_nn_equals_brute_force_and_makes_no_pairs(spark):
+    p, q, seconds, heads = _clouds(spark, 300, 80, 2)
+    q[:20] = p[0]
+    heads = spark.createDataFrame([("c", i, *map(float, r)) for i, r in enumerate(q)], AT)
+    want = set()
+    for i, c in enumerate(p):
+        d2 = (c[0] - q[:, 0]) ** 2 + (c[1] - q[:, 1]) ** 2 + (c[2] - q[:, 2]) ** 2
+        near = sorted((d2[j], j) for j in np.flatnonzero((d2 > 0) & (d2 < 2.25)))[:4]
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
+    got = spatial.head_nn(seconds.withColumnRenamed("pid", "node_id"), heads.withColumnRenamed("pid", "node_id"), 1.5)
+    assert {(r["src"], r["dst"], r["rank"]) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
