@@ -183,10 +183,17 @@ def features(docs: DataFrame, k: int, percent: int, bits: int, entries: int) ->
     return found
 
 
-def _of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes that occur in ``pairs``; only a list of identifiers of checked size is broadcast for it, else all go on."""
-    ids = pairs.select(F.col("a").alias("_i")).distinct().union(pairs.select("b").distinct())
-    return classes.join(F.broadcast(ids), F.col("doc_id") == F.col("_i"), "left_semi") if pairs.count() <= BROADCAST_PAIRS else classes
+def _with_sides(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """``pairs`` (a written frame) with the columns of their classes, ``x`` by ``a`` and ``y`` by ``b``.
+
+    A list of pairs of checked size is broadcast, so only the pairs with one side's columns, and of the other side only what
+    occurs in them, are shuffled; else all goes on to two joins.
+    """
+    pairs = pairs.select("a", "b")
+    if pairs.count() > BROADCAST_PAIRS:
+        return pairs.join(y, "b").join(x, "a")
+    y = y.join(F.broadcast(pairs.select(F.col("b").alias("_i"))), F.col("b") == F.col("_i"), "left_semi")
+    return x.join(F.broadcast(pairs), "a").join(y, "b")
 
 
 def _differ(a: str, b: str, sizes: str, percent: int) -> str:
@@ -197,10 +204,8 @@ def _differ(a: str, b: str, sizes: str, percent: int) -> str:
 def surviving(pairs: DataFrame, classes: DataFrame, percent: int, orders: int = len(ORDERS), signatures: bool = True) -> DataFrame:
     """The pairs ``a, b`` (a written frame) that sizes, the first ``orders`` further orders and signatures allow, by short arrays alone."""
     cols = ["n", *["sig"] * signatures, *(f"pre{i}" for i in range(orders))]
-    own = _of(pairs, classes)
-    x = own.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    y = own.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    both = pairs.select("a", "b").join(y, "b").join(x, "a")
+    x, y = (classes.select(F.col("doc_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab")
+    both = _with_sides(pairs, x, y)
     both = both.filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     if signatures:
         both = both.filter(_differ("a_sig", "b_sig", "a_n + b_n", percent))
@@ -211,9 +216,8 @@ def surviving(pairs: DataFrame, classes: DataFrame, percent: int, orders: int =
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` (a written frame) whose sets are linked."""
-    own = _of(pairs, classes)
-    x, y = (own.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_s")) for c in "ab")
-    both = pairs.join(y, "b").join(x, "a").withColumn("_in", F.size(F.array_intersect("a_s", "b_s")).cast("long"))
+    x, y = (classes.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_s")) for c in "ab")
+    both = _with_sides(pairs, x, y).withColumn("_in", F.size(F.array_intersect("a_s", "b_s")).cast("long"))
     return both.filter(f"100 * _in >= {percent} * (a_n + b_n - _in)").select("a", "b")
 
 
@@ -232,11 +236,11 @@ def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rou
     discard(often)
     size = posts.count()
 
-    done, links, components = None, None, spark.createDataFrame([], "id long, component long")
+    done, components = None, spark.createDataFrame([], "id long, component long")
 
     def extend(pairs: DataFrame) -> bool:
         """Compare new pairs; whether there was a new link."""
-        nonlocal done, links, components
+        nonlocal done, components
         new = pairs.distinct()
         if done is not None:
             new = new.join(done, ["a", "b"], "left_anti")
@@ -247,26 +251,29 @@ def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rou
         discard(near)
         if found.isEmpty():
             return False
-        links = found if links is None else links.unionByName(found)
-        discard(components)
-        components = materialize(connected_components(links, "a", "b"), "components")
+        # components so far are links of a node each, so no pair is read again
+        last, edges = components, found.unionByName(components.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        components = materialize(connected_components(edges, "a", "b"), "components")
+        discard(last, found)
         return True
 
-    def across(lists: DataFrame) -> DataFrame:
-        """Postings with their component, of lists that hold more than one; a list that holds one will never hold more."""
+    def across(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings with their component, of lists that hold more than one (a list that holds one will never hold more), and each list's ``_main`` (its largest component), ``_all`` and ``_few`` (members, and those outside of that)."""
         named = lists.select("token", "rep", "n").join(components, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         named = materialize(named, "named")
-        mixed = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select(F.col("token").alias("_t"))
-        mixed = materialize(mixed, "mixed")
-        out = materialize(named.join(mixed, F.col("token") == F.col("_t")).drop("_t"), "across")
-        discard(named, mixed, lists)
-        return out
+        sizes = named.groupBy("token", "comp").agg(F.count("*").alias("_c"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("m"), F.sum("_c").alias("_all"))
+        main = main.select(F.col("token").alias("_t"), F.col("m.comp").alias("_main"), F.col("_all"), (F.col("_all") - F.col("m._c")).alias("_few"))
+        main = materialize(main.filter("_few > 0"), "main")
+        out = materialize(named.join(main.select("_t"), F.col("token") == F.col("_t")).drop("_t"), "across")
+        discard(named, lists)
+        return out, main
 
     def pair(a: str, b: str) -> list:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     near = f"100 * least(n, _pn) >= {percent} * greatest(n, _pn)"
-    named, before = posts.withColumn("comp", F.col("rep")), float("inf")  # not written, so never discarded here
+    named, main, before = posts.withColumn("comp", F.col("rep")), None, float("inf")  # not written, so never discarded here
     for turn in range(rounds):
         # three pivots of each list, chosen by hashes, and every member's pair with each
         pivots = named.groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(3 * turn + i), "rep").alias("h"), "rep", "n", "comp")) for i in range(3)]).alias("p"))
@@ -274,10 +281,8 @@ def _classes(docs: DataFrame, k: int, percent: int, bits: int, entries: int, rou
         linked_more = extend(named.join(pivots, (F.col("token") == F.col("_t")) & F.expr(f"comp <> _pc and {near}")).select(*pair("rep", "_pr")))
         discard(pivots)
         if linked_more or not turn:
-            named = across(named)
-        sizes = named.groupBy("token", "comp").agg(F.count("*").alias("_c"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("m"), F.sum("_c").alias("_all"))
-        main = materialize(main.select(F.col("token").alias("_t"), F.col("m.comp").alias("_main"), F.col("_all"), (F.col("_all") - F.col("m._c")).alias("_few")), "main")
+            discard(main)
+            named, main = across(named)
         # more pivots while the pairs that would be left are many beside the postings and grow fewer
         left = main.agg(F.sum(F.col("_all") * F.col("_few"))).first()[0] or 0
         if left <= 2 * size or left > before / 2:
