@@ -60,3 +60,19 @@ def test_chunks_equal_whole_components_with_repeated_places(spark):
     got = [dict(values(superpoints.mixture_split(p, bases, whole=n), "pid", "part")) for n in (10_000, 450, 100)]
     assert got[0] == got[1] == got[2] and len(got[0]) == len(x)
     assert set(got[0].values()) == {0, 1, 3}  # of parts alike the first
+
+
+def test_parts_without_points_are_one_row():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 3))
+    count = np.array([200.0, 0, 100, 0, 0])
+    first = count[:, None] * rng.normal(0, 0.5, (5, 3))
+    second = count[:, None, None] * np.eye(3) * 2 * np.array([1.0, 0, 1, 0, 0])[:, None, None]
+    spread = x.T @ x / len(x)
+    parts, times, *sums = superpoints.without_gone(np.arange(5), np.ones(5), count, first, second)
+    assert parts.tolist() == [0, 1, 2] and times.tolist() == [1, 3, 1]
+    few, every = superpoints.mixture_step(*sums, spread, times), superpoints.mixture_step(count, first, second, spread)
+    assert np.allclose(few[0], every[0][:3]) and np.allclose(few[2], every[2][:3]) and np.isclose(few[3], every[3])
+    blocks = superpoints.PointBlocks(x)
+    a, b = superpoints.mixture_sums(blocks, *few[:3], times), superpoints.mixture_sums(blocks, *every[:3])
+    assert np.allclose(a[0], b[0][:3]) and np.isclose(a[3].sum(), b[3].sum())
